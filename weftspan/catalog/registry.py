@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = [
+    "label_queries",
     "index_queries",
     "survey_queries",
+    "crosswalk_queries",
+    "agreement_queries",
+    "sampling_queries",
 ]
 
 

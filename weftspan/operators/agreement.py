@@ -142,23 +142,31 @@ def majority_of(columns: Sequence[Column]) -> Column:
     votes = {
         x: _total([F.when(c == x, 1).otherwise(0) for c in columns]) for x in LABELS
     }
-    top = F.greatest(*votes.values())
-    winners = _total([F.when(v == top, 1).otherwise(0) for v in votes.values()])
-    first = F.coalesce(*[F.when(v == top, F.lit(x)) for x, v in votes.items()])
-    return F.when((top > 0) & (winners == 1), first)
+    out = F.lit(None).cast("string")
+    for x, v in votes.items():
+        ahead = F.lit(True)
+        for y, other in votes.items():
+            if y != x:
+                ahead = ahead & (v > other)
+        out = F.when(ahead, F.lit(x)).otherwise(out)
+    return out
 
 
 def with_majority(ratings: DataFrame, raters: Sequence[str]) -> DataFrame:
     """Add the majority label and the number of raters who gave a label."""
-    values = [rating_or_null(r) for r in raters]
+    names = [f"_clean_{r}" for r in raters]
+    clean = ratings.select("*", *[rating_or_null(r).alias(n) for r, n in zip(raters, names)])
+    values = [F.col(n) for n in names]
     given = _total([F.when(is_label(v), 1).otherwise(0) for v in values])
-    return ratings.select("*", majority_of(values).alias("majority"), given.alias("n_labels"))
+    return clean.select(
+        *ratings.columns, majority_of(values).alias("majority"), given.alias("n_labels")
+    )
 
 
 def majority_vs_model(ratings: DataFrame, raters: Sequence[str], model: str = "model") -> DataFrame:
     """Kappa of the majority label against the model, with ties left out and counted."""
-    rated = with_majority(ratings, raters).filter(F.col("n_labels") > 0)
-    tie = F.count_if(F.col("majority").isNull()).alias("ties_excluded")
+    rated = with_majority(ratings, raters)
+    tie = F.count_if((F.col("n_labels") > 0) & F.col("majority").isNull()).alias("ties_excluded")
     cells = [
         F.count_if((F.col("majority") == h) & (F.col(model) == m)).alias(f"n_{h}_{m}")
         for h in LABELS
@@ -195,14 +203,16 @@ def fleiss_kappa(ratings: DataFrame, raters: Sequence[str]) -> DataFrame:
 def agreement_by_stratum(
     ratings: DataFrame, raters: Sequence[str], stratum: str = "stratum", model: str = "model"
 ) -> DataFrame:
-    rated = with_majority(ratings, raters).filter(
-        F.col("majority").isNotNull() & is_label(model)
-    )
-    return rated.groupBy(stratum).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("majority") == F.col(model)).alias("agree"),
-        F.avg((F.col("majority") == F.col(model)).cast("double")).alias("pct"),
+    used = F.col("majority").isNotNull() & is_label(model)
+    tally = (
+        with_majority(ratings, raters)
+        .groupBy(stratum)
+        .agg(
+            F.count_if(used).alias("n"),
+            F.count_if(used & (F.col("majority") == F.col(model))).alias("agree"),
+        )
     )
+    return tally.filter(F.col("n") > 0).withColumn("pct", F.col("agree") / F.col("n"))
 
 
 def note_tags(ratings: DataFrame, notes: Sequence[str], tags: Sequence[str] = NOTE_TAGS) -> DataFrame:
