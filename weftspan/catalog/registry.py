@@ -18,6 +18,8 @@ MODULES = [
     "crosswalk_queries",
     "agreement_queries",
     "sampling_queries",
+    "release_queries",
+    "panel_queries",
 ]
 
 

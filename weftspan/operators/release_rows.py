@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from weftspan.functions import payroll as P
 from weftspan.plans.ranking import carry_forward
 from weftspan.plans.sizing import bounded_map
+from weftspan.plans.storage import materialise
 from weftspan.sources import fixed_values as V
 from weftspan.sources.maps import recode
 
@@ -43,14 +44,6 @@ def _show(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.coalesce(c.cast("string"), F.lit("null"))), "|")
 
 
-def _places(cells: Column, bind) -> Column:
-    """Binding array from the header cells after the first."""
-    return F.filter(
-        F.transform(cells, lambda c, i: bind(c, i)),
-        lambda b: b.isNotNull() & (b.getField("pos") > 0) & b.getField("a").isNotNull(),
-    ).cast(BINDING)
-
-
 def _bound(i: Column, a: Column, b: Column | None = None) -> Column:
     return F.struct(
         i.cast("int").alias("pos"),
@@ -60,32 +53,63 @@ def _bound(i: Column, a: Column, b: Column | None = None) -> Column:
 
 
 def _classify(rows: DataFrame) -> DataFrame:
-    """Local facts of each row: what its own cells say."""
-    cells = F.transform("cells", lambda c: P.clean_cell(c))
-    df = rows.withColumn("cells", cells)
-    c0 = F.get("cells", 0)
-    any_text = F.exists("cells", lambda c: c != "")
+    """Local facts of each row: what its own cells say.
+
+    Every cell is cleaned and parsed here, once; what only some rows need is
+    parsed in those rows only.
+    """
+    fixes = {f"{r}|{c}": m for (r, c), m in V.HEADER_FIXES.items()}
+
+    def fixed(c: Column) -> Column:
+        return recode(F.concat(F.col("release"), F.lit("|"), c), fixes)
+
+    c0 = F.col("c0")
+    genders = F.when(
+        F.contains("joined", F.lit("male")), F.transform("cells", lambda c: P.parse_gender(c))
+    ).otherwise(F.array().cast("array<string>"))
     rest_empty = ~F.exists(F.slice("cells", 2, F.size("cells")), lambda c: c != "")
-    joined = F.lower(F.array_join("cells", " "))
-    genders = F.transform("cells", lambda c: P.parse_gender(c))
-    male = F.exists(genders, lambda g: F.coalesce(g == "male", F.lit(False)))
-    lettered = F.array_contains("cells", "(a)") | F.array_contains("cells", "(d)")
-    is_age = c0.rlike(r"^Age\b") & ~male & ~lettered & ~(c0.startswith("Age Bucket") & rest_empty)
-    variant = F.contains(joined, F.lit("joined in or after")) | F.contains(joined, F.lit("net new epf"))
-    return df.select(
-        "*",
-        c0.alias("c0"),
-        any_text.alias("any_text"),
-        (rest_empty & (c0 != "")).alias("is_label"),
-        genders.alias("genders"),
-        male.alias("male"),
-        lettered.alias("lettered"),
-        is_age.alias("is_age"),
-        F.when(
-            any_text,
-            F.struct((is_age & ~variant).alias("opens"), F.col("cells").alias("header")),
-        ).alias("before"),
-        (is_age & variant).alias("is_variant"),
+    is_wide, is_grid = c0.isin("State", "Industry"), F.contains(c0, F.lit("Month/Age"))
+    clean = rows.withColumn("cells", F.transform("cells", lambda c: P.clean_cell(c)))
+    return (
+        clean.withColumn("c0", F.get("cells", 0))
+        .withColumn("joined", F.lower(F.array_join("cells", " ")))
+        .select(
+            "release", "page", *PLACE, "cells", "c0",
+            F.transform("cells", lambda c: P.parse_value(c)).alias("vals"),
+            F.exists("cells", lambda c: c != "").alias("any_text"),
+            (rest_empty & (c0 != "")).alias("is_label"),
+            genders.alias("genders"),
+            (F.array_contains("cells", "(a)") | F.array_contains("cells", "(d)")).alias("lettered"),
+            c0.rlike(r"^Age\b").alias("starts_age"),
+            (
+                F.contains("joined", F.lit("joined in or after"))
+                | F.contains("joined", F.lit("net new epf"))
+            ).alias("is_variant"),
+            P.parse_band(c0).alias("band"),
+            P.full_month(c0).alias("full_month"),
+            P.short_month(c0).alias("short_month"),
+            F.when(is_wide, F.transform("cells", lambda c: F.coalesce(fixed(c), P.short_month(c))))
+            .when(is_grid, F.transform("cells", lambda c: P.parse_band(c)))
+            .alias("heads"),
+            F.coalesce(is_wide & F.exists("cells", lambda c: fixed(c).isNotNull()), F.lit(False)).alias("is_fixed"),
+        )
+        .withColumn("male", F.exists("genders", lambda g: F.coalesce(g == "male", F.lit(False))))
+        .withColumn(
+            "is_age",
+            F.col("starts_age") & ~F.col("male") & ~F.col("lettered")
+            & ~(F.col("is_label") & F.col("c0").startswith("Age Bucket")),
+        )
+        .withColumn(
+            "before",
+            F.when(
+                F.col("any_text"),
+                F.struct(
+                    (F.col("is_age") & ~F.col("is_variant")).alias("opens"),
+                    F.when(F.col("is_age"), F.col("cells")).alias("header"),
+                ),
+            ),
+        )
+        .drop("starts_age")
     )
 
 
@@ -97,6 +121,7 @@ def _gender_binding(df: DataFrame) -> DataFrame:
     legible cell agrees with them.
     """
     five = [*V.GENDERS, "total"]
+    gross = F.array(*[F.lit(m) for m in V.GROSS_MEASURES])
     measures = F.filter(
         F.transform(F.slice(F.col("header"), 2, F.size("header")), lambda c: P.parse_measure(c)),
         lambda m: m.isNotNull(),
@@ -106,11 +131,9 @@ def _gender_binding(df: DataFrame) -> DataFrame:
         lambda s: s.getField("g").isNotNull(),
     )
     plain = F.transform(
-        F.col("legible"),
+        legible,
         lambda s, i: _bound(
-            s.getField("pos"),
-            s.getField("g"),
-            F.get(F.array(*[F.lit(m) for m in V.GROSS_MEASURES]), F.floor(i / 5).cast("int")),
+            s.getField("pos"), s.getField("g"), F.get(gross, F.floor(i / 5).cast("int"))
         ),
     ).cast(BINDING)
 
@@ -127,33 +150,25 @@ def _gender_binding(df: DataFrame) -> DataFrame:
         width == 18, layout(V.GENDER_COLUMNS_18)
     )
     agrees = F.forall(
-        F.col("legible"),
+        legible,
         lambda s: F.exists(
-            F.col("template"),
+            template,
             lambda t: (t.getField("pos") == s.getField("pos")) & (t.getField("a") == s.getField("g")),
         ),
     )
-    known = F.col("measures") == F.array(*[F.lit(m) for m in V.GROSS_MEASURES])
-    whole = F.size("legible") == 15
     sub = F.col("pending") & F.col("male")
-    return (
-        df.withColumn("measures", measures)
-        .withColumn("legible", legible)
-        .withColumn("template", template)
-        .withColumn(
-            "gender_fit",
-            F.when(~sub, F.lit(None).cast("string"))
-            .when(~known, F.lit("measures"))
-            .when(whole, F.lit("plain"))
-            .when(F.col("template").isNotNull() & agrees, F.lit("positional"))
-            .otherwise(F.lit("layout")),
-        )
-        .withColumn(
-            "gender_bind",
-            F.when(F.col("gender_fit") == "plain", plain).when(
-                F.col("gender_fit") == "positional", F.col("template")
-            ),
-        )
+    fit = (
+        F.when(~sub, F.lit(None).cast("string"))
+        .when(measures != gross, F.lit("measures"))
+        .when(F.size(legible) == 15, F.lit("plain"))
+        .when(template.isNotNull() & agrees, F.lit("positional"))
+        .otherwise(F.lit("layout"))
+    )
+    return df.withColumn("gender_fit", fit).withColumn(
+        "gender_bind",
+        F.when(F.col("gender_fit") == "plain", plain).when(
+            F.col("gender_fit") == "positional", template
+        ),
     )
 
 
@@ -162,7 +177,7 @@ def _states(df: DataFrame) -> DataFrame:
     c0 = F.col("c0")
     consumed = F.col("pending") & (F.col("male") | F.col("lettered"))
     label = F.col("is_label") & ~consumed
-    month = P.full_month(c0)
+    month = F.col("full_month")
     skips = c0.rlike(P.YEAR_BLOCK) | F.contains(
         F.replace(F.lower(c0), F.lit("("), F.lit("")), F.lit("from sep")
     )
@@ -172,15 +187,10 @@ def _states(df: DataFrame) -> DataFrame:
     grid = header & F.contains(c0, F.lit("Month/Age"))
     wide = header & ~grid & c0.isin("State", "Industry")
     age = header & ~grid & ~wide & F.col("is_age")
-
-    fixes = {f"{r}|{c}": m for (r, c), m in V.HEADER_FIXES.items()}
-
-    def month_of(c: Column) -> Column:
-        fixed = recode(F.concat(F.col("release"), F.lit("|"), c), fixes)
-        return F.coalesce(fixed, P.short_month(c))
-
-    grid_bind = _places(F.col("cells"), lambda c, i: _bound(i, P.parse_band(c)))
-    month_bind = _places(F.col("cells"), lambda c, i: _bound(i, month_of(c)))
+    head_bind = F.filter(
+        F.transform("heads", lambda h, i: _bound(i, h)),
+        lambda b: (b.getField("pos") > 0) & b.getField("a").isNotNull(),
+    ).cast(BINDING)
     mode = (
         F.when(consumed & F.col("gender_bind").isNotNull(), F.lit("gender"))
         .when(consumed & F.col("male"), F.lit("skip"))
@@ -191,19 +201,48 @@ def _states(df: DataFrame) -> DataFrame:
         .when(F.col("pending") & F.col("any_text") & ~age, F.lit("flow"))
     )
     return df.select(
-        "*",
+        "release", "page", *PLACE, "cells", "c0", "vals", "band", "short_month", "gender_fit",
+        (F.col("is_fixed") & wide).alias("is_fixed"),
         (consumed | flush | bucket | grid | wide | age).alias("is_head"),
-        (wide & F.exists("cells", lambda c: recode(F.concat(F.col("release"), F.lit("|"), c), fixes).isNotNull())).alias("is_fixed"),
         F.when(flush, F.struct(month.alias("month"))).alias("period"),
         F.when(flush, F.struct("page", *PLACE)).alias("block"),
-        F.when(bucket, F.struct(P.parse_band(F.regexp_extract(c0, r"^[^:]*:(.*)$", 1)).alias("band"))).alias("bucket"),
+        F.when(
+            bucket,
+            F.struct(P.parse_band(F.regexp_extract(c0, r"^[^:]*:(.*)$", 1)).alias("band")),
+        ).alias("bucket"),
         mode.alias("mode"),
-        F.when(grid, grid_bind).when(wide, month_bind).when(
+        F.when(grid | wide, head_bind).when(
             consumed & F.col("male"), F.coalesce("gender_bind", F.array().cast(BINDING))
         ).alias("bind"),
     )
 
 
+def resolve_rows(rows: DataFrame) -> DataFrame:
+    """Every table row with the period, mode, bucket, block and column binding
+    that hold for it.
+
+    Two walks in row order: one finds the header a sub-header belongs to, one
+    carries the states. Each walk reads its input twice (rows and pages), so
+    inputs are written once.
+    """
+    local = materialise(_classify(rows), "cells")
+    pending = carry_forward(local, ["release"], "page", PLACE, ["before"], inclusive=False)
+    pending = pending.select(
+        *[c for c in pending.columns if c != "before"],
+        (F.coalesce(F.col("before.opens"), F.lit(False)) & F.col("any_text")).alias("pending"),
+        F.col("before.header").alias("header"),
+    )
+    states = materialise(_states(_gender_binding(pending)), "states")
+    held = carry_forward(
+        states, ["release"], "page", PLACE, ["period", "block", "bucket", "mode", "bind"]
+    )
+    return held.select(
+        *[c for c in held.columns if c not in ("period", "bucket")],
+        F.col("period.month").alias("month"),
+        F.col("bucket.band").alias("bucket_band"),
+    )
+
+
 def _emit(measure, band, value, gender=None, industry=None, state=None, month=None) -> Column:
     def opt(c):
         return F.lit(None).cast("string") if c is None else c
@@ -227,209 +266,223 @@ def _no(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def _flow(df: DataFrame) -> DataFrame:
-    """Band rows of a flow block: four measures, a - b + c = d checked."""
-    vals = F.transform(F.slice("cells", 2, 4), lambda c: P.parse_value(c))
-    rows = df.filter((F.col("mode") == "flow") & F.col("band").isNotNull() & F.col("month").isNotNull()).withColumn("v", vals)
-    whole = (F.size("v") == 4) & F.forall("v", lambda x: x.isNotNull())
-    v = [F.get("v", i) for i in range(4)]
+def _flow() -> tuple[Column, Column, Column]:
+    """(applies, cells, issues) of a band row in a flow block: four measures,
+    a - b + c = d checked; a row that fails the check is still emitted."""
+    v = [F.get("vals", i + 1) for i in range(4)]
+    applies = (F.col("mode") == "flow") & F.col("band").isNotNull() & F.col("month").isNotNull()
+    whole = v[0].isNotNull() & v[1].isNotNull() & v[2].isNotNull() & v[3].isNotNull()
     context = _text("flow ", F.col("month"), " ", F.col("band"))
     out = F.array(
         *[_emit(F.lit(m), F.col("band"), v[i]) for i, m in enumerate(V.FLOW_MEASURES)]
     ).cast(f"array<{CELL}>")
+    shown = _show(F.slice("cells", 2, 4))
     issues = (
-        F.when(~whole, F.array(_note(context, _text("unparseable cells: ", _show(F.slice("cells", 2, 4))))))
-        .when(v[0] - v[1] + v[2] != v[3], F.array(_note(context, _text("identity a-b+c!=d: ", _show(F.col("v"))))))
+        F.when(~whole, F.array(_note(context, _text("unparseable cells: ", shown))))
+        .when(
+            v[0] - v[1] + v[2] != v[3],
+            F.array(_note(context, _text("identity a-b+c!=d: ", shown))),
+        )
         .otherwise(_no(NOTE))
     )
-    return rows.select(
-        "release", "page", "month",
-        F.when(whole, out).otherwise(_no(CELL)).alias("cells_out"),
-        issues.cast(f"array<{NOTE}>").alias("issues"),
-    )
+    return applies, F.when(whole, out).otherwise(_no(CELL)), issues.cast(f"array<{NOTE}>")
 
 
-def _gender_rows(df: DataFrame) -> DataFrame:
-    """Gender rows with parsed values and, per measure, whether they add up."""
-    value = F.transform(
-        "bind",
-        lambda b: F.struct(
-            b.getField("a").alias("g"),
-            b.getField("b").alias("m"),
-            P.parse_value(F.get(F.col("cells"), b.getField("pos"))).alias("v"),
-        ),
-    )
-    rows = df.filter(
-        (F.col("mode") == "gender")
-        & F.col("month").isNotNull()
-        & (F.col("band").isNotNull() | (F.col("c0") != ""))
-        & ~F.contains(F.upper("c0"), F.lit("TOTAL"))
-    ).withColumn("p", value)
+def _value_at(b: Column) -> Column:
+    return F.get(F.col("vals"), b.getField("pos"))
+
+
+def _broken_sums(bind: Column, value) -> Column:
+    """Measures whose four genders do not add up to their total, or do not
+    parse."""
 
     def adds_up(m: str) -> Column:
-        mine = F.filter("p", lambda s: s.getField("m") == m)
-        four = F.filter(mine, lambda s: s.getField("g") != "total")
-        total = F.get(F.filter(mine, lambda s: s.getField("g") == "total"), F.lit(0)).getField("v")
-        summed = F.aggregate(four, F.lit(0).cast("bigint"), lambda acc, s: acc + s.getField("v"))
-        return F.coalesce(summed == total, F.lit(False))
+        mine = F.filter(bind, lambda b: b.getField("b") == m)
+        # total minus genders, null if any cell is unread
+        rest = F.aggregate(
+            mine,
+            F.lit(0).cast("bigint"),
+            lambda acc, b: acc + F.when(b.getField("a") == "total", value(b)).otherwise(-value(b)),
+        )
+        return F.coalesce(rest == 0, F.lit(False))
 
-    bad = F.filter(
+    return F.filter(
         F.array(*[F.when(~adds_up(m), F.lit(m)) for m in V.GROSS_MEASURES]),
         lambda m: m.isNotNull(),
     )
-    return rows.withColumn("bad", bad)
-
 
-def _gender_cells(band: Column, totals: bool) -> Column:
-    def keep(s: Column) -> Column:
-        return F.lit(True) if totals else s.getField("g") != "total"
 
+def _gender_cells(bind: Column, value, band: Column, totals: bool) -> Column:
+    kept = bind if totals else F.filter(bind, lambda b: b.getField("a") != "total")
     return F.transform(
-        F.filter("p", keep),
-        lambda s: _emit(
-            s.getField("m"),
+        kept,
+        lambda b: _emit(
+            b.getField("b"),
             band,
-            s.getField("v"),
-            gender=F.when(s.getField("g") != "total", s.getField("g")),
+            value(b),
+            gender=F.when(b.getField("a") != "total", b.getField("a")),
         ),
     ).cast(f"array<{CELL}>")
 
 
-def _gender(df: DataFrame, totals: bool) -> DataFrame:
-    """Labelled gender rows, and rows with a garbled label.
-
-    A row of unreadable band is given the one band its block lacks, if it is
-    the only such row of the block; otherwise it is dropped and logged. A
-    block runs from one period label to the next and has a handful of rows.
-    """
-    rows = _gender_rows(df)
-    good = F.size("bad") == 0
-    context = _text("gender ", F.col("month"))
-    labelled = rows.filter(F.col("band").isNotNull()).select(
-        "release", "page", "month",
-        F.when(good, _gender_cells(F.col("band"), totals)).otherwise(_no(CELL)).alias("cells_out"),
-        F.transform(
-            "bad",
-            lambda m: _note(
-                _text(context, " ", F.col("band"), " ", m),
-                _text("row-sum mismatch or unparseable: ",
-                      _show(F.transform(F.filter("p", lambda s: s.getField("m") == m), lambda s: s.getField("v")))),
-            ),
-        ).cast(f"array<{NOTE}>").alias("issues"),
-    )
-    valid = rows.filter(good)
-    seen = valid.groupBy("release", "block").agg(
-        F.collect_set("band").alias("seen"),
-        F.count_if(F.col("band").isNull()).alias("n_orphans"),
-    )
-    bands = F.array(*[F.lit(b) for b in V.PAYROLL_BANDS])
-    orphans = valid.filter(F.col("band").isNull()).drop("seen").join(
-        seen.filter(F.col("n_orphans") > 0), ["release", "block"]
-    ).withColumn("missing", F.array_except(bands, F.col("seen")))
-    forced = (F.col("n_orphans") == 1) & (F.size("missing") == 1)
-    only = F.get("missing", 0)
-    repaired = orphans.select(
-        "release", "page", "month",
-        F.when(forced, _gender_cells(only, totals)).otherwise(_no(CELL)).alias("cells_out"),
-        F.array(
-            F.when(
-                forced,
-                _note(_text(context, " ", only), F.lit("garbled band label; assigned as the only missing band")),
-            ).otherwise(
-                _note(context, _text("dropped unassignable row (missing bands: ", F.array_join("missing", ","), ")"))
-            )
-        ).cast(f"array<{NOTE}>").alias("issues"),
-    )
-    return labelled.unionByName(repaired)
-
-
-def _wide(df: DataFrame) -> DataFrame:
-    """State and industry rows: one value per month column."""
-    rows = df.filter(
+def _wide() -> tuple[Column, Column, Column]:
+    """(applies, cells, issues) of a state or industry row: one value per month
+    column; totals and page titles are passed over."""
+    c0, bucket = F.col("c0"), F.col("bucket_band")
+    applies = (
         F.col("mode").isin("state", "industry")
-        & (F.col("c0") != "")
+        & (c0 != "")
         & (F.size("bind") > 0)
-        & ~F.contains(F.upper("c0"), F.lit("TOTAL"))
-        & ~F.contains(F.upper("c0"), F.lit("PAYROLL"))
-    )
-    name = recode(F.col("c0"), V.INDUSTRY_FIXES, F.col("c0"))
-    value = F.transform(
-        "bind",
-        lambda b: F.struct(
-            b.getField("a").alias("month"),
-            F.get(F.col("cells"), b.getField("pos")).alias("raw"),
-            P.parse_value(F.get(F.col("cells"), b.getField("pos"))).alias("v"),
-        ),
+        & ~F.contains(F.upper(c0), F.lit("TOTAL"))
+        & ~F.contains(F.upper(c0), F.lit("PAYROLL"))
     )
-    rows = rows.withColumn("p", value).withColumn("name", name)
-    has_bucket = F.col("bucket_band").isNotNull()
+    name = recode(c0, V.INDUSTRY_FIXES, c0)
     out = F.transform(
-        F.filter("p", lambda s: s.getField("v").isNotNull()),
-        lambda s: _emit(
+        F.filter("bind", lambda b: _value_at(b).isNotNull()),
+        lambda b: _emit(
             F.lit("net_payroll"),
-            F.col("bucket_band"),
-            s.getField("v"),
-            industry=F.when(F.col("mode") == "industry", F.col("name")),
-            state=F.when(F.col("mode") == "state", F.col("name")),
-            month=s.getField("month"),
+            bucket,
+            _value_at(b),
+            industry=F.when(F.col("mode") == "industry", name),
+            state=F.when(F.col("mode") == "state", name),
+            month=b.getField("a"),
         ),
     ).cast(f"array<{CELL}>")
     unread = F.transform(
-        F.filter("p", lambda s: s.getField("v").isNull()),
-        lambda s: _note(
-            _text(F.col("mode"), " ", s.getField("month"), " ", F.col("bucket_band")),
-            _text("unparseable cell for ", F.col("c0"), ": ", F.coalesce(s.getField("raw"), F.lit("none"))),
+        F.filter("bind", lambda b: _value_at(b).isNull()),
+        lambda b: _note(
+            _text(F.col("mode"), " ", b.getField("a"), " ", bucket),
+            _text(
+                "unparseable cell for ", c0, ": ",
+                F.coalesce(F.get(F.col("cells"), b.getField("pos")), F.lit("none")),
+            ),
         ),
     ).cast(f"array<{NOTE}>")
-    return rows.select(
-        "release", "page", "month",
-        F.when(has_bucket, out).otherwise(_no(CELL)).alias("cells_out"),
-        F.when(has_bucket, unread)
-        .otherwise(F.array(_note(F.col("mode"), _text("no age bucket for row ", F.col("c0")))))
-        .cast(f"array<{NOTE}>")
-        .alias("issues"),
+    has_bucket = bucket.isNotNull()
+    orphan = F.array(_note(F.col("mode"), _text("no age bucket for row ", c0)))
+    return (
+        applies,
+        F.when(has_bucket, out).otherwise(_no(CELL)),
+        F.when(has_bucket, unread).otherwise(orphan).cast(f"array<{NOTE}>"),
     )
 
 
-def _header_issues(df: DataFrame) -> DataFrame:
-    fixed = _note(_text(F.col("mode"), "-header"), F.lit("applied documented header fix"))
-    garbled = F.when(
-        F.col("gender_fit") == "measures", F.lit("unrecognised measures")
-    ).when(F.col("gender_fit") == "positional", F.lit("positional fallback applied")).when(
-        F.col("gender_fit") == "layout", F.lit("unrecognised layout")
+def _head_issues() -> Column:
+    garbled = (
+        F.when(F.col("gender_fit") == "measures", F.lit("unrecognised measures"))
+        .when(F.col("gender_fit") == "positional", F.lit("positional fallback applied"))
+        .when(F.col("gender_fit") == "layout", F.lit("unrecognised layout"))
     )
-    return df.select(
-        "release", "page", "month",
-        _no(CELL).alias("cells_out"),
-        F.filter(
-            F.array(
-                F.when(F.col("is_fixed"), fixed),
-                F.when(garbled.isNotNull(), _note(F.lit("gender-header"), _text(garbled, ": ", _show(F.col("cells"))))),
+    return F.filter(
+        F.array(
+            F.when(
+                F.col("is_fixed"),
+                _note(_text(F.col("mode"), "-header"), F.lit("applied documented header fix")),
+            ),
+            F.when(
+                garbled.isNotNull(),
+                _note(F.lit("gender-header"), _text(garbled, ": ", _show(F.col("cells")))),
             ),
-            lambda n: n.isNotNull(),
-        ).cast(f"array<{NOTE}>").alias("issues"),
-    ).filter(F.size("issues") > 0)
+        ),
+        lambda n: n.isNotNull(),
+    ).cast(f"array<{NOTE}>")
 
 
-def resolve_rows(rows: DataFrame) -> DataFrame:
-    """Every table row with the period, mode, bucket, block and column binding
-    that hold for it."""
-    local = _classify(rows)
-    pending = carry_forward(local, ["release"], "page", PLACE, ["before"], inclusive=False)
-    pending = pending.select(
-        *[c for c in pending.columns if c != "before"],
-        (F.coalesce(F.col("before.opens"), F.lit(False)) & F.col("any_text")).alias("pending"),
-        F.col("before.header").alias("header"),
+def _parse(held: DataFrame, totals: bool) -> DataFrame:
+    """One pass over resolved rows: cells and issues of each row, and, for
+    gender rows, what the repair of unreadable labels needs."""
+    is_gender = (
+        (F.col("mode") == "gender")
+        & F.col("month").isNotNull()
+        & (F.col("band").isNotNull() | (F.col("c0") != ""))
+        & ~F.contains(F.upper("c0"), F.lit("TOTAL"))
     )
-    bound = _states(_gender_binding(pending))
-    held = carry_forward(
-        bound, ["release"], "page", PLACE, ["period", "block", "bucket", "mode", "bind"]
+    data = ~F.col("is_head")
+    held = held.withColumn(
+        "bad", F.when(data & is_gender, _broken_sums(F.col("bind"), _value_at))
+    )
+    good = F.size("bad") == 0
+    flow, flow_out, flow_issues = _flow()
+    wide, wide_out, wide_issues = _wide()
+    context = _text("gender ", F.col("month"), " ", F.col("band"))
+    sums = F.transform(
+        "bad",
+        lambda m: _note(
+            _text(context, " ", m), _text("row-sum mismatch or unparseable: ", _show(F.col("cells")))
+        ),
+    ).cast(f"array<{NOTE}>")
+    gender = F.col("bad").isNotNull()
+    labelled = F.col("band").isNotNull()
+    out = (
+        F.when(F.col("is_head"), _no(CELL))
+        .when(gender & labelled & good, _gender_cells(F.col("bind"), _value_at, F.col("band"), totals))
+        .when(flow, flow_out)
+        .when(wide, wide_out)
+        .otherwise(_no(CELL))
+    )
+    issues = (
+        F.when(F.col("is_head"), _head_issues())
+        .when(gender & labelled, sums)
+        .when(flow, flow_issues)
+        .when(wide, wide_issues)
+        .otherwise(_no(NOTE))
+    )
+    grid = F.when(
+        data & (F.col("mode") == "grid") & F.col("short_month").isNotNull(),
+        F.filter(
+            F.transform(
+                "bind",
+                lambda b: F.struct(b.getField("a").alias("age_band"), _value_at(b).alias("value")),
+            ),
+            lambda s: s.getField("value").isNotNull(),
+        ),
     )
     return held.select(
-        "*",
-        F.col("period.month").alias("month"),
-        F.col("bucket.band").alias("bucket_band"),
-        P.parse_band("c0").alias("band"),
+        "release", "page", "month", "block", "short_month",
+        out.alias("out"),
+        issues.alias("issues"),
+        grid.alias("grid"),
+        F.when(gender & good, F.struct("band")).alias("valid"),
+        F.when(gender & good & ~labelled, F.struct("bind", "vals")).alias("orphan"),
+    )
+
+
+def _repair(parsed: DataFrame, totals: bool) -> DataFrame:
+    """Gender rows with an unreadable band label.
+
+    Such a row is given the one band its block lacks, if it is the only such
+    row of the block; otherwise it is dropped and logged. A block runs from
+    one period label to the next and has a handful of rows; only blocks with
+    such a row are looked at.
+    """
+    orphans = parsed.filter(F.col("orphan").isNotNull())
+    blocks = parsed.filter(F.col("valid").isNotNull()).groupBy("release", "block").agg(
+        F.collect_set("valid.band").alias("seen"),
+        F.count_if(F.col("orphan").isNotNull()).alias("n_orphans"),
+    )
+    bands = F.array(*[F.lit(b) for b in V.PAYROLL_BANDS])
+    joined = orphans.select("release", "page", "month", "block", "orphan").join(
+        blocks.filter(F.col("n_orphans") > 0), ["release", "block"]
+    ).withColumn("missing", F.array_except(bands, F.col("seen")))
+    forced = (F.col("n_orphans") == 1) & (F.size("missing") == 1)
+    only = F.get("missing", 0)
+    context = _text("gender ", F.col("month"))
+    cells = _gender_cells(
+        F.col("orphan.bind"),
+        lambda b: F.get(F.col("orphan.vals"), b.getField("pos")),
+        only,
+        totals,
+    )
+    note = F.when(
+        forced,
+        _note(_text(context, " ", only), F.lit("garbled band label; assigned as the only missing band")),
+    ).otherwise(
+        _note(context, _text("dropped unassignable row (missing bands: ", F.array_join("missing", ","), ")"))
+    )
+    return joined.select(
+        "release", "page", "month",
+        F.when(forced, cells).otherwise(_no(CELL)).alias("out"),
+        F.array(note).cast(f"array<{NOTE}>").alias("issues"),
     )
 
 
@@ -439,31 +492,22 @@ def parse_release_rows(rows: DataFrame, national_from_gender: bool = False) -> R
     ``national_from_gender`` also emits the total columns of gender blocks as
     national rows, for releases that print no national table.
     """
-    held = resolve_rows(rows)
-    data = held.filter(~F.col("is_head"))
-    parts = _flow(data).unionByName(_gender(data, national_from_gender)).unionByName(_wide(data))
-    cells = parts.select("release", F.col("month").alias("block_month"), F.inline("cells_out"))
-    panel = cells.select(
-        F.coalesce("data_month", "block_month").alias("data_month"),
-        F.col("release").alias("source_release"),
-        "measure", "age_band", "gender", "industry", "state", "value",
-    )
-    grid = (
-        data.filter((F.col("mode") == "grid"))
-        .withColumn("gm", P.short_month("c0"))
-        .filter(F.col("gm").isNotNull())
-        .select("release", "page", F.col("gm").alias("data_month"), "cells", F.explode("bind").alias("b"))
+    parsed = materialise(_parse(resolve_rows(rows), national_from_gender), "parsed")
+    parts = parsed.select("release", "page", "month", "out", "issues").unionByName(
+        _repair(parsed, national_from_gender)
+    )
+    panel = (
+        parts.select("release", F.col("month").alias("block_month"), F.inline("out"))
         .select(
-            "release", "page", "data_month",
-            F.col("b.a").alias("age_band"),
-            P.parse_value(F.get("cells", F.col("b.pos"))).alias("value"),
+            F.coalesce("data_month", "block_month").alias("data_month"),
+            F.col("release").alias("source_release"),
+            "measure", "age_band", "gender", "industry", "state", "value",
         )
-        .filter(F.col("value").isNotNull())
     )
-    issues = (
-        parts.select("release", "page", F.inline("issues"))
-        .unionByName(_header_issues(held).select("release", "page", F.inline("issues")))
+    grid = parsed.filter(F.col("grid").isNotNull()).select(
+        "release", "page", F.col("short_month").alias("data_month"), F.inline("grid")
     )
+    issues = parts.select("release", "page", F.inline("issues"))
     return ReleaseParse(panel, grid, issues)
 
 
@@ -471,45 +515,36 @@ def parse_text_lines(lines: DataFrame) -> ReleaseParse:
     """Text variant: (release, file, page, line_no, text) with a month label and
     then band rows of fifteen values; a section mark ends the tables."""
     text = F.trim(F.col("text"))
-    df = lines.withColumn("text", text).select(
-        "*",
-        F.when(P.full_month("text").isNotNull(), F.struct(P.full_month("text").alias("month"))).alias("period"),
-        F.when(F.col("text").rlike(P.SECTION_END), F.lit(True)).alias("ended"),
-    )
-    held = carry_forward(df, ["release"], "page", ["line_no"], ["period", "ended"]).filter(
-        F.col("ended").isNull() & F.col("period").isNotNull() & F.col("text").rlike(P.BAND_LINE)
-    )
+    month = P.full_month("text")
     rest = F.regexp_extract("text", P.BAND_LINE, 2)
-    rows = held.select(
-        "release", "page",
-        F.col("period.month").alias("month"),
-        P.parse_band(F.regexp_extract("text", P.BAND_LINE, 1)).alias("band"),
-        rest.alias("rest"),
-        F.transform(F.filter(F.split(rest, r"\s+"), lambda t: t != ""), lambda t: P.parse_value(t)).alias("v"),
+    df = materialise(
+        lines.withColumn("text", text).select(
+            "release", "page", "line_no",
+            P.parse_band(F.regexp_extract("text", P.BAND_LINE, 1)).alias("band"),
+            rest.alias("rest"),
+            F.transform(
+                F.filter(F.split(rest, r"\s+"), lambda t: t != ""), lambda t: P.parse_value(t)
+            ).alias("vals"),
+            F.when(month.isNotNull(), F.struct(month.alias("month"))).alias("period"),
+            F.when(F.col("text").rlike(P.SECTION_END), F.lit(True)).alias("ended"),
+        ),
+        "lines",
+    )
+    rows = (
+        carry_forward(df, ["release"], "page", ["line_no"], ["period", "ended"])
+        .filter(F.col("ended").isNull() & F.col("period").isNotNull() & F.col("band").isNotNull())
+        .select("release", "page", F.col("period.month").alias("month"), "band", "rest", "vals")
     )
-    whole = (F.size("v") == 15) & F.forall("v", lambda x: x.isNotNull())
     five = [*V.GENDERS, "total"]
     bind = F.array(
-        *[
-            F.struct(
-                F.lit(five[i % 5]).alias("g"),
-                F.lit(V.GROSS_MEASURES[i // 5]).alias("m"),
-                F.get("v", i).alias("v"),
-            )
-            for i in range(15)
-        ]
-    )
-    rows = rows.withColumn("p", bind)
-
-    def off(i: int) -> Column:
-        four = sum((F.get("v", i * 5 + j) for j in range(1, 4)), F.get("v", i * 5))
-        return F.when(four != F.get("v", i * 5 + 4), F.lit(V.GROSS_MEASURES[i]))
-
-    rows = rows.withColumn("bad", F.filter(F.array(*[off(i) for i in range(3)]), lambda m: m.isNotNull()))
+        *[_bound(F.lit(i), F.lit(five[i % 5]), F.lit(V.GROSS_MEASURES[i // 5])) for i in range(15)]
+    ).cast(BINDING)
+    whole = (F.size("vals") == 15) & F.forall("vals", lambda v: v.isNotNull())
+    rows = rows.withColumn("bad", _broken_sums(bind, _value_at))
     context = _text("text ", F.col("month"), " ", F.col("band"))
     panel = (
         rows.filter(whole & (F.size("bad") == 0))
-        .select("release", "month", F.inline(_gender_cells(F.col("band"), True)))
+        .select("release", "month", F.inline(_gender_cells(bind, _value_at, F.col("band"), True)))
         .select(
             F.col("month").alias("data_month"),
             F.col("release").alias("source_release"),
@@ -524,7 +559,11 @@ def parse_text_lines(lines: DataFrame) -> ReleaseParse:
             .cast(f"array<{NOTE}>")
         ),
     )
-    return ReleaseParse(panel, panel.limit(0), issues)
+    grid = panel.select(
+        F.col("source_release").alias("release"), F.lit(None).cast("int").alias("page"),
+        "data_month", "age_band", "value",
+    ).limit(0)
+    return ReleaseParse(panel, grid, issues)
 
 
 def release_map(spark, releases=V.RELEASES) -> DataFrame:
