@@ -12,14 +12,19 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = [
-    "label_queries",
-    "index_queries",
     "survey_queries",
+    "index_queries",
+    "statement_queries",
+    "label_queries",
     "crosswalk_queries",
     "agreement_queries",
     "sampling_queries",
     "release_queries",
     "panel_queries",
+    "regression_queries",
+    "typology_queries",
+    "contract_queries",
+    "source_queries",
 ]
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspan.catalog.surrogates import FLOWS_SQL, flows_v
+from weftspan.plans.storage import materialise
 from weftspan.sources import fixed_values as V
 
 BAND_LABELS = {
@@ -69,9 +70,10 @@ def _band_no(band: Column) -> Column:
 
 
 def cells_v(spark, d) -> DataFrame:
-    return flows_v(spark, d).groupBy("data_month", "age_band", "gender", "industry", "state").agg(
+    cells = flows_v(spark, d).groupBy("data_month", "age_band", "gender", "industry", "state").agg(
         *[F.sum(c).alias(c) for c in ("new", "ceased", "rejoined")]
     )
+    return materialise(cells, "flow-cells")
 
 
 def _with_youngest(df: DataFrame, months: DataFrame, values: list[str]) -> DataFrame:

@@ -48,10 +48,22 @@ def in_range(div: Column, ranges: Sequence[tuple[str, int, int]]) -> Column:
     return out
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_map(mapping: Mapping[str, str]) -> Column:
+    """Map literal, stated as one expression (one call however long the map)."""
+    return F.expr("map(" + ", ".join(_quoted(x) for item in mapping.items() for x in item) + ")")
+
+
+def literal_array(values: Sequence[str]) -> Column:
+    return F.expr("array(" + ", ".join(_quoted(v) for v in values) + ")")
+
+
 def recode(c: Column, mapping: Mapping[str, str], default: Column | None = None) -> Column:
     """Dictionary recode; values not listed become null or the default."""
-    pairs = [F.lit(x) for item in mapping.items() for x in item]
-    found = F.try_element_at(F.create_map(*pairs), c)
+    found = F.try_element_at(literal_map(mapping), c)
     return found if default is None else F.coalesce(found, default)
 
 
