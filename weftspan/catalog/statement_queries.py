@@ -29,7 +29,7 @@ def clean_sql(c: str) -> str:
 
 LINES_SQL = f"""raw_lines AS (
   SELECT doc_id, source AS file,
-         list_concat(list_concat(['Division ' || (doc_id % 9)::VARCHAR, {CODE_SQL}], string_split(text, chr(10))),
+         list_concat(list_concat(['Division ' || (doc_id % 9)::VARCHAR, {CODE_SQL}, 'Clerk ' || lang || ' clerks, ' || lang], string_split(text, chr(10))),
                      ['ISCO 08 Unit Group Details: Code 0000', 'tail text that is cut', (doc_id % 100)::VARCHAR]) AS body FROM documents),
 lines_v AS (
   SELECT file, doc_id * 100000 + i - 1 AS line_no, body[i] AS text
@@ -126,7 +126,9 @@ ali AS (
                lambda x: x <> '' AND starts_with(lower(s), lower(x))), lambda x: length(x))) AS cut FROM sent),
 tail AS (SELECT *, regexp_replace(substr(s, cut + 1), '^[ ,]+', '') AS rest FROM ali),
 tidy AS (
-  SELECT *, CASE WHEN cut IS NULL THEN s ELSE upper(substr(rest, 1, 1)) || substr(rest, 2) END AS t FROM tail),
+  SELECT *, CASE WHEN cut IS NULL THEN s
+                 WHEN substr(rest, 1, 1) = 'ß' THEN 'SS' || substr(rest, 2)
+                 ELSE upper(substr(rest, 1, 1)) || substr(rest, 2) END AS t FROM tail),
 statements AS (
   SELECT nco_code, row_number() OVER (PARTITION BY nco_code ORDER BY i) AS task_no, lang,
          CASE WHEN ends_with(t, '.') THEN t ELSE t || '.' END AS task_text FROM tidy WHERE length(t) >= 15)"""

@@ -415,12 +415,13 @@ LINES_PER_PAGE = 40
 
 def lines_v(spark: SparkSession, d: str) -> DataFrame:
     """Volumes as text lines: one volume per source, one page run per document,
-    with a code line, the text, a tail section and page furniture."""
+    with a code line, a title, the text, a tail section and page furniture."""
     doc = table(spark, d, "documents")
     body = F.concat(
         F.array(
             F.concat(F.lit("Division "), (F.col("doc_id") % 9).cast("string")),
             codes_of("doc_id"),
+            F.concat_ws(" ", F.lit("Clerk"), "lang", F.lit("clerks,"), "lang"),
         ),
         F.split("text", "\n"),
         F.array(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftspan.functions.numeric import asinh, ratio
 from weftspan.functions.student import quantile, two_sided_p
 from weftspan.plans.sizing import SMALL_ROWS, small_side
-from weftspan.plans.storage import cut_lineage
+from weftspan.plans.storage import cut_lineage, materialise
 from weftspan.sources import fixed_values as V
 
 TIDY = (
@@ -111,43 +111,50 @@ def effect_facts(df: DataFrame, effects: Sequence[str], cluster: str) -> Effects
 
 
 def demean(
-    df: DataFrame,
+    sample: DataFrame,
     columns: Sequence[str],
     effects: Sequence[str],
     levels: dict[str, int],
     tolerance: float = 1e-10,
     max_rounds: int = 500,
-    rounds_per_check: int = 4,
 ) -> DataFrame:
-    """Columns with the effects taken out.
-
-    Rounds go over the effects in turn until no group mean is above the
-    tolerance (relative to the spread of its column). Lineage is cut to
-    reliable storage between checks. Means of an effect are broadcast when its
-    level count, which does not change, is small.
+    """Columns with the effects taken out, by alternating over the effects.
+
+    What changes from step to step is one small table per effect: the mean, by
+    level, of what the other effects leave over. Rows are read, never
+    rewritten. Tables are cut from their lineage in reliable storage, and
+    broadcast when the level count, which does not change, is small. A round
+    that leaves the first table as it was ends the work; with one effect, or a
+    balanced panel, that is the second round.
     """
-    spread = df.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    spread = sample.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
     scale = {c: (spread[c] or 1.0) for c in columns}
-    current = df
-    for _ in range(0, max_rounds, rounds_per_check):
-        for _ in range(rounds_per_check if len(effects) > 1 else 1):
-            for e in effects:
-                means = current.groupBy(e).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-                if levels[e] <= SMALL_ROWS:
-                    means = F.broadcast(means)
-                rest = [c for c in current.columns if c not in columns]
-                current = current.join(means, e).select(
-                    *rest, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns]
-                )
-        current = cut_lineage(current)
-        left = 0.0
+    tables: dict[str, DataFrame] = {}
+
+    def without(rows: DataFrame, skip: str | None) -> DataFrame:
+        taken = {c: F.col(c) for c in columns}
+        for i, (e, table) in enumerate(tables.items()):
+            if e != skip:
+                named = table.select(e, *[F.col(c).alias(f"_{i}_{c}") for c in columns])
+                rows = rows.join(F.broadcast(named) if levels[e] <= SMALL_ROWS else named, e)
+                taken = {c: taken[c] - F.col(f"_{i}_{c}") for c in columns}
+        rest = [c for c in sample.columns if c not in columns]
+        return rows.select(*rest, *[taken[c].alias(c) for c in columns])
+
+    first = effects[0]
+    for _ in range(max_rounds):
         for e in effects:
-            means = current.groupBy(e).agg(*[F.avg(c).alias(c) for c in columns])
-            worst = means.agg(*[F.max(F.abs(c)).alias(c) for c in columns]).first()
-            left = max([left, *[abs(worst[c] or 0.0) / scale[c] for c in columns]])
-        if left < tolerance:
-            return current
-    raise RuntimeError(f"demeaning left group means of {left} after {max_rounds} rounds")
+            before = tables.get(e)
+            means = without(sample, e).groupBy(e).agg(*[F.avg(c).alias(c) for c in columns])
+            tables[e] = cut_lineage(means)
+            if e == first and before is not None:
+                old = before.select(e, *[F.col(c).alias(f"_o_{c}") for c in columns])
+                moved = tables[e].join(old, e).agg(
+                    *[F.max(F.abs(F.col(c) - F.col(f"_o_{c}"))).alias(c) for c in columns]
+                ).first()
+                if max(abs(moved[c] or 0.0) / scale[c] for c in columns) < tolerance:
+                    return without(sample, None)
+    raise RuntimeError(f"demeaning did not settle in {max_rounds} rounds")
 
 
 def within_ols(
@@ -169,9 +176,9 @@ def within_ols(
     sample = df.select(
         *[F.col(c).cast("double").alias(c) if c in numeric else F.col(c) for c in needed]
     ).dropna()
-    sample = cut_lineage(sample)
+    sample = materialise(sample, "panel")
     facts = effect_facts(sample, effects, cluster)
-    within = demean(sample, numeric, effects, facts.levels, tolerance)
+    within = materialise(demean(sample, numeric, effects, facts.levels, tolerance), "within")
 
     k = len(terms)
     x = [F.col(t) for t in terms]
@@ -276,6 +283,7 @@ def event_study(
 def robustness_menu(panel: DataFrame, window=V.REBOUND_WINDOW, other_post: str = "2023-03") -> DataFrame:
     """The two designs under a scale-free outcome, without a window, and with
     another post date; one row per specification and design."""
+    panel = materialise(panel, "menu")
     base = normalised_outcome(panel)
     later = panel.withColumn("post", (F.col("data_month") >= other_post).cast("int"))
     menu = [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftspan.functions import text as T
 from weftspan.plans.ranking import carry_forward
+from weftspan.plans.storage import materialise
 
 MARK, SEP = "\u0001", "\u0002"
 
@@ -93,96 +94,101 @@ def _title_line_count(lines: Column) -> Column:
     return F.when(three, 3).when(two, 2).when(one, 1).otherwise(0)
 
 
-def _split_merged_verb(title: str, description: str) -> tuple[Column, Column]:
+def _split_merged_verb(entries: DataFrame) -> DataFrame:
     """Give a verb that was merged onto the title line back to the description.
 
     The first lower-case token in -s opens the description; so does a pair of
     lower-case tokens that join to such a word (a verb split in the middle).
+    Token arrays are columns of their own, so that each is built once per row.
     """
-    tokens = T.words(title)
-    bare = F.transform(tokens, lambda t: T.strip_marks(t))
 
-    def whole(i: Column) -> Column:
-        return F.get(bare, i).rlike("^[a-z]{3,}s$")
-
-    def halves(i: Column) -> Column:
-        here, after = F.get(bare, i), F.coalesce(F.get(bare, i + 1), F.lit(""))
-        return (
-            here.rlike("^[a-z]+$")
+    def opens(word: Column, after: Column) -> Column:
+        return word.rlike("^[a-z]{3,}s$") | (
+            word.rlike("^[a-z]+$")
             & after.rlike("^[a-z]+$")
-            & F.concat(here, after).rlike("^[a-z]{4,}s$")
+            & F.concat(word, after).rlike("^[a-z]{4,}s$")
         )
 
-    n = F.size(tokens)
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    at = F.get(F.filter(places, lambda i: whole(i) | halves(i)), F.lit(0))
+    staged = (
+        entries.withColumn("_tokens", T.words("title"))
+        .withColumn("_bare", F.transform("_tokens", lambda t: T.strip_marks(t)))
+        .withColumn("_n", F.size("_tokens"))
+        .withColumn("_next", F.concat(F.slice("_bare", 2, F.col("_n")), F.array(F.lit(""))))
+        .withColumn("_at", F.array_position(F.zip_with("_bare", "_next", opens), F.lit(True)).cast("int"))
+    )
+    at = F.col("_at")
+    here, after = F.get("_bare", at - 1), F.get("_next", at - 1)
     rest = F.when(
-        whole(at), F.array_join(F.slice(tokens, at + 1, n), " ")
+        here.rlike("^[a-z]{3,}s$"), F.array_join(F.slice("_tokens", at, F.col("_n")), " ")
     ).otherwise(
         F.concat_ws(
-            " ",
-            F.concat(F.get(bare, at), F.coalesce(F.get(bare, at + 1), F.lit(""))),
-            F.array_join(F.slice(tokens, at + 3, n), " "),
+            " ", F.concat(here, after), F.array_join(F.slice("_tokens", at + 2, F.col("_n")), " ")
         )
     )
-    kept = T.rstrip_marks(T.clean_text(F.array_join(F.slice(tokens, F.lit(1), at), " ")))
-    return (
-        F.when(at.isNull(), F.col(title)).otherwise(kept),
-        F.when(at.isNull(), F.col(description)).otherwise(
-            F.trim(F.concat_ws(" ", rest, F.col(description)))
-        ),
+    kept = T.rstrip_marks(T.clean_text(F.array_join(F.slice("_tokens", F.lit(1), at - 1), " ")))
+    found = F.coalesce(at > 0, F.lit(False))
+    rest_of = [c for c in entries.columns if c not in ("title", "description")]
+    return staged.select(
+        *rest_of,
+        F.when(found, kept).otherwise(F.col("title")).alias("title"),
+        F.when(found, F.trim(F.concat_ws(" ", rest, F.col("description"))))
+        .otherwise(F.col("description"))
+        .alias("description"),
     )
 
 
-def collapse_title(title: str) -> Column:
+def collapse_titles(entries: DataFrame) -> DataFrame:
     """Drop a repeated leading phrase of up to six words (longest first);
     case, trailing commas and plural -s do not matter."""
-    tokens = T.words(title)
-    plain = F.transform(
-        tokens, lambda w: F.regexp_replace(T.rstrip_marks(F.lower(w)), "s+$", "")
-    )
-    half = F.least(F.lit(6), F.floor(F.size(tokens) / 2)).cast("int")
-    sizes = F.when(half >= 1, F.sequence(half, F.lit(1), F.lit(-1))).otherwise(
-        F.array().cast("array<int>")
+    staged = (
+        entries.withColumn("_tokens", T.words("title"))
+        .withColumn(
+            "_plain",
+            F.transform(
+                "_tokens", lambda w: F.regexp_replace(T.rstrip_marks(F.lower(w)), "s+$", "")
+            ),
+        )
+        .withColumn("_n", F.size("_tokens"))
     )
-    repeat = F.get(
-        F.filter(sizes, lambda n: F.slice(plain, F.lit(1), n) == F.slice(plain, n + 1, n)),
-        F.lit(0),
+    repeat = F.lit(0)
+    for n in range(1, 7):
+        same = (F.col("_n") >= 2 * n) & (F.slice("_plain", 1, n) == F.slice("_plain", n + 1, n))
+        repeat = F.when(same, F.lit(n)).otherwise(repeat)
+    staged = staged.withColumn("_repeat", repeat)
+    shorter = F.when(F.col("_repeat") == 0, F.col("title")).otherwise(
+        F.array_join(F.slice("_tokens", F.col("_repeat") + 1, F.col("_n")), " ")
     )
-    shorter = F.when(repeat.isNull(), F.col(title)).otherwise(
-        F.array_join(F.slice(tokens, repeat + 1, F.size(tokens)), " ")
+    tidy = F.regexp_replace(
+        F.regexp_replace(shorter, r"\s+([;,])", "$1"), "^[ ;,]+|[ ;,]+$", ""
     )
-    tidy = F.regexp_replace(shorter, r"\s+([;,])", "$1")
-    return F.regexp_replace(tidy, "^[ ;,]+|[ ;,]+$", "")
+    rest_of = [c for c in entries.columns if c != "title"]
+    return staged.select(*rest_of, tidy.alias("title"))
 
 
 def split_entries(segments: DataFrame) -> DataFrame:
     """Segments to entries with title, description and code prefixes; entries
-    without a title or with under 40 characters of description are dropped."""
-    body = segments.withColumn("lines", content_lines(F.col("lines"))).filter(
-        F.size("lines") > 0
-    )
-    k = _title_line_count(F.col("lines"))
-    split = body.withColumn("_k", k).select(
-        "*",
+    without a title or with under 40 characters of description are dropped.
+
+    The parsed table is written once: a filter over it would otherwise be
+    moved below all text steps and repeat each of them.
+    """
+    staged = segments.withColumn("lines", content_lines(F.col("lines")))
+    staged = staged.withColumn("_k", _title_line_count(F.col("lines"))).select(
+        "file", "code", "seq",
         T.clean_text(F.concat_ws(" ", F.slice("lines", F.lit(1), F.col("_k")))).alias("title"),
         T.clean_text(
             F.concat_ws(" ", F.slice("lines", F.col("_k") + 1, F.size("lines")))
         ).alias("description"),
     )
-    title, description = _split_merged_verb("title", "description")
-    split = split.select("file", "code", "seq", title.alias("title"), description.alias("description"))
-    split = split.withColumn("title", collapse_title("title"))
-    return minimum_content(
-        split.select(
-            F.col("code").alias("nco_code"),
-            *code_prefixes("code"),
-            F.col("title").alias("occupation_title"),
-            "description",
-            F.col("file").alias("source"),
-            "seq",
-        )
+    parsed = collapse_titles(_split_merged_verb(staged)).select(
+        F.col("code").alias("nco_code"),
+        *code_prefixes("code"),
+        F.col("title").alias("occupation_title"),
+        "description",
+        F.col("file").alias("source"),
+        "seq",
     )
+    return minimum_content(materialise(parsed, "entries"))
 
 
 def code_prefixes(code: str) -> list[Column]:
@@ -237,24 +243,27 @@ def split_statements(
     )
     longest_first = F.array_sort(aliases, lambda a, b: F.length(b) - F.length(a))
 
-    def tidy(sentence: Column) -> Column:
-        bare = T.strip(F.regexp_replace(T.strip(sentence), ";+$", ""))
-        alias = F.get(
-            F.filter(
-                F.col("_aliases"), lambda a: F.startswith(F.lower(bare), F.lower(a))
-            ),
-            F.lit(0),
-        )
-        tail = F.regexp_replace(
-            F.substr(bare, F.length(alias) + 1), "^[ ,]+", ""
+    def cut_at(sentence: Column) -> Column:
+        """Sentence and the length of the longest alias it opens with."""
+        hit = F.filter(F.col("_aliases"), lambda a: F.startswith(F.lower(sentence), F.lower(a)))
+        return F.struct(sentence.alias("s"), F.length(F.get(hit, F.lit(0))).alias("cut"))
+
+    def tail(cut: Column) -> Column:
+        rest = F.regexp_replace(F.substr(cut.getField("s"), cut.getField("cut") + 1), "^[ ,]+", "")
+        return F.struct(cut.getField("s").alias("s"), rest.alias("rest"))
+
+    def opened(part: Column) -> Column:
+        rest = part.getField("rest")
+        return F.when(rest.isNull(), part.getField("s")).otherwise(
+            F.concat(F.upper(F.substring(rest, 1, 1)), F.substr(rest, F.lit(2)))
         )
-        opened = F.concat(F.upper(F.substring(tail, 1, 1)), F.substr(tail, F.lit(2)))
-        return F.when(alias.isNull(), bare).otherwise(opened)
 
-    kept = F.filter(
-        F.transform(sentences(F.col(description)), tidy),
-        lambda s: F.length(s) >= T.MIN_STATEMENT,
+    bare = F.transform(
+        sentences(F.col(description)),
+        lambda s: T.strip(F.regexp_replace(T.strip(s), ";+$", "")),
     )
+    texts = F.transform(F.transform(F.transform(bare, cut_at), tail), opened)
+    kept = F.filter(texts, lambda s: F.length(s) >= T.MIN_STATEMENT)
     ended = F.transform(
         kept, lambda s: F.when(F.endswith(s, F.lit(".")), s).otherwise(F.concat(s, F.lit(".")))
     )
