@@ -415,7 +415,7 @@ def activity_bridge(spark, d):
 def value_weighted_exposure(spark, d):
     sums = H.division_sums(merged_v(spark, d), DIVISION_AT)
     bridge = H.activity_bridge(sums, activity_map(spark, V.ACTIVITIES))
-    return H.value_weighted(bridge, sums).select(
+    return H.value_weighted(bridge).select(
         r("value_weighted_beta"), r("exposed_value_share")
     )
 

@@ -42,6 +42,16 @@ def share_where(condition: Column, w: Column | str) -> Column:
     return ratio(sum_where(condition, w), F.sum(col(w)))
 
 
+def grand_total(c: Column | str) -> Column:
+    """Total over all rows of a grouped frame, kept beside each row.
+
+    For frames with one row per value of a classification: the rows that meet
+    in one task are groups, and the table below is read once, where a
+    subquery for the total would read it again.
+    """
+    return F.sum(col(c)).over(Window.partitionBy(F.lit(0)))
+
+
 def asinh(c: Column | str) -> Column:
     """Inverse hyperbolic sine, odd by construction so that large negative
     values keep their digits."""

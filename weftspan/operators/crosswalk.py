@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftspan.functions.numeric import ratio, zero_fill
+from weftspan.functions.numeric import grand_total, ratio, zero_fill
 from weftspan.plans.ranking import top_per_group
 from weftspan.plans.sizing import small_side
 from weftspan.sources.maps import in_range
@@ -191,21 +191,21 @@ def first_head(heads: DataFrame) -> DataFrame:
 
 def variance_share(sums: DataFrame, heads: DataFrame) -> DataFrame:
     """Between-head share of score variance, and mapped share of all weight."""
-    mapped = sums.join(first_head(heads), "nic2")
+    mapped = sums.withColumn("_all", grand_total("w")).join(first_head(heads), "nic2")
     per_head = mapped.groupBy("head").agg(
-        *[F.sum(c).alias(c) for c in ("w", "wx", "wxx")]
+        *[F.sum(c).alias(c) for c in ("w", "wx", "wxx")], F.max("_all").alias("_all")
     )
-    everyone = sums.agg(F.sum("w")).scalar()
     parts = per_head.agg(
         F.sum("w").alias("w"),
         F.sum("wx").alias("wx"),
         F.sum("wxx").alias("wxx"),
+        F.max("_all").alias("_all"),
         F.sum(F.col("wx") * F.col("wx") / F.col("w")).alias("hb"),
     )
     grand = F.col("wx") * F.col("wx") / F.col("w")
     return parts.select(
         ratio(F.col("hb") - grand, F.col("wxx") - grand).alias("eta2"),
-        (F.col("w") / everyone).alias("mapped_share"),
+        (F.col("w") / F.col("_all")).alias("mapped_share"),
     )
 
 

@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftspan.functions.numeric import group_median, ratio, share_where, sum_where, weighted_mean
+from weftspan.functions.numeric import grand_total, group_median, ratio, share_where, sum_where, weighted_mean
 from weftspan.operators.index import reweighted
 from weftspan.operators.survey import division_of
-from weftspan.plans.ranking import top_per_group
 from weftspan.plans.sizing import small_side
 from weftspan.sources import fixed_values as V
 from weftspan.sources.maps import in_range, in_sets
@@ -144,10 +143,10 @@ def education_cut(merged: DataFrame, sets=V.EDUCATION) -> DataFrame:
         df.groupBy(in_sets(F.col("edu_code"), sets).alias("education"))
         .agg(F.sum("weight").alias("w"), F.sum(F.col("beta") * F.col("weight")).alias("wx"))
     )
-    total = cells.agg(F.sum("w")).scalar()
-    return cells.filter(F.col("education").isNotNull()).select(
+    shares = cells.withColumn("pct", F.col("w") / grand_total("w") * 100)
+    return shares.filter(F.col("education").isNotNull()).select(
         "education",
-        (F.col("w") / total * 100).alias("pct"),
+        "pct",
         (F.col("wx") / F.col("w")).alias("mean_beta"),
     )
 
@@ -190,11 +189,11 @@ def white_collar_high_by_age(
         .groupBy(_age_band(bands).alias("age_band"))
         .agg(sum_where(is_high(), "weight").alias("hi"), F.sum("weight").alias("w"))
     )
-    average = cells.agg(ratio(F.sum("hi"), F.sum("w"))).scalar()
-    return cells.filter(F.col("age_band").isNotNull()).select(
-        "age_band",
-        (ratio(F.col("hi"), F.col("w")) * 100).alias("hi_pct"),
-        (average * 100).alias("segment_pct"),
+    with_average = cells.withColumn(
+        "segment_pct", ratio(grand_total("hi"), grand_total("w")) * 100
+    )
+    return with_average.filter(F.col("age_band").isNotNull()).select(
+        "age_band", (ratio(F.col("hi"), F.col("w")) * 100).alias("hi_pct"), "segment_pct"
     )
 
 
@@ -205,13 +204,21 @@ def state_ranking(
     states = scored(merged).groupBy("state").agg(
         weighted_mean("beta", "weight").alias("mean_beta"), F.sum("weight").alias("w")
     )
-    total = states.agg(F.sum("w")).scalar()
-    kept = states.filter(F.col("w") / total > min_share)
-    high = top_per_group(kept, [], [F.desc("mean_beta"), F.asc("state")], top, "place")
-    low = top_per_group(kept, [], [F.asc("mean_beta"), F.desc("state")], bottom, "place")
-    return high.withColumn("side", F.lit("top")).unionByName(
-        low.withColumn("side", F.lit("bottom"))
+    kept = states.withColumn("_share", F.col("w") / grand_total("w")).filter(
+        F.col("_share") > min_share
+    ).drop("_share")
+    # both ends come from the same ranked state rows: one pass over workers
+    ends = kept.withColumn(
+        "_high", F.row_number().over(Window.orderBy(F.desc("mean_beta"), F.asc("state")))
+    ).withColumn("_low", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).cast("int") - F.col("_high") + 1)
+    sides = F.filter(
+        F.array(
+            F.struct(F.lit("top").alias("side"), F.col("_high").alias("place")),
+            F.struct(F.lit("bottom").alias("side"), F.col("_low").alias("place")),
+        ),
+        lambda e: e.getField("place") <= F.when(e.getField("side") == "top", top).otherwise(bottom),
     )
+    return ends.select("state", "mean_beta", "w", F.inline(sides))
 
 
 def with_section(merged: DataFrame, sections=V.SECTIONS) -> DataFrame:
@@ -260,7 +267,7 @@ def section_wage_bill(
         sum_where(is_high(), wage_bill()).alias("wb_hi"),
         (sum_where(is_high(), "weight") / MILLION).alias("hi_workers_m"),
     )
-    economy = cells.agg(ratio(F.sum("wb_hi"), F.sum("wb"))).scalar()
+    economy = ratio(grand_total("wb_hi"), grand_total("wb"))
     return (
         cells.select(
             "section",
@@ -299,7 +306,7 @@ def bubble_frame(
     groups = scored(merged).groupBy("group3").agg(
         (F.sum("weight") / MILLION).alias("workers_m"), F.sum(wage_bill()).alias("wb")
     )
-    national = groups.agg(F.sum("wb")).scalar()
+    groups = groups.withColumn("wb_pct", F.col("wb") / grand_total("wb") * 100)
     kept = groups.filter(is_white_collar(start=division_at)) if white_collar else groups
     scores = index.filter(F.col("n_tasks") >= min_tasks).select("group3", "beta")
     return (
@@ -308,7 +315,7 @@ def bubble_frame(
         .select(
             "group3",
             "workers_m",
-            F.coalesce(F.col("wb") / national * 100, F.lit(0.0)).alias("wb_pct"),
+            F.coalesce("wb_pct", F.lit(0.0)).alias("wb_pct"),
             "beta",
         )
     )
@@ -330,25 +337,27 @@ def division_sums(merged: DataFrame, division_at: int = 1) -> DataFrame:
 
 def activity_bridge(sums: DataFrame, activities: DataFrame) -> DataFrame:
     """Mean score and workers per activity; an activity without workers is kept."""
-    by_div = sums.withColumn("div", F.col("nic2").try_cast("int"))
+    by_div = sums.withColumn("div", F.col("nic2").try_cast("int")).withColumn(
+        "national_beta", ratio(grand_total("wx"), grand_total("w"))
+    )
     return (
         activities.join(by_div, "div", "left")
         .groupBy("label", "value")
         .agg(
             ratio(F.sum("wx"), F.sum("w")).alias("mean_beta"),
+            F.max("national_beta").alias("national_beta"),
             (F.coalesce(F.sum("w"), F.lit(0.0)) / MILLION).alias("workers_m"),
         )
     )
 
 
-def value_weighted(bridge: DataFrame, sums: DataFrame, value_total: int = V.ACTIVITY_TOTAL) -> DataFrame:
+def value_weighted(bridge: DataFrame, value_total: int = V.ACTIVITY_TOTAL) -> DataFrame:
     """Value-weighted mean score and share of value in activities whose mean is
     above the national mean."""
-    national = sums.agg(ratio(F.sum("wx"), F.sum("w"))).scalar()
     share = F.col("value") / value_total
     return bridge.agg(
         F.sum(share * F.col("mean_beta")).alias("value_weighted_beta"),
-        sum_where(F.col("mean_beta") > national, share).alias("exposed_value_share"),
+        sum_where(F.col("mean_beta") > F.col("national_beta"), share).alias("exposed_value_share"),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspan.functions.numeric import sum_where, zero_fill
+from weftspan.functions.numeric import grand_total, sum_where, zero_fill
 from weftspan.operators.contracts import ContractError, stop_unless
 from weftspan.plans.sizing import lookup_join
 from weftspan.sources.fixed_values import (
@@ -114,11 +114,11 @@ def unmatched_groups(merged: DataFrame, key: str = "group3") -> DataFrame:
         F.sum("weight").alias("weight"),
         sum_where(F.col("beta").isNull(), "weight").alias("weight_unmatched"),
     )
-    total = by_group.agg(F.sum("weight")).scalar()
-    return by_group.filter(F.col("weight_unmatched") > 0).select(
-        key,
-        F.col("weight_unmatched").alias("weight"),
-        (F.col("weight_unmatched") / total).alias("emp_share"),
+    shares = by_group.withColumn(
+        "emp_share", F.col("weight_unmatched") / grand_total("weight")
+    )
+    return shares.filter(F.col("weight_unmatched") > 0).select(
+        key, F.col("weight_unmatched").alias("weight"), "emp_share"
     )
 
 
@@ -136,11 +136,10 @@ def project_index(
 def employment_shares(workers: DataFrame, weight: str = "weight") -> DataFrame:
     """Weight and share of all weight by group, with the division of the group."""
     groups = workers.groupBy("group3").agg(F.sum(weight).alias("w"))
-    total = groups.agg(F.sum("w")).scalar()
     return groups.select(
         "group3",
         "w",
-        (F.col("w") / total).alias("share"),
+        (F.col("w") / grand_total("w")).alias("share"),
         F.substring("group3", 1, 1).alias("division"),
     )
 

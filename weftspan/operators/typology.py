@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftspan.functions.numeric import ratio, share_where
@@ -43,7 +43,7 @@ def group_features(merged: DataFrame, index: DataFrame, min_tasks: int = 5) -> D
     joined = shares.join(small_side(median_earnings(merged)), "group3", "left").join(
         small_side(kept), "group3"
     )
-    usual = joined.agg(F.median("med_earn")).scalar()
+    usual = F.median("med_earn").over(Window.partitionBy(F.lit(0)))
     return joined.withColumn("med_earn", F.coalesce("med_earn", usual)).select(
         "group3", "workers_m", "alpha", "e2_share", "grad_share", "female_share",
         "urban_share", "young_share", F.log("med_earn").alias("log_med_earn"),

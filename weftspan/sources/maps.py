@@ -41,11 +41,17 @@ def activity_map(spark: SparkSession, activities) -> DataFrame:
 
 
 def in_range(div: Column, ranges: Sequence[tuple[str, int, int]]) -> Column:
-    """Range lookup inside the row: first listed range wins, gaps give null."""
-    out = F.lit(None).cast("string")
-    for key, low, high in reversed(ranges):
-        out = F.when((div >= low) & (div < high), F.lit(key)).otherwise(out)
-    return out
+    """Range lookup inside the row: first listed range wins, gaps give null.
+
+    The ranges become one array with a place per integer, so the value is
+    computed once per row and looked up by position.
+    """
+    places: list[str | None] = [None] * max(high for _, _, high in ranges)
+    for key, low, high in ranges:
+        for value in range(low, high):
+            places[value] = places[value] or key
+    texts = ["cast(null as string)" if p is None else _quoted(p) for p in places]
+    return F.get(F.expr(f"array({', '.join(texts)})"), div.cast("int"))
 
 
 def _quoted(text: str) -> str:
