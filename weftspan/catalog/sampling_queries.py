@@ -9,6 +9,7 @@ from weftspan.catalog.crosswalk_queries import SECTOR_SQL, SPLIT_SQL
 from weftspan.catalog.surrogates import (
     CODE_SQL, IDX_SQL, LABELS_SQL, WORKERS_SQL, codes_of, idx_v, labels_v, with_sql, workers_v,
 )
+from weftspan.functions.numeric import grand_total
 from weftspan.operators import crosswalk as X
 from weftspan.operators import sampling as L
 from weftspan.operators import survey as S
@@ -173,9 +174,10 @@ slots AS (
 
 def slots_v(spark, d):
     groups = workers_v(spark, d).groupBy("group3").agg(F.sum("weight").alias("w"))
-    total = groups.agg(F.sum("w")).scalar()
     shares = groups.select(
-        "group3", F.substring("group3", 7, 1).alias("division"), (F.col("w") / total).alias("share")
+        "group3",
+        F.substring("group3", 7, 1).alias("division"),
+        (F.col("w") / grand_total("w")).alias("share"),
     )
     divisions = shares.groupBy("division").agg(
         F.sum("share").alias("share"), F.count(F.lit(1)).alias("cap")

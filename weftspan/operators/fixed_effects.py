@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftspan.functions.numeric import asinh, ratio
 from weftspan.functions.student import quantile, two_sided_p
 from weftspan.plans.sizing import SMALL_ROWS, small_side
-from weftspan.plans.storage import cut_lineage, materialise
+from weftspan.plans.storage import materialise
 from weftspan.sources import fixed_values as V
 
 TIDY = (
@@ -122,7 +122,7 @@ def demean(
 
     What changes from step to step is one small table per effect: the mean, by
     level, of what the other effects leave over. Rows are read, never
-    rewritten. Tables are cut from their lineage in reliable storage, and
+    rewritten. Tables are written to the shared folder, so plans stay short, and
     broadcast when the level count, which does not change, is small. A round
     that leaves the first table as it was ends the work; with one effect, or a
     balanced panel, that is the second round.
@@ -146,7 +146,7 @@ def demean(
         for e in effects:
             before = tables.get(e)
             means = without(sample, e).groupBy(e).agg(*[F.avg(c).alias(c) for c in columns])
-            tables[e] = cut_lineage(means)
+            tables[e] = materialise(means, "effect")
             if e == first and before is not None:
                 old = before.select(e, *[F.col(c).alias(f"_o_{c}") for c in columns])
                 moved = tables[e].join(old, e).agg(

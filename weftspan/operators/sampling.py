@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftspan.functions.labels import LABELS
+from weftspan.functions.numeric import grand_total
 from weftspan.plans.ranking import hash_sequence, top_per_group
 from weftspan.plans.sizing import small_side
 from weftspan.sources.fixed_values import SAMPLE_PER_LABEL, SEED
@@ -73,12 +74,7 @@ def _apportion(
     the ranking is of items, never of the rows they were counted from.
     """
     spec = Window.partitionBy(*keys)
-    sums = items.groupBy(*keys).agg(F.sum(weight).alias("_s"))
-    joined = (
-        items.join(small_side(sums), list(keys))
-        if keys
-        else items.withColumn("_s", sums.select("_s").scalar())
-    )
+    joined = items.withColumn("_s", F.sum(weight).over(spec))
     quota = F.when(
         (total > 0) & (F.col("_s") > 0), F.col(weight) / F.col("_s") * total
     ).otherwise(F.lit(0.0))
@@ -129,10 +125,12 @@ def two_stage_squares(
     """
     position = F.array_position(F.array(*[F.lit(s) for s in sectors]), F.col(sector)).cast("int")
     by_sector = members.groupBy(sector).agg(F.sum(weight).alias("sector_m"))
-    total = by_sector.agg(F.rint(F.sum("sector_m") / unit_m)).scalar()
+    counted = by_sector.withColumn("_pos", position).withColumn(
+        "_total", F.rint(grand_total("sector_m") / unit_m)
+    )
     squares = largest_remainder(
-        by_sector.withColumn("_pos", position), "sector_m", total, "_pos", "sector_squares"
-    ).drop("_pos")
+        counted, "sector_m", F.col("_total"), "_pos", "sector_squares"
+    ).drop("_pos", "_total")
     placed = members.filter(F.col(weight) > 0).withColumn(
         "_place",
         F.row_number().over(

@@ -1,4 +1,4 @@
-"""Shared scratch space and lineage cuts."""
+"""Shared scratch space, and frames written there to cut their lineage."""
 
 from __future__ import annotations
 
@@ -29,14 +29,6 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/weftspan/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
