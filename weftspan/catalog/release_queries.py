@@ -43,9 +43,13 @@ def parsed_state_rows(spark, d):
 
 
 @query("parse_issues", "A8 P7 P8", with_sql(
-    """SELECT 'repaired' AS kind, count(*) AS n FROM months WHERE substr(data_month, 6, 2) = '06'
-       UNION ALL SELECT 'dropped', 2 * count(*) FROM months WHERE substr(data_month, 6, 2) = '12'
-       UNION ALL SELECT 'mismatch', count(*) FROM months WHERE substr(data_month, 6, 2) = '09'""", RELEASE_SQL))
+    """, k AS (SELECT data_month, age_band, substr(data_month, 6, 2) AS mm, count(*) OVER (PARTITION BY data_month) AS n_bands FROM bands)
+       SELECT kind, count(*) AS n FROM (
+         SELECT CASE WHEN mm = '06' AND age_band = '>35' AND n_bands = 6 THEN 'repaired'
+                     WHEN mm = '06' AND age_band = '>35' THEN 'dropped'
+                     WHEN mm = '12' AND age_band IN ('>35', '29-35') THEN 'dropped'
+                     WHEN mm = '09' AND age_band = '22-25' THEN 'mismatch' END AS kind FROM k)
+       WHERE kind IS NOT NULL GROUP BY kind""", RELEASE_SQL))
 def parse_issues(spark, d):
     detail = F.col("detail")
     kind = (

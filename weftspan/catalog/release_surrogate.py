@@ -289,7 +289,9 @@ gen AS (
   FROM bands k CROSS JOIN (VALUES ('male'), ('female'), ('transgender'), ('not_available')) g(gender)
   LEFT JOIN gen0 ON gen0.data_month = k.data_month AND gen0.age_band = k.age_band AND gen0.gender = g.gender
   WHERE NOT ({_MM.replace('data_month', 'k.data_month')} = 9 AND k.age_band = '22-25')
-    AND NOT ({_MM.replace('data_month', 'k.data_month')} = 12 AND k.age_band IN ('>35', '29-35'))),
+    AND NOT ({_MM.replace('data_month', 'k.data_month')} = 12 AND k.age_band IN ('>35', '29-35'))
+    AND NOT ({_MM.replace('data_month', 'k.data_month')} = 6 AND k.age_band = '>35'
+             AND (SELECT count(*) FROM bands b WHERE b.data_month = k.data_month) < 6)),
 net AS (SELECT data_month, {_REL} AS source_release, age_band, industry, state, nw - ceased + rejoined AS v FROM flows_v),
 ind AS (
   SELECT m.data_month, m.source_release, k.age_band, k.industry,
