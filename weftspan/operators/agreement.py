@@ -178,18 +178,19 @@ def majority_vs_model(ratings: DataFrame, raters: Sequence[str], model: str = "m
 def fleiss_kappa(ratings: DataFrame, raters: Sequence[str]) -> DataFrame:
     """Fleiss' kappa over items that every rater labelled; null if none."""
     n = len(raters)
-    values = [rating_or_null(r) for r in raters]
-    everyone = is_label(values[0])
-    for v in values[1:]:
-        everyone = everyone & is_label(v)
+    clean = ratings.select(*[rating_or_null(r).alias(f"_clean_{r}") for r in raters])
+    values = [F.col(f"_clean_{r}") for r in raters]
     per_label = {
         x: _total([F.when(v == x, 1).otherwise(0) for v in values]) for x in LABELS
     }
-    squares = _total([c * c for c in per_label.values()])
-    sums = ratings.filter(everyone).agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.avg((squares - n) / float(n * (n - 1))).alias("p_bar"),
-        *[F.sum(c).alias(f"t_{x}") for x, c in per_label.items()],
+    counted = clean.select(*[c.alias(f"_n_{x}") for x, c in per_label.items()])
+    given = [F.col(f"_n_{x}") for x in LABELS]
+    everyone = _total(given) == n
+    squares = _total([c * c for c in given])
+    sums = counted.agg(
+        F.count_if(everyone).alias("n_items"),
+        F.avg(F.when(everyone, (squares - n) / float(n * (n - 1)))).alias("p_bar"),
+        *[F.sum(F.when(everyone, F.col(f"_n_{x}"))).alias(f"t_{x}") for x in LABELS],
     )
     total = F.col("n_items") * n
     pe = _total(
