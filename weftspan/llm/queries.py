@@ -3,16 +3,10 @@ whole of its table and derives the columns that are compared."""
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspan.llm import language, packing, records, toxicity
-from weftspan.llm.tokens import default_tokenizer, id_type
+from weftspan.llm import decontaminate, language, nearest, packing, records, site_style, toxicity
 from weftspan.plans.storage import scratch_path
 
 FOLDS = 5
@@ -26,24 +20,15 @@ def fold(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS
 
 
-def with_crc(rows: DataFrame, ids: str = "ids", width: int = 4) -> DataFrame:
-    """``ids_crc32`` of ids as little-endian unsigned 32-bit integers, for ``ids``."""
-    keys = [c for c in rows.columns if c != ids]
-    kinds = ", ".join(f"`{k}` {t}" for k, t in rows.select(*keys).dtypes)
-    kind = np.dtype(f"<u{width}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crcs = [zlib.crc32(np.frombuffer(v.as_buffer(), kind).astype("<u4").tobytes()) for v in batch.column(len(keys))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(crcs, pa.int64())], names=[*keys, "ids_crc32"])
-
-    return rows.select(*keys, ids).mapInArrow(run, f"{kinds}, ids_crc32 long")
+def op1_site_style(spark: SparkSession, folder: str) -> DataFrame:
+    pages = site_style.extract(table(spark, folder, "pages"), ["page_id", "url"])
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     """One row per piece of a document: where it lies, and in which sequence."""
     packed = packing.pack(table(spark, folder, "documents"))
-    return with_crc(packed, width=id_type(default_tokenizer()).itemsize).select(
+    return packed.withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 
@@ -52,8 +37,11 @@ def op3_token_records(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as records and read back through the index."""
     out = scratch_path(spark, "records")
     records.write_records(table(spark, folder, "documents"), out)
-    back = records.read_records(spark, out).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
-    return with_crc(back).select("doc_id", "start", "n_tokens", "ids_crc32")
+    frames = records.read_frames(spark, out).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))
+    # The digest is taken before rows meet the index, so that ids don't move.
+    digests = frames.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    places = records.read_index(spark, out).select("file", "offset", "start")
+    return digests.join(places, ["file", "offset"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,6 +50,11 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.predict(docs.withColumn("held_out", fold() == 0), profiles, ["doc_id", "held_out"])
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document and benchmark item that overlap."""
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, folder: str) -> toxicity.Model:
     """Model of the labels outside the held-out fold. Rows whose doc_id has
     more than one label count with the larger."""
@@ -76,5 +69,12 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_token_records, op4_language, op6_toxicity)}
+def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = nearest.usable(table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return nearest.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_site_style, op2_packing, op3_token_records, op4_language, op5_decontamination, op6_toxicity, op7_nearest,
+)}
 SQL: dict[str, str] = {}
