@@ -25,7 +25,7 @@ from weftspan.llm.language import bounded
 from weftspan.plans.ranking import top_per_group
 from weftspan.plans.storage import materialise
 
-TREES, LEAF, LEAVES = 12, 48, 72
+TREES, LEAF, LEAVES = 16, 48, 320
 SAMPLE_VECTORS = 20_000
 BLOCK_VECTORS = 4_096
 
@@ -122,16 +122,17 @@ def _plane(points: np.ndarray, members: np.ndarray, leaf: int, rng) -> tuple | N
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(vec_id, embedding as doubles) of vectors that are not null or zero and
-    have no null or non-finite component."""
-    x = F.col(column).cast("array<double>")
-    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    """(vec_id, embedding) of vectors that are not null or zero and have no null or
+    non-finite component. Floats stay floats; all else becomes doubles."""
+    kind = dict(vectors.dtypes)[column]
+    x = F.col(column).cast(kind if kind == "array<float>" else "array<double>")
+    finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return (
         vectors.filter(F.col(key).isNotNull() & F.col(column).isNotNull())
         .select(F.col(key).cast("long").alias("vec_id"), x.alias("embedding"))
         .filter(F.exists("embedding", lambda v: v != 0) & finite)
         # 0 and -0 are one value
-        .withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
+        .withColumn("embedding", F.transform("embedding", lambda v: F.when(v == 0, F.abs(v)).otherwise(v)))
     )
 
 
@@ -144,7 +145,8 @@ def nearest(
     own row is no candidate. Vectors of other widths than the widest kind are
     a caller's error. Equal vectors are searched once: each keeps its ``k + 1``
     smallest ids, which is all that a list of ``k`` can show. The forest is grown
-    on at most about ``sample`` vectors; all vectors are dealt to its leaves, and
+    on at most about ``sample`` vectors, whose scores also bound each list from
+    below; all vectors are dealt to its leaves, and
     leaves beyond ``BLOCK_VECTORS`` members are ranked in blocks. Rows that repeat
     a vec_id count once. Empty inputs give no rows.
     """
@@ -152,15 +154,16 @@ def nearest(
     copies = materialise(
         ids.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.col("ids")[0]), "vectors"
     )
-    square = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v * v)
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
     longest = float(copies.agg(F.max(square)).first()[0] or 0.0) ** 0.5
     chosen = bounded(copies.select("rep", "embedding"), F.col("rep"), sample).orderBy("rep").collect()
-    forest = grow(np.array([r["embedding"] for r in chosen], float).reshape(len(chosen), -1), longest, trees)
+    drawn = np.array([r["embedding"] for r in chosen], float).reshape(len(chosen), -1)
+    forest = grow(drawn, longest, trees)
 
     asked = queries.distinct().withColumnRenamed("vec_id", "query_id").join(copies.select("embedding", "rep"), "embedding")
     asked = materialise(asked.select("query_id", "rep", "embedding"), "queries")
-    points = _dealt(copies.select("rep", "embedding"), forest, None)
-    probes = _dealt(asked.select("rep", "embedding").distinct(), forest, leaves)
+    points = _dealt(copies.select("rep", "embedding"), forest).drop("least")
+    probes = _dealt(asked.select("rep", "embedding").distinct(), forest, leaves, drawn, k + 1)
     sizes = points.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("blocks"))
     # One row per leaf, of which a forest has at most trees x sample.
     sizes = F.broadcast(materialise(sizes, "leaves"))
@@ -168,24 +171,26 @@ def nearest(
     probes = probes.join(sizes, "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64")})
-        q, p = np.stack(left["embedding"].to_numpy()), np.stack(right["embedding"].to_numpy())
-        reps, rows = right["rep"].to_numpy(), []
-        for begin in range(0, len(q), 1024):
-            scores = q[begin : begin + 1024] @ p.T
-            keep = min(k + 6, len(p))
-            best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
-            rows.append(pd.DataFrame({"query": np.repeat(left["rep"].to_numpy()[begin : begin + 1024], keep), "rep": reps[best].ravel()}))
+        rows = [pd.DataFrame({"query": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64")})]
+        if len(left) and len(right):
+            points, reps = np.stack(right["embedding"].to_numpy()).astype(float), right["rep"].to_numpy()
+            for begin in range(0, len(left), 1024):
+                part = left.iloc[begin : begin + 1024]
+                scores = np.stack(part["embedding"].to_numpy()).astype(float) @ points.T
+                scores[scores < part["least"].to_numpy()[:, None]] = -np.inf
+                keep = min(k + 6, len(points))
+                best = np.argpartition(-scores, keep - 1, axis=1)[:, :keep]
+                at, column = np.nonzero(np.take_along_axis(scores, best, axis=1) > -np.inf)
+                rows.append(pd.DataFrame({"query": part["rep"].to_numpy()[at], "rep": reps[best[at, column]]}))
         return pd.concat(rows)
 
     pairs = (
-        probes.select("leaf", "block", "rep", "embedding").groupBy("leaf", "block")
+        probes.select("leaf", "block", "rep", "embedding", "least").groupBy("leaf", "block")
         .cogroup(points.select("leaf", "block", "rep", "embedding").groupBy("leaf", "block"))
         .applyInPandas(rank, "query long, rep long").distinct()
     )
     shown = copies.select(F.col("rep").alias("query"), F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, v: s + v)
     scored = pairs.join(shown, "query").join(copies, "rep").select("query", dot.alias("score"), F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     lists = (
@@ -199,20 +204,31 @@ def nearest(
     )
 
 
-def _dealt(rows: DataFrame, forest: Forest, leaves: int | None) -> DataFrame:
-    """(leaf, rep, embedding): own leaf in every tree, or the leaves searched."""
+def _dealt(
+    rows: DataFrame, forest: Forest, leaves: int | None = None, drawn: np.ndarray | None = None, shown: int = 0
+) -> DataFrame:
+    """(leaf, rep, embedding, least): own leaf in every tree, or the leaves searched.
+
+    ``least`` is a score that the query's list can't end below: the lowest of its
+    best ``shown`` among the sample's vectors, which are vectors of the table.
+    """
+    kind = dict(rows.dtypes)["embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2048):
-                part = batch.slice(begin, 2048)
-                flat = part.column(1).flatten().to_numpy()
-                vectors = flat.reshape(part.num_rows, -1)
+            for begin in range(0, batch.num_rows, 512):
+                part = batch.slice(begin, 512)
+                vectors = part.column(1).flatten().to_numpy().astype(float).reshape(part.num_rows, -1)
+                least = np.full(part.num_rows, -np.inf)
                 if leaves is None:
                     found = [row.tolist() for row in forest.leaves(vectors)]
                 else:
                     found = [sorted(set(forest.search(v, leaves))) for v in vectors]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.list_(pa.int64()))], names=["rep", "embedding", "_leaves"])
-
-    out = rows.mapInArrow(run, "rep long, embedding array<double>, _leaves array<long>")
-    return out.select(F.explode("_leaves").alias("leaf"), "rep", "embedding")
+                    if len(drawn) >= shown:
+                        least = np.partition(vectors @ drawn.T, len(drawn) - shown, axis=1)[:, len(drawn) - shown] - 1e-9 * forest.longest**2
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(found, pa.list_(pa.int64())), pa.array(least)], names=["rep", "embedding", "_leaves", "least"]
+                )
+
+    out = rows.mapInArrow(run, f"rep long, embedding {kind}, _leaves array<long>, least double")
+    return out.select(F.explode("_leaves").alias("leaf"), "rep", "embedding", "least")
