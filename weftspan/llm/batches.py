@@ -29,3 +29,14 @@ def pieces(
             held += len(data)
         if found:
             yield batch.slice(begin, batch.num_rows - begin), found
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names``, each lengthened until no column of a table clashes with it."""
+    taken, found = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

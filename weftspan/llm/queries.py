@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspan.llm import decontaminate, language, nearest, packing, records, site_style, toxicity
+from weftspan.llm import decontaminate, jaccard_join, language, line_dedup, nearest, packing, passages, records, site_style, toxicity
 from weftspan.plans.storage import scratch_path
 
 FOLDS = 5
@@ -74,7 +74,30 @@ def op7_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return nearest.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Class, set and number of links of every document."""
+    return jaccard_join.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
+
+
+def op9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    kept = passages.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines, and places of the lines removed, of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    report = line_dedup.line_report(docs)
+    own = docs.select("doc_id", F.coalesce("doc_id", F.lit(line_dedup.NO_ID)).alias("_id"), F.xxhash64("text").alias("text_hash"))
+    found = own.join(report.withColumnRenamed("doc_id", "_id"), ["_id", "text_hash"], "left")
+    return found.select(
+        "doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed_lines"),
+    )
+
+
 QUERIES = {f.__name__: f for f in (
     op1_site_style, op2_packing, op3_token_records, op4_language, op5_decontamination, op6_toxicity, op7_nearest,
+    op8_jaccard_join, op9_passages, op10_line_dedup,
 )}
 SQL: dict[str, str] = {}

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspan.llm.batches import pieces
@@ -140,6 +140,24 @@ def hash_of(key: int) -> int:
     return int(mix(np.array([key], np.int64).view(np.uint64))[0])
 
 
+def score_of(text: str, model: Model) -> Column:
+    """Score of a text column, as an expression."""
+
+    @F.pandas_udf("double")
+    def scored(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+            parts = [model.scores(part) for _, part in pieces(iter([batch]), "text")]
+            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+    return scored(text)
+
+
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` whose text scores below ``least``; columns as they are."""
+    return docs.filter(score_of("text", model) < least)
+
+
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``score`` of each row. A null or empty text has the constant's
     score; a text of any length is read whole."""
