@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftspan.llm.batches import pieces
-from weftspan.llm.tokens import END_ID, default_tokenizer, encoder_of
+from weftspan.llm.tokens import END_ID, default_tokenizer, encoder_of, id_type, widened
 
 CAPACITY = 4096
 #: Mean size of a group, by whichever is reached first.
-GROUP_DOCUMENTS, GROUP_BYTES = 8_000, 24 << 20
+GROUP_DOCUMENTS, GROUP_BYTES = 8_000, 16 << 20
 
 
 class Tournament:
@@ -91,12 +91,13 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
 def pack(docs: DataFrame, capacity: int = CAPACITY, group_documents: int = GROUP_DOCUMENTS, group_bytes: int = GROUP_BYTES, seed: int = 0, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pieces with ``sequence_id`` and ``offset`` for (doc_id, text).
 
-    ``ids`` are bytes of the tokenizer's id width (``tokens.id_type``). A null or
-    empty text has the end id only; a null doc_id is kept; rows that repeat a
+    ``ids`` are little-endian unsigned 32-bit integers as bytes. A null or empty
+    text has the end id only; a null doc_id is kept; rows that repeat a
     doc_id are packed each on its own; an empty table gives no pieces. Equal
     lengths are taken in (doc_id, start) order, so a run repeats exactly.
     """
     total = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("held")).first()
+    kind_of_ids = id_type(tokenizer or default_tokenizer())
     groups = max(1, -(-total["rows"] // group_documents), -(-(total["held"] or 0) // group_bytes))
     digest = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("start"))
     dealt = cut(docs, capacity, tokenizer, end_id).withColumn("_group", F.pmod(digest, F.lit(groups)))
@@ -106,7 +107,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_documents: int = GROUP
         bins, offsets = first_fit_decreasing(group["length"].tolist(), capacity)
         base = int(group["_group"].iloc[0])
         return group.drop(columns="_group").assign(
-            sequence_id=np.asarray(bins, np.int64) * groups + base, offset=np.asarray(offsets, np.int64)
+            ids=[widened(i, kind_of_ids) for i in group["ids"]], sequence_id=np.asarray(bins, np.int64) * groups + base, offset=np.asarray(offsets, np.int64)
         )
 
     kind = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"

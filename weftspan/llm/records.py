@@ -22,13 +22,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftspan.llm.batches import pieces
-from weftspan.llm.tokens import END_ID, default_tokenizer, encoder_of, id_type
+from weftspan.llm.tokens import END_ID, default_tokenizer, encoder_of, id_type, widened
 
 #: Fixed values of the format.
 MASK_SHIFT, MASK_ADD = 15, 0xA282EAD8
@@ -92,31 +91,34 @@ def write_records(
 
 
 def build_index(spark: SparkSession, folder: str, tokenizer: str | None = None) -> None:
-    """Read the frames' lengths and write one index row per record."""
+    """Walk the frames' lengths and write one index row per record."""
     width = id_type(tokenizer or default_tokenizer()).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = memoryview(content.as_buffer())
-                at, rows = 0, []
-                while at < len(data):
-                    length, check = struct.unpack_from(HEAD, data, at)
-                    if masked(bytes(data[at : at + 8])) != check:
-                        raise ValueError(f"length checksum differs in {name} at {at}")
-                    size = HEAD_SIZE + length + TAIL_SIZE + 1
-                    rows.append((name, at, size, struct.unpack_from(KEY, data, at + HEAD_SIZE)[0], (length - KEY_SIZE) // width))
-                    at += size
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "offset", "size", "doc_id", "n_tokens"])
+        for name, data in _contents(batches):
+            at, rows = 0, []
+            while at < len(data):
+                length, check = struct.unpack_from(HEAD, data, at)
+                if masked(bytes(data[at : at + 8])) != check:
+                    raise ValueError(f"length checksum differs in {name} at {at}")
+                size = HEAD_SIZE + length + TAIL_SIZE + 1
+                rows.append((name, at, size, struct.unpack_from(KEY, data, at + HEAD_SIZE)[0], (length - KEY_SIZE) // width))
+                at += size
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["file", "offset", "size", "doc_id", "n_tokens"])
 
     kind = "file string, offset long, size long, doc_id long, n_tokens long"
-    files = _files(spark, folder).select("path", "content")
-    files.mapInArrow(run, kind).write.parquet(f"{folder}/index")
+    _files(spark, folder).mapInArrow(run, kind).write.parquet(f"{folder}/index")
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, memoryview]]:
+    for batch in batches:
+        for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            yield name, memoryview(content.as_buffer())
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/records")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/records").select("path", "content")
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,38 +137,37 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_records(spark: SparkSession, folder: str, index: DataFrame | None = None, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, start, ids as bytes of 4 each) of the records an index names.
+def read_frames(spark: SparkSession, folder: str, tokenizer: str | None = None) -> DataFrame:
+    """(file, offset, doc_id, ids as bytes) of every record, files read in place.
 
-    ``index`` is any choice of rows of ``read_index``; each file is opened once
-    and cut at the offsets asked for. Both checksums of every frame are tested.
+    Both checksums of every frame are tested. Ids are given as
+    little-endian unsigned 32-bit integers.
     """
-    narrow = id_type(tokenizer or default_tokenizer())
-    asked = (index if index is not None else read_index(spark, folder)).groupBy(F.col("file").alias("path")).agg(
-        F.sort_array(F.collect_list(F.struct("offset", "start"))).alias("asked")
-    )
-    joined = _files(spark, folder).select("path", "content").join(asked, "path")
+    kind = id_type(tokenizer or default_tokenizer())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                data = memoryview(content.as_buffer())
-                rows, held = [], 0
-                for w in wanted:
-                    doc_id, ids, _ = open_frame(data, w["offset"])
-                    wide = np.frombuffer(ids, narrow).astype("<u4").tobytes()
-                    rows.append((doc_id, w["start"], wide))
-                    held += len(wide)
-                    if held > 8 << 20:
-                        yield _rows(rows)
-                        rows, held = [], 0
-                if rows:
+        for name, data in _contents(batches):
+            at, held, rows = 0, 0, []
+            while at < len(data):
+                doc_id, ids, after = open_frame(data, at)
+                rows.append((name, at, doc_id, widened(ids, kind)))
+                at, held = after, held + len(ids)
+                if held > 4 << 20 or at >= len(data):
                     yield _rows(rows)
+                    held, rows = 0, []
 
-    out = joined.mapInArrow(run, "doc_id long, start long, ids binary")
+    out = _files(spark, folder).mapInArrow(run, "file string, offset long, doc_id long, ids binary")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
+def read_records(spark: SparkSession, folder: str, index: DataFrame | None = None) -> DataFrame:
+    """(doc_id, start, ids as bytes) of the records that ``index``, any choice of
+    rows of ``read_index``, names."""
+    asked = (index if index is not None else read_index(spark, folder)).select("file", "offset", "start")
+    return read_frames(spark, folder).join(asked, ["file", "offset"]).select("doc_id", "start", "ids")
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "ids"])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=["file", "offset", "doc_id", "ids"])

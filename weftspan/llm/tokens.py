@@ -8,20 +8,16 @@ looked up. A tokenizer whose pieces may span white space must not be used here.
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterator
+import struct
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from weftspan.llm.batches import pieces
 
 END_ID = 2
-CACHED_WORDS = 1_000_000
-AFTER_LETTER = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+CACHED_WORDS = 600_000
+#: ASCII marks but the apostrophe, which may begin a contraction.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 
 def default_tokenizer() -> str:
@@ -44,22 +40,42 @@ def id_type(path: str) -> np.dtype:
     return np.dtype("<u2" if _library(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies:
+    itself if it prints, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class WordEncoder(dict):
     """Word -> ids as bytes, encoded on first use; keeps ``CACHED_WORDS`` words.
 
-    ASCII letters are lowered first and a point or comma after a letter is set
+    ASCII letters are lowered first and marks after a run of letters are encoded
     apart: the tokenizer does both itself, so ids stay the same and more words
-    are met again. A text with a special token's opening is taken as it is.
+    are met again. A text with a special token's opening keeps its case.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.library = _library(path)
+        self.model = self.library.model
+        self.shown = byte_letters()
         self.type = id_type(path)
+        self.code = "H" if self.type.itemsize == 2 else "I"
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.library.encode(word.decode(), add_special_tokens=False).ids
-        self[word] = found = np.array(ids, self.type).tobytes()
+        stem = word.rstrip(MARKS)
+        if stem and stem != word and stem.decode().isalpha():
+            self[word] = found = self[stem] + self[word[len(stem) :]]
+            return found
+        text = word.decode()
+        if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+            # One run of letters: nothing to normalise or split before merging.
+            ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.shown))]
+        else:
+            ids = self.library.encode(text, add_special_tokens=False).ids
+        self[word] = found = struct.pack(f"<{len(ids)}{self.code}", *ids)
         return found
 
     def encode(self, text: bytes, end_id: int | None = END_ID) -> bytes:
@@ -67,7 +83,7 @@ class WordEncoder(dict):
         if len(self) > CACHED_WORDS:
             self.clear()
         if b"<|" not in text:
-            text = AFTER_LETTER.sub(rb" \1", text.lower())
+            text = text.lower()
         end = b"" if end_id is None else np.array([end_id], self.type).tobytes()
         return b"".join(map(self.__getitem__, text.split())) + end
 
@@ -78,17 +94,6 @@ def encoder_of(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encoded(docs: DataFrame, path: str, keys: list[str], text: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """``keys`` of each row with ``ids`` (bytes) of its whole text (null: empty)."""
-    width = id_type(path).itemsize
-    rows = docs.select(*keys, F.col(text).alias("_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
-        for part, texts in pieces(batches, "_text"):
-            ids = pa.array([encoder.encode(t, end_id) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*keys, "ids"])
-
-    kinds = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes[:-1])
-    out = rows.mapInArrow(run, f"{kinds}, ids binary")
-    return out.withColumn("n_tokens", (F.octet_length("ids") / width).cast("long"))
+def widened(ids: bytes, kind: np.dtype) -> bytes:
+    """The same ids as little-endian unsigned 32-bit integers."""
+    return ids if kind.itemsize == 4 else np.frombuffer(ids, kind).astype("<u4").tobytes()
