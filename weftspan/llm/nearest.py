@@ -28,6 +28,7 @@ from weftspan.plans.storage import materialise
 TREES, LEAF, LEAVES = 16, 48, 320
 SAMPLE_VECTORS = 20_000
 BLOCK_VECTORS = 4_096
+FREE_LEAVES = 4
 
 
 @dataclass
@@ -210,7 +211,8 @@ def _dealt(
     """(leaf, rep, embedding, least): own leaf in every tree, or the leaves searched.
 
     ``least`` is a score that the query's list can't end below: the lowest of its
-    best ``shown`` among the sample's vectors, which are vectors of the table.
+    best ``shown`` among the sample's vectors, which are vectors of the table. The
+    first leaves searched show their best in any case, so that no list ends short.
     """
     kind = dict(rows.dtypes)["embedding"]
 
@@ -223,7 +225,7 @@ def _dealt(
                 if leaves is None:
                     found = [row.tolist() for row in forest.leaves(vectors)]
                 else:
-                    found = [sorted(set(forest.search(v, leaves))) for v in vectors]
+                    found = [forest.search(v, leaves) for v in vectors]
                     if len(drawn) >= shown:
                         least = np.partition(vectors @ drawn.T, len(drawn) - shown, axis=1)[:, len(drawn) - shown] - 1e-9 * forest.longest**2
                 yield pa.RecordBatch.from_arrays(
@@ -231,4 +233,7 @@ def _dealt(
                 )
 
     out = rows.mapInArrow(run, f"rep long, embedding {kind}, _leaves array<long>, least double")
-    return out.select(F.explode("_leaves").alias("leaf"), "rep", "embedding", "least")
+    least = F.when(F.col("_at") < FREE_LEAVES, float("-inf")).otherwise(F.col("least"))
+    return out.select(F.posexplode("_leaves").alias("_at", "leaf"), "rep", "embedding", "least").select(
+        "leaf", "rep", "embedding", least.alias("least")
+    )
