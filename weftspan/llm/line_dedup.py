@@ -29,7 +29,7 @@ from weftspan.plans.storage import materialise
 
 SHINGLE_CHARS = 8
 THRESHOLD = 0.8
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 10, 4
 
 
 class Lines:
@@ -60,12 +60,11 @@ class Lines:
         self.ids = [struct.pack(">QQ", x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
     def keys(self) -> np.ndarray:
-        """Band keys, one row per line. One product gives two hash functions."""
+        """Band keys, one row per line."""
         minima = []
-        for number in range(BANDS * ROWS // 2):
-            product = self.shingles * np.uint64((0xD6E8FEB86659FD93 * (2 * number + 1)) & 0xFFFFFFFFFFFFFFFF)
-            for half in ((product >> np.uint64(32)).astype(np.uint32), product.astype(np.uint32)):
-                minima.append(np.minimum.reduceat(half, self.first).astype(np.uint64))
+        for factor in mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1):
+            high = ((self.shingles * factor) >> np.uint64(32)).astype(np.uint32)
+            minima.append(np.minimum.reduceat(high, self.first).astype(np.uint64))
         keys = []
         for band in range(BANDS):
             total = np.full(len(self.first), band + 1, np.uint64)
