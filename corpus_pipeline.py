@@ -18,7 +18,7 @@ from weftspan.plans.storage import scratch_path
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, learned from the labels outside the held-out
-    fold, scores below a half. A null text has the constant's score."""
+    fold, scores below a half. A null or blank text stays."""
     return toxicity.without_toxic(docs, toxicity_model(spark, docs, sf_dir))
 
 

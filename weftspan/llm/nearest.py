@@ -158,7 +158,7 @@ def nearest(
     square = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v)
     longest = float(copies.agg(F.max(square)).first()[0] or 0.0) ** 0.5
     chosen = bounded(copies.select("rep", "embedding"), F.col("rep"), sample).orderBy("rep").collect()
-    drawn = np.array([r["embedding"] for r in chosen], float).reshape(len(chosen), -1)
+    drawn = np.array([r["embedding"] for r in chosen], float).reshape(len(chosen), -1 if chosen else 0)
     forest = grow(drawn, longest, trees)
 
     asked = queries.distinct().withColumnRenamed("vec_id", "query_id").join(copies.select("embedding", "rep"), "embedding")

@@ -48,6 +48,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+def _plain(text: str) -> bool:
+    """Lower-case letters alone, which the tokenizer takes as they are."""
+    return text.isalpha() and text == text.lower() and is_normalized("NFC", text)
+
+
 class WordEncoder(dict):
     """Word -> ids as bytes, encoded on first use; keeps ``CACHED_WORDS`` words.
 
@@ -66,11 +71,11 @@ class WordEncoder(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(MARKS)
-        if stem and stem != word and stem.decode().isalpha():
+        if stem and stem != word and _plain(stem.decode()):
             self[word] = found = self[stem] + self[word[len(stem) :]]
             return found
         text = word.decode()
-        if text.isalpha() and text == text.lower() and is_normalized("NFC", text):
+        if _plain(text):
             # One run of letters: nothing to normalise or split before merging.
             ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.shown))]
         else:

@@ -154,8 +154,10 @@ def score_of(text: str, model: Model) -> Column:
 
 
 def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose text scores below ``least``; columns as they are."""
-    return docs.filter(score_of("text", model) < least)
+    """Rows of ``docs`` whose text scores below ``least``; columns as they are. A
+    null text, or one of white space alone, has nothing to reject and stays."""
+    blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")
+    return docs.filter(blank | (score_of("text", model) < least))
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
