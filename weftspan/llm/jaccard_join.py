@@ -116,8 +116,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _load(docs: DataFrame, wanted: Sieve) -> DataFrame:
-    """(id, items) of the sets that may be wanted."""
+def _wanted(docs: DataFrame, wanted: Sieve, name: str, kind: str, value) -> DataFrame:
+    """(id, ``name``) of the sets that may be wanted; ``value`` makes it from all
+    shingles of some texts and the bounds of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
@@ -130,16 +131,36 @@ def _load(docs: DataFrame, wanted: Sieve) -> DataFrame:
             places = np.array([struct.unpack(">I", i[:4])[0] for i in own], np.int64)
             hit = [n for n in np.flatnonzero(wanted.passes(places)).tolist() if own[n] not in told]
             told.update(own[n] for n in hit)
-            ends = np.append(begins[1:], len(grams))
             if hit:
-                items = [signed(grams[begins[n] : ends[n]]) for n in hit]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([own[n] for n in hit], pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=["id", "items"]
-                )
+                values = value(grams, begins, np.append(begins[1:], len(grams)), hit)
+                yield pa.RecordBatch.from_arrays([pa.array([own[n] for n in hit], pa.binary()), values], names=["id", name])
             if len(told) > 500_000:
                 told.clear()
 
-    return docs.select("text").mapInArrow(run, "id binary, items array<long>")
+    return docs.select("text").mapInArrow(run, f"id binary, {name} {kind}")
+
+
+def _load(docs: DataFrame, wanted: Sieve) -> DataFrame:
+    """(id, items): the shingles of a set."""
+
+    def items(grams, begins, ends, hit):
+        return pa.array([signed(grams[begins[n] : ends[n]]) for n in hit], pa.list_(pa.int64()))
+
+    return _wanted(docs, wanted, "items", "array<long>", items)
+
+
+def _sketch(docs: DataFrame, wanted: Sieve) -> DataFrame:
+    """(id, sketch): the minima of all coordinates, their low halves."""
+
+    def sketch(grams, begins, ends, hit):
+        grams = np.concatenate([grams[begins[n] : ends[n]] for n in hit])
+        sizes = ends[hit] - begins[hit]
+        first = np.cumsum(sizes) - sizes
+        table = np.stack([np.minimum.reduceat(coordinate(grams, c), first).astype(np.uint32) for c in range(COORDINATES)], axis=1)
+        offsets = pa.array(np.arange(0, table.size + 1, COORDINATES), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(table.view(np.int32).ravel()))
+
+    return _wanted(docs, wanted, "sketch", "array<int>", sketch)
 
 
 def _split(threshold: float):
@@ -147,15 +168,14 @@ def _split(threshold: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keys, ids = [], []
-                for key, own, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    grams = items.values.to_numpy().view(np.uint64)
+                for key, own, minima in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    table = minima.values.to_numpy().view(np.uint32).astype(np.uint64)
                     for number in sampled(key + level, threshold):
-                        least = coordinate(grams, number).min(keepdims=True)
-                        keys.append(int(signed(step(key, number, least))[0]))
+                        keys.append(int(signed(step(key, number, table[number : number + 1]))[0]))
                         ids.append(own)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["key", "id"])
 
-        return rows.select("key", "id", "items").mapInArrow(run, "key long, id binary")
+        return rows.select("key", "id", "sketch").mapInArrow(run, "key long, id binary")
 
     return split
 
@@ -172,7 +192,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """
     rows = materialise(signatures(docs, threshold, recall), "signatures")
     sets_of = rows.filter(F.col("id").isNotNull())
-    links, sets = similar_links(sets_of, lambda wanted: _load(docs, wanted), threshold, _split(threshold))
+    links, sets = similar_links(
+        sets_of, lambda wanted: _load(docs, wanted), threshold, lambda wanted: _sketch(docs, wanted), _split(threshold)
+    )
     groups = materialise(components(links).withColumnRenamed("node", "id"), "groups")
     counts = link_counts(groups, sets, threshold)
     first = sets_of.groupBy("id").agg(F.min("doc_id").alias("set_id"))

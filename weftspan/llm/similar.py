@@ -2,9 +2,10 @@
 
 Sets carry a binary id that stands for their content, and a list of bucket keys.
 Keys that only one set has are dropped by a sieve before anything is moved; the
-items of a set are read only if it shares a bucket. A bucket is compared as a
-whole with the exact Jaccard coefficient, and leaves a spanning forest of its links
-rather than all of its pairs. Buckets beyond ``LIMIT`` sets are first split
+items of a set are read only if it shares a bucket. Where sketches (minima of some
+hash functions) are given, a bucket first drops the sets that resemble no other in it
+by far. A bucket is compared as a whole with the exact Jaccard coefficient, and
+leaves a spanning forest of its links rather than all of its pairs. Buckets beyond ``LIMIT`` sets are first split
 (``split``, if given), and else compared in parts that have their pivots in common.
 """
 
@@ -23,6 +24,8 @@ from weftspan.plans.ranking import top_per_group
 from weftspan.plans.storage import materialise
 
 LIMIT = 1_024
+#: Standard deviations below the threshold at which a sketch still counts as near.
+MARGIN = 5.0
 PART, PIVOTS = 640, 64
 ITEMS_AT_ONCE = 1 << 12
 
@@ -101,36 +104,62 @@ def similar_links(
     signatures: DataFrame,
     load: Callable[[Sieve], DataFrame],
     threshold: float,
+    sketch: Callable[[Sieve], DataFrame] | None = None,
     split: Callable[[DataFrame, int], DataFrame] | None = None,
-    levels: int = 4,
+    levels: int = 6,
 ) -> tuple[DataFrame, DataFrame]:
     """Links (u, v) that connect all similar sets met in a bucket, and the sets
     (id, items) read for it.
 
-    ``signatures`` is (id, keys); rows may repeat. ``load`` gives (id, items) for at
-    least the ids that pass a sieve. ``split`` turns (key, id, items) of too large
-    buckets into rows (key, id) of smaller ones.
+    ``signatures`` is (id, keys); rows may repeat. ``load`` gives (id, items), and
+    ``sketch`` gives (id, sketch), for at least the ids that pass a sieve. ``split``
+    turns (key, id, sketch) of too large buckets into rows (key, id) of smaller ones.
     """
-    members = _crowded(materialise(shared_keys(signatures), "buckets"))
-    members = materialise(members, "members")
-    wanted = sieve(materialise(members.select("id").distinct(), "ids"), id_place("id"))
-    sets = materialise(load(wanted).groupBy("id").agg(F.first("items").alias("items")), "sets")
-    links = []
+    members = materialise(_crowded(materialise(shared_keys(signatures), "buckets")), "members")
+    sketches = _once(sketch, members, "sketch") if sketch else None
+    rows = []
     for level in range(levels + 1):
         small = members.filter(F.col("size") <= LIMIT)
         same = small.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-        links.append(_compared(same.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")), sets, threshold))
+        rows.append(same.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id")))
         large = members.filter(F.col("size") > LIMIT)
         if large.limit(1).count() == 0:
             break
         if split is None or level == levels:
-            links.append(_compared(_parts(large), sets, threshold))
+            rows.append(_parts(large))
             break
-        members = materialise(_crowded(split(large.select("key", "id").join(sets, "id"), level + 1).distinct()), "members")
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
-    return materialise(found.distinct(), "links"), sets
+        members = materialise(_crowded(split(large.select("key", "id").join(sketches, "id"), level + 1).distinct()), "members")
+    buckets = rows[0]
+    for more in rows[1:]:
+        buckets = buckets.unionByName(more)
+    if sketch:
+        buckets = _promising(buckets, sketches, threshold)
+    buckets = materialise(buckets, "compared")
+    sets = _once(load, buckets, "items")
+    return materialise(_compared(buckets, sets, threshold).distinct(), "links"), sets
+
+
+def _once(load: Callable[[Sieve], DataFrame], rows: DataFrame, value: str) -> DataFrame:
+    """(id, value) of the ids of some rows, one row each."""
+    wanted = sieve(materialise(rows.select("id").distinct(), "ids"), id_place("id"))
+    return materialise(load(wanted).groupBy("id").agg(F.first(value).alias(value)), value)
+
+
+def _promising(buckets: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, id) of the sets whose sketch is near that of another in the bucket."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id")
+        table = np.stack(group["sketch"].to_numpy())
+        n = table.shape[1]
+        same = np.zeros((len(table), len(table)), np.int32)
+        for column in table.T:
+            same += column[:, None] == column[None, :]
+        np.fill_diagonal(same, 0)
+        least = n * threshold - MARGIN * (n * threshold * (1 - threshold)) ** 0.5
+        return group.loc[same.max(axis=1) >= least, ["bucket", "id"]]
+
+    return buckets.join(sketches, "id").groupBy("bucket").applyInPandas(run, "bucket long, id binary")
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
