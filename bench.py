@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -47,6 +48,13 @@ HEADLINE = [
     "difference_in_differences",
     "group_features",
     "contract_violations",
+    "robustness_menu",
+    "chosen_typology",
+    "kmeans_vectors",
+    "parsed_entries",
+    "triple_difference",
+    "event_study",
+    "silhouette_by_group",
 ]
 
 
@@ -60,6 +68,7 @@ def main() -> None:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "16g"))
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

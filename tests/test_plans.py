@@ -49,6 +49,19 @@ def test_carry_forward_over_pages(spark):
     assert {(r["page"], r["line"]): r["s"] for r in got} == before
 
 
+def test_carry_forward_over_blocks_of_pages(spark):
+    """One source of very many pages, states far apart."""
+    pages = 200_000
+    frame = spark.range(pages).select(
+        F.lit("f").alias("f"), (F.col("id") * 40_000).alias("page"), F.lit(0).alias("line"),
+        F.when(F.col("id") % 60_000 == 7, F.col("id")).alias("s"),
+    )
+    got = carry_forward(frame, ["f"], "page", ["line"], ["s"])
+    want = F.when(F.col("n") >= 7, (F.floor((F.col("n") - 7) / 60_000) * 60_000 + 7))
+    assert got.withColumn("n", (F.col("page") / 40_000).cast("long")).filter(~F.col("s").eqNullSafe(want)).count() == 0
+    assert got.count() == pages
+
+
 def test_median_is_exact(spark):
     rng = random.Random(3)
     rows = [("hot", float(rng.randrange(1000))) for _ in range(4001)]

@@ -8,17 +8,14 @@ from compare import compare, duck
 from weftspan.catalog.registry import load
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = [
-    "exposure_by_region", "index_hierarchy", "unmatched_groups", "entry_rung", "state_ranking",
-    "median_earnings", "task_statements", "code_segments", "voted_labels", "upserted_responses",
-    "rater_agreement", "stratified_sample", "seeded_shuffle", "two_stage_squares", "allocated_slots",
-    "parsed_gender_blocks", "payroll_panel", "trailing_mean", "head_profile", "divergence_stats",
-]
+#: A mean lies on a rounding tie at the smallest size, where engines differ.
+LARGER = {"vintage_drift": "/root/testdata/sf0.01"}
+NAMES = sorted(name for name, entry in load().items() if entry.sql)
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables absent")
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, name):
     entry = load()[name]
-    con = duck(FOLDER)
-    assert compare(spark, con, name, entry.run, entry.sql, FOLDER).startswith("ok")
+    folder = LARGER.get(name, FOLDER)
+    assert compare(spark, duck(folder), name, entry.run, entry.sql, folder).startswith("ok")

@@ -12,6 +12,16 @@ def test_leading_lines_are_skipped(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("15-1252.00", "15-1132.00"), ("15-1253.00", None)]
 
 
+def test_only_leading_lines_are_skipped(spark, tmp_path):
+    text = 'Title\n\n"a,x",B\n1,2\nTitle\n"a,x",B\n'
+    for name in ("one.csv", "two.csv"):
+        (tmp_path / name).write_text(text)
+    got = io.read_text_csv(spark, str(tmp_path), skip=2)
+    assert got.columns == ["a,x", "B"]
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted([("1", "2"), ("Title", None), ("a,x", "B")] * 2)
+
+
 def test_headcounts_fall_back_to_the_stored_aggregate(spark):
     stored = scratch_path(spark, "agg")
     io.write_csv(spark.createDataFrame([("251", 62, 1.5)], "group3 string, nic_div int, workers_m double"), stored)

@@ -106,6 +106,19 @@ def nested_hierarchy(spark, d):
     )
 
 
+@query(
+    "hierarchy_leaves", "D7",
+    with_sql(
+        """SELECT l.group3, l.family, l.nco_code, s.occupation_title, l.task_id, l.score
+           FROM labels_v l JOIN statements_v s USING (task_id) WHERE l.score IN ('E0', 'E1', 'E2')""",
+        LABELS_SQL, STATEMENTS_SQL,
+    ),
+)
+def hierarchy_leaves(spark, d):
+    titles = statements_v(spark, d).select("task_id", "occupation_title")
+    return D.hierarchy_leaves(labels_v(spark, d).join(titles, "task_id"))
+
+
 @query(
     "index_coverage", "D4",
     with_sql(

@@ -34,7 +34,7 @@ voted_v AS (
 RUN_SQL = STATEMENTS_SQL + """,
 run_v AS (
   SELECT task_id, nco_code, group3,
-         sha256('model-a' || chr(1) || '0.2' || chr(1) || task_id::VARCHAR || chr(1) || '0') AS key
+         sha256('7:model-a' || chr(1) || '3:0.2' || chr(1) || length(task_id::VARCHAR) || ':' || task_id || chr(1) || '1:0') AS key
   FROM statements_v)"""
 
 
@@ -180,7 +180,7 @@ def label_failure_rate(spark, d):
     "label_rejects", "C8 A8",
     with_sql(
         """SELECT task_id, 'unparseable sample ' || sample_idx::VARCHAR || ' after strict retry: '
-                  || substr(last_response, 1, 200) AS reason FROM samples_v WHERE label IS NULL""",
+                  || last_response AS reason FROM samples_v WHERE label IS NULL""",
         SAMPLES_SQL,
     ),
 )

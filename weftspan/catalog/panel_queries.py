@@ -37,14 +37,14 @@ def negative_gross(spark, d):
 
 
 @query("calendar_gaps", "P17", psql(
-    f""", m AS (SELECT DISTINCT data_month FROM payroll_v WHERE {NATIONAL} AND substr(data_month, 6, 2) NOT IN ('03', '08'))
+    f""", m AS (SELECT DISTINCT (substr(data_month, 1, 4)::INT * 2)::VARCHAR || substr(data_month, 5) AS data_month FROM payroll_v WHERE {NATIONAL})
        SELECT strftime(d, '%Y-%m') AS data_month FROM (
          SELECT unnest(generate_series((SELECT min(data_month || '-01')::DATE FROM m), (SELECT max(data_month || '-01')::DATE FROM m), INTERVAL 1 MONTH)) AS d)
        WHERE strftime(d, '%Y-%m') NOT IN (SELECT data_month FROM m)"""))
 def calendar_gaps(spark, d):
-    return P.calendar_gaps(
-        payroll_v(spark, d).filter(~F.substring("data_month", 6, 2).isin("03", "08"))
-    )
+    """Every year counted double: the calendar has gaps of a year between."""
+    year = (F.substring("data_month", 1, 4).cast("int") * 2).cast("string")
+    return P.calendar_gaps(payroll_v(spark, d).withColumn("data_month", F.concat(year, F.substring("data_month", 5, 3))))
 
 
 @query("last_year_summary", "P18", psql(

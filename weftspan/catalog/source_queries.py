@@ -53,11 +53,11 @@ def parquet_round_trip(spark, d):
     return spark.read.parquet(path).filter(F.col("o_orderstatus") == "F")
 
 
-@query("text_csv_table", "A3", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment FROM customer")
+@query("text_csv_table", "A3", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_mktsegment, c_acctbal::VARCHAR AS c_acctbal FROM customer")
 def text_csv_table(spark, d):
-    customer = io.table(spark, d, "customer").drop("c_acctbal")
+    customer = io.table(spark, d, "customer")
     path = io.write_csv(customer, scratch_path(spark, "customer"))
-    return io.read_text_csv(spark, path).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    return io.read_text_csv(spark, path).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
 
 
 @query("csv_result_sink", "A4", with_sql("SELECT group3, n_tasks, round(beta, 6) AS beta FROM idx_v", LABELS_SQL, IDX_SQL))
@@ -101,3 +101,13 @@ def stored_headcounts(spark, d):
     io.write_csv(S.headcount(workers_v(spark, d)).withColumn("workers_m", r("workers_m", digits=7)), aggregate)
     missing = scratch_path(spark, "no-workers")
     return io.headcount_source(spark, missing, aggregate, S.headcount)
+
+
+@query("fresh_headcounts", "A9 E10", with_sql(
+    """SELECT group3, TRY_CAST(nic2 AS INTEGER) AS nic_div, round(sum(weight) / 1e6, 7) AS workers_m
+       FROM workers_v GROUP BY 1, 2""", WORKERS_SQL))
+def fresh_headcounts(spark, d):
+    workers = scratch_path(spark, "workers")
+    io.write_parquet(workers_v(spark, d), workers)
+    found = io.headcount_source(spark, workers, scratch_path(spark, "no-headcounts"), S.headcount)
+    return found.withColumn("workers_m", r("workers_m", digits=7))

@@ -32,7 +32,7 @@ LINES_SQL = f"""raw_lines AS (
          list_concat(list_concat(['Division ' || (doc_id % 9)::VARCHAR, {CODE_SQL}, 'Clerk ' || lang || ' clerks, ' || lang], string_split(text, chr(10))),
                      ['ISCO 08 Unit Group Details: Code 0000', 'tail text that is cut', (doc_id % 100)::VARCHAR]) AS body FROM documents),
 lines_v AS (
-  SELECT file, doc_id * 100000 + i - 1 AS line_no, body[i] AS text
+  SELECT file, doc_id * 2147483648 + i - 1 AS line_no, body[i] AS text
   FROM (SELECT *, unnest(range(1, len(body) + 1)) AS i FROM raw_lines))"""
 FURNITURE = "^(VOLUME II ?[AB]|National Classification of Occupations.*|Division \\d+|\\d{1,3})\\s*$"
 

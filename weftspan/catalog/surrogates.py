@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftspan.functions.numeric import zero_fill
 from weftspan.operators.index import build_index
 from weftspan.operators.labels import content_key
 from weftspan.operators.panel import panel_from_flows
@@ -194,9 +195,7 @@ GENDER_BY_REST = {"0": "male", "1": "female", "2": "transgender", "3": "not_avai
 
 def flows_v(spark: SparkSession, d: str) -> DataFrame:
     """Flow counts per order: month of the order moved 23 years on."""
-    o = table(spark, d, "orders").filter(
-        F.col("o_orderdate") < F.lit("2001-08-01").cast("timestamp_ntz")
-    )
+    o = table(spark, d, "orders")
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     df = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(
@@ -238,8 +237,7 @@ FLOWS_SQL = f"""flows_v AS (
          CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS ceased,
          CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS rejoined
   FROM orders JOIN customer ON o_custkey = c_custkey
-  JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderdate < TIMESTAMP '2001-08-01')"""
+  JOIN nation ON c_nationkey = n_nationkey)"""
 
 PAYROLL_SQL = (
     FLOWS_SQL
@@ -387,7 +385,7 @@ tries AS (
          CASE WHEN event_id % 2 = 0 THEN 'SCORE: E' || (event_id % 3)::VARCHAR ELSE 'Still no.' END
   FROM events_l WHERE label IS NULL),
 responses_v AS (
-  SELECT sha256('model-a' || chr(1) || '0.2' || chr(1) || task_id::VARCHAR || chr(1) || sample_idx::VARCHAR) AS key,
+  SELECT sha256('7:model-a' || chr(1) || '3:0.2' || chr(1) || length(task_id::VARCHAR) || ':' || task_id || chr(1) || length(sample_idx::VARCHAR) || ':' || sample_idx) AS key,
          'model-a' AS model, '0.2' AS rubric_version, task_id, sample_idx, response,
          1000 + event_id % 97 AS input_tokens, 20 + event_id % 13 AS output_tokens,
          '2024-01-01T' || lpad((event_id % 24)::VARCHAR, 2, '0') AS created_at, event_id
@@ -401,16 +399,17 @@ parsed_v AS (
 
 
 def codes_of(doc_id):
-    """Occupation-like code of a document number."""
+    """Occupation-like code of a document number; longer for numbers from 10**8 on."""
     n = F.col(doc_id)
     return F.concat(
-        F.lpad(F.floor(n / 10000).cast("string"), 4, "0"), F.lit("."),
-        F.lpad((n % 10000).cast("string"), 4, "0"),
+        zero_fill(F.floor(n / 10000).cast("string"), 4), F.lit("."), zero_fill((n % 10000).cast("string"), 4)
     )
 
 
-CODE_SQL = "lpad((doc_id // 10000)::VARCHAR, 4, '0') || '.' || lpad((doc_id % 10000)::VARCHAR, 4, '0')"
+CODE_SQL = "format('{:04d}', doc_id // 10000) || '.' || format('{:04d}', doc_id % 10000)"
 LINES_PER_PAGE = 40
+#: Room for the lines of one document in the numbering; a text of 2 GB has fewer.
+LINES_PER_DOCUMENT = 1 << 31
 
 
 def lines_v(spark: SparkSession, d: str) -> DataFrame:
@@ -430,7 +429,7 @@ def lines_v(spark: SparkSession, d: str) -> DataFrame:
             (F.col("doc_id") % 100).cast("string"),
         ),
     )
-    place = F.col("doc_id") * 100000 + F.col("i")
+    place = F.col("doc_id") * LINES_PER_DOCUMENT + F.col("i")
     return doc.select("doc_id", F.col("source").alias("file"), F.posexplode(body).alias("i", "text")).select(
         "file",
         F.floor(place / LINES_PER_PAGE).cast("bigint").alias("page"),

@@ -54,9 +54,9 @@ DIMS = [f"v{i}" for i in range(64)]
 @query("standardised_vectors", "R2",
     "SELECT vec_id, " + ", ".join(
         f"round((embedding[{i + 1}]::DOUBLE - avg(embedding[{i + 1}]::DOUBLE) OVER ()) / stddev_pop(embedding[{i + 1}]::DOUBLE) OVER (), 5) AS v{i}"
-        for i in range(0, 64, 8)) + " FROM embeddings")
+        for i in range(64)) + " FROM embeddings")
 def standardised_vectors(spark, d):
-    dims = DIMS[::8]
+    dims = DIMS
     points = table(spark, d, "embeddings").select(
         "vec_id", *[F.col("embedding")[int(v[1:])].cast("double").alias(v) for v in dims]
     )

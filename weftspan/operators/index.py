@@ -80,30 +80,15 @@ def index_hierarchy(scored: DataFrame, levels: Sequence[str]) -> DataFrame:
 def nest_hierarchy(
     nodes: DataFrame,
     levels: Sequence[str] = ("group3", "family", "nco_code"),
-    leaves: DataFrame | None = None,
-    leaf_key: str = "nco_code",
-    max_leaves: int = 10_000,
 ) -> DataFrame:
     """One row per top level with its lower levels as nested, sorted arrays.
 
-    Only index nodes are nested, whose number is that of the classification.
-    Leaves (the tasks) may be nested too when no occupation has more than
-    ``max_leaves``; above that they stay a table of their own.
+    Only index nodes are nested, whose number is that of the classification; the
+    tasks below them are rows of ``hierarchy_leaves``, at every size.
     """
     stats = ["n_tasks", "n_e0", "n_e1", "n_e2", "alpha", "beta", "zeta"]
     current = nodes.filter(F.col("level") == len(levels)).select(*levels, *stats)
-    children = None
-    if leaves is not None:
-        biggest = leaves.groupBy(leaf_key).count().agg(F.max("count")).first()[0] or 0
-        if biggest > max_leaves:
-            raise ValueError(f"an occupation has {biggest} tasks; keep leaves as a table")
-        nested = leaves.groupBy(leaf_key).agg(
-            F.sort_array(F.collect_list(F.struct("task_id", "score", "task_text"))).alias("tasks")
-        )
-        current = current.join(nested, leaf_key, "left")
-        stats_here = [*stats, "tasks"]
-    else:
-        stats_here = list(stats)
+    stats_here = list(stats)
     for depth in range(len(levels) - 1, 0, -1):
         name, parents = levels[depth], list(levels[:depth])
         entry = F.struct(F.col(name).alias("code"), *stats_here)
@@ -117,6 +102,12 @@ def nest_hierarchy(
     return current
 
 
+def hierarchy_leaves(titled: DataFrame, levels: Sequence[str] = ("group3", "family", "nco_code")) -> DataFrame:
+    """Tasks of the hierarchy as rows: label, occupation title, and the keys of all
+    levels above them."""
+    return titled.filter(is_label("score")).select(*levels, "occupation_title", "task_id", "score")
+
+
 def coverage(scores: DataFrame, statements: DataFrame, group_index: DataFrame) -> DataFrame:
     """Scored share of statements and number of groups with under five tasks."""
     scored = scores.agg(F.count_if(is_label("score")).alias("n_tasks_scored"))

@@ -15,9 +15,14 @@ RESPONSE_COLUMNS = [
 
 
 def content_key(*parts: Column | str) -> Column:
-    """SHA-256 over all parts that decide a response."""
+    """SHA-256 over all parts that decide a response.
+
+    Each part is preceded by its length and a null has a mark of its own, so
+    different lists of parts never spell the same text.
+    """
     text = [F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts]
-    return F.sha2(F.concat_ws("\u0001", *text), 256)
+    marked = [F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("null")) for t in text]
+    return F.sha2(F.concat_ws("\u0001", *marked), 256)
 
 
 def work_list(statements: DataFrame, responses: DataFrame, wave: int | None = None) -> DataFrame:
@@ -71,7 +76,8 @@ def latest_responses(stored: DataFrame, new: DataFrame) -> DataFrame:
 def sample_labels(responses: DataFrame) -> DataFrame:
     """(task_id, sample_idx, label): the first try, else its strict retry.
 
-    First try and retry meet in one group by (task, sample); no self join.
+    First try and retry meet in one group by (task, sample); no self join. Of
+    several responses to one try, the latest counts.
     """
     idx = F.col("sample_idx")
     parsed = responses.select(
@@ -80,10 +86,11 @@ def sample_labels(responses: DataFrame) -> DataFrame:
         (idx >= STRICT_OFFSET).alias("is_retry"),
         parse_response("response").alias("label"),
         "response",
+        F.struct("created_at", "response").alias("_at"),
     )
 
     def pick(retry: bool, c: str) -> Column:
-        return F.max(F.when(F.col("is_retry") == retry, F.col(c)))
+        return F.max_by(F.col(c), F.when(F.col("is_retry") == retry, F.col("_at")))
 
     return (
         parsed.groupBy("task_id", "sample_idx")
@@ -102,14 +109,16 @@ def sample_labels(responses: DataFrame) -> DataFrame:
     )
 
 
-def rejects(samples: DataFrame) -> DataFrame:
-    """Samples left without a label after the strict retry, with the reason."""
+def rejects(samples: DataFrame, shown: int | None = None) -> DataFrame:
+    """Samples left without a label after the strict retry, with the reason: the
+    last response, whole or its first ``shown`` characters."""
+    last = F.col("last_response") if shown is None else F.substring("last_response", 1, shown)
     return samples.filter(F.col("label").isNull()).select(
         "task_id",
         F.format_string(
             "unparseable sample %d after strict retry: %s",
             F.col("sample_idx"),
-            F.substring("last_response", 1, 200),
+            last,
         ).alias("reason"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 SALTS = 64
 HASH_DIGITS = 4
+BLOCK_PAGES, BLOCK_LEVELS = 4_096, 2
 
 
 def top_per_group(
@@ -88,28 +89,16 @@ def carry_forward(
     """Last non-null value of each state column up to (or before) every row.
 
     Rows are ordered by (page, *place) within a source. The walk is done per
-    page, and the state left by each page is handed on over the much shorter
-    list of pages, so that one very long source is still many tasks.
+    page, and the state left by each page is handed on from page to page, then
+    from block to block of pages (``page`` is a whole number), so that no window
+    holds all pages of a long source.
     """
     end = 0 if inclusive else -1
     rows = Window.partitionBy(*source, page).orderBy(*place).rowsBetween(
         Window.unboundedPreceding, end
     )
-    earlier = Window.partitionBy(*source).orderBy(page).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
     at = F.struct(*place)
-    left = df.groupBy(*source, page).agg(
-        *[
-            F.max_by(F.col(s), F.when(F.col(s).isNotNull(), at)).alias(s)
-            for s in states
-        ]
-    )
-    handed = left.select(
-        *source,
-        page,
-        *[F.last(s, ignorenulls=True).over(earlier).alias(f"_in_{s}") for s in states],
-    )
+    handed = _handed_on(_left_behind(df, [*source, page], at, states), source, page, states, BLOCK_LEVELS)
     walked = df.select(
         "*", *[F.last(s, ignorenulls=True).over(rows).alias(f"_at_{s}") for s in states]
     ).join(handed, [*source, page])
@@ -118,3 +107,28 @@ def carry_forward(
         *kept,
         *[F.coalesce(f"_at_{s}", f"_in_{s}").alias(s) for s in states],
     )
+
+
+def _left_behind(df: DataFrame, keys: Sequence[str], at: Column, states: Sequence[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.max_by(F.col(s), F.when(F.col(s).isNotNull(), at)).alias(s) for s in states])
+
+
+def _handed_on(left: DataFrame, source: Sequence[str], page: str, states: Sequence[str], levels: int) -> DataFrame:
+    """State before each page, from the states that pages leave behind."""
+    keys, block = list(source), f"_block{levels}"
+    if levels:
+        left = left.withColumn(block, F.floor(F.col(page) / BLOCK_PAGES))
+        keys.append(block)
+    earlier = Window.partitionBy(*keys).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    within = left.select(
+        *keys, page, *[F.last(s, ignorenulls=True).over(earlier).alias(f"_in_{s}") for s in states]
+    )
+    if not levels:
+        return within
+    blocks = _left_behind(left, keys, F.col(page), states)
+    before = _handed_on(blocks, source, block, states, levels - 1).select(
+        *keys, *[F.col(f"_in_{s}").alias(f"_before_{s}") for s in states]
+    )
+    return within.join(before, keys).select(
+        *source, page, *[F.coalesce(f"_in_{s}", f"_before_{s}").alias(f"_in_{s}") for s in states]
+    )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,16 +29,21 @@ def read_text_csv(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
     """CSV with every column read as text.
 
     ``skip`` leading lines (titles above the header) are dropped by their
-    place in the file; the header is then the first line left.
+    place at the head of each file, and the header line after them; a line
+    further down stays even if it is equal to one of these.
     """
     if not skip:
         return spark.read.csv(path, header=True, inferSchema=False)
-    first = spark.read.text(path).limit(skip + 1).collect()
-    header = first[-1][0]
-    drop = {row[0] for row in first}
-    body = spark.read.text(path).filter(~F.col("value").isin(sorted(drop)))
-    names = header.split(",")
-    schema = ", ".join(f"`{n.strip()}` string" for n in names)
+    header = spark.read.text(path).limit(skip + 1).collect()[-1][0]
+    names = [n.strip().replace("`", "``") for n in next(csv.reader([header]))]
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    # Ids rise by one within a file's first split; one row per file is kept of it.
+    begins = lines.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_at").alias("_begin"))
+    body = lines.join(begins, "_file").filter((F.col("_block") > 0) | (F.col("_at") - F.col("_begin") > skip))
+    schema = ", ".join(f"`{n}` string" for n in names)
     return body.select(F.from_csv("value", schema).alias("_r")).select("_r.*")
 
 
@@ -67,9 +74,12 @@ def run_report(df: DataFrame, measures: Sequence[Column]) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return hadoop.getFileSystem(conf).exists(hadoop)
+    """Whether a reader finds the path."""
+    try:
+        spark.read.format("binaryFile").load(path).schema
+    except AnalysisException:
+        return False
+    return True
 
 
 def headcount_source(spark: SparkSession, workers_path: str, aggregate_path: str, fresh) -> DataFrame:
