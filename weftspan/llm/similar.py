@@ -5,7 +5,7 @@ Keys that only one set has are dropped by a sieve before anything is moved; the
 items of a set are read only if it shares a bucket. Where sketches (minima of some
 hash functions) are given, a bucket first drops the sets that resemble no other in it
 by far. A bucket is compared as a whole with the exact Jaccard coefficient, and
-leaves a spanning forest of its links rather than all of its pairs. Buckets beyond ``LIMIT`` sets are first split
+leaves a star for each of its components rather than all of its pairs. Buckets beyond ``LIMIT`` sets are first split
 (``split``, if given), and else compared in parts that have their pivots in common.
 """
 
@@ -23,10 +23,10 @@ from weftspan.llm.sieve import Sieve, id_place, sieve
 from weftspan.plans.ranking import top_per_group
 from weftspan.plans.storage import materialise
 
-LIMIT = 1_024
+LIMIT = 2_048
 #: Standard deviations below the threshold at which a sketch still counts as near.
 MARGIN = 5.0
-PART, PIVOTS = 640, 64
+PART, PIVOTS = 1_024, 64
 ITEMS_AT_ONCE = 1 << 12
 
 
@@ -53,7 +53,11 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs reach the threshold; no set with itself."""
-    both = overlaps(sets).astype(np.float64)
+    if len(sets) == 2:
+        n = float(len(np.intersect1d(*sets, assume_unique=True)))
+        both = np.array([[0.0, n], [n, 0.0]])
+    else:
+        both = overlaps(sets).astype(np.float64)
     sizes = np.array([len(s) for s in sets], float)
     either = sizes[:, None] + sizes[None, :] - both
     linked = (both >= threshold * either - 1e-9) & (both > 0)
@@ -61,33 +65,57 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     return linked
 
 
-def forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Links that span each component of a symmetric table of links."""
+def stars(linked: np.ndarray, names: list) -> list[tuple[int, int]]:
+    """Each member of a component of a symmetric table of links, with the
+    component's member of least name."""
     left, found = np.ones(len(linked), bool), []
-    for start in range(len(linked)):
+    for start in sorted(range(len(linked)), key=names.__getitem__):
         if not left[start]:
             continue
         left[start] = False
         queue = [start]
         while queue:
-            node = queue.pop()
-            reached = np.flatnonzero(linked[node] & left)
+            reached = np.flatnonzero(linked[queue.pop()] & left).tolist()
             left[reached] = False
-            queue += reached.tolist()
-            found += [(node, int(r)) for r in reached]
+            queue += reached
+            found += [(start, r) for r in reached]
     return found
 
 
-def _distinct_sets(group: pd.DataFrame) -> tuple[list, list[np.ndarray]]:
-    group = group.drop_duplicates("id")
-    return group["id"].tolist(), [np.asarray(s, np.int64) for s in group["items"]]
+def _by_bucket(batches: Iterator[pa.RecordBatch], rows_out: Callable[[int, list, list], list[tuple]], kinds: list, names: list) -> Iterator[pa.RecordBatch]:
+    """Runs ``rows_out`` on (bucket, ids, values) of each bucket, ids once each, from
+    rows (bucket, id, value) that are sorted by bucket."""
+    bucket, held, out = None, {}, []
+    for batch in batches:
+        keys, ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        for at, key in enumerate(keys):
+            if key != bucket:
+                if len(held) > 1:
+                    out += rows_out(bucket, list(held), list(held.values()))
+                bucket, held = key, {}
+            held[ids[at]] = values[at]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            out = []
+    if len(held) > 1 and (out := rows_out(bucket, list(held), list(held.values()))):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
+def as_sets(values: list[pa.Scalar]) -> list[np.ndarray]:
+    """Items that are lists of distinct longs, as they are."""
+    return [v.values.to_numpy() for v in values]
 
 
 def shared_keys(signatures: DataFrame) -> DataFrame:
-    """(key, id) of (id, keys), each once, for keys that more than one row has, and
-    by chance a few more."""
-    counts = signatures.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    often = sieve(materialise(counts.filter("n > 1").select("key"), "keys"), F.col("key"))
+    """(key, id) of (id, keys), each once, for keys that more than one id has, and
+    by chance a few more.
+
+    Ids are told apart by a hash of 24 bits, so that what is moved stays small: two ids
+    miss each other, on all of their keys, with a chance of 1 in 16 million.
+    """
+    short = F.pmod(F.xxhash64("id"), F.lit(1 << 24)).cast("int")
+    seen = signatures.select(short.alias("s"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    often = sieve(materialise(seen.filter("a <> b").select("key"), "keys"), F.col("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,14 +134,16 @@ def similar_links(
     threshold: float,
     sketch: Callable[[Sieve], DataFrame] | None = None,
     split: Callable[[DataFrame, int], DataFrame] | None = None,
-    levels: int = 6,
+    levels: int = 3,
+    expand: Callable[[list[pa.Scalar]], list[np.ndarray]] = as_sets,
 ) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) that connect all similar sets met in a bucket, and the sets
+    """Ties (u, v) that connect all similar sets met in a bucket, and the sets
     (id, items) read for it.
 
     ``signatures`` is (id, keys); rows may repeat. ``load`` gives (id, items), and
     ``sketch`` gives (id, sketch), for at least the ids that pass a sieve. ``split``
     turns (key, id, sketch) of too large buckets into rows (key, id) of smaller ones.
+    ``expand`` makes sets of the items of a bucket.
     """
     members = materialise(_crowded(materialise(shared_keys(signatures), "buckets")), "members")
     sketches = _once(sketch, members, "sketch") if sketch else None
@@ -136,7 +166,7 @@ def similar_links(
         buckets = _promising(buckets, sketches, threshold)
     buckets = materialise(buckets, "compared")
     sets = _once(load, buckets, "items")
-    return materialise(_compared(buckets, sets, threshold).distinct(), "links"), sets
+    return materialise(_compared(buckets, sets, threshold, expand).distinct(), "links"), sets
 
 
 def _once(load: Callable[[Sieve], DataFrame], rows: DataFrame, value: str) -> DataFrame:
@@ -148,18 +178,21 @@ def _once(load: Callable[[Sieve], DataFrame], rows: DataFrame, value: str) -> Da
 def _promising(buckets: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """(bucket, id) of the sets whose sketch is near that of another in the bucket."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("id")
-        table = np.stack(group["sketch"].to_numpy())
+    def near(bucket: int, ids: list, sketches: list) -> list[tuple]:
+        table = np.stack([k.values.to_numpy() for k in sketches])
         n = table.shape[1]
-        same = np.zeros((len(table), len(table)), np.int32)
+        same = np.zeros((len(table), len(table)), np.uint8 if n < 256 else np.int32)
         for column in table.T:
             same += column[:, None] == column[None, :]
         np.fill_diagonal(same, 0)
         least = n * threshold - MARGIN * (n * threshold * (1 - threshold)) ** 0.5
-        return group.loc[same.max(axis=1) >= least, ["bucket", "id"]]
+        return [(bucket, ids[at]) for at in np.flatnonzero(same.max(axis=1) >= least)]
 
-    return buckets.join(sketches, "id").groupBy("bucket").applyInPandas(run, "bucket long, id binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_bucket(batches, near, [pa.int64(), pa.binary()], ["bucket", "id"])
+
+    rows = buckets.join(sketches, "id").select("bucket", "id", "sketch")
+    return _spread(rows, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, id binary")
 
 
 def _crowded(rows: DataFrame) -> DataFrame:
@@ -168,27 +201,31 @@ def _crowded(rows: DataFrame) -> DataFrame:
 
 
 def _parts(large: DataFrame) -> DataFrame:
-    """(bucket, id): each bucket in random parts, twice over; the bucket's pivots
-    are in every part, so parts of one component meet."""
+    """(bucket, id): each bucket in random parts, dealt anew for every key that a set
+    has; the bucket's pivots are in every part, so parts of one component meet."""
     parts = F.ceil(F.col("size") / PART).cast("int")
+    part = F.pmod(F.xxhash64("id", "key"), parts)
+    own = large.select(F.xxhash64("key", part.cast("long")).alias("bucket"), "id")
     pivots = top_per_group(large, ["key"], [F.xxhash64("id", F.lit(3)), F.col("id")], PIVOTS, spread=["id"])
-    rows = None
-    for salt in (0, 1):
-        own = large.select(F.xxhash64("key", F.lit(salt), F.pmod(F.xxhash64("id", F.lit(salt)), parts)).alias("bucket"), "id")
-        part = F.explode(F.sequence(F.lit(0), parts - 1))
-        held = pivots.select("key", "id", part.alias("p")).select(F.xxhash64("key", F.lit(salt), F.col("p").cast("long")).alias("bucket"), "id")
-        both = own.unionByName(held)
-        rows = both if rows is None else rows.unionByName(both)
-    return rows.distinct()
+    each = pivots.select("key", "id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
+    return own.unionByName(each.select(F.xxhash64("key", F.col("p").cast("long")).alias("bucket"), "id")).distinct()
 
 
-def _compared(buckets: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, items = _distinct_sets(group)
-        pairs = forest(similar(items, threshold)) if len(ids) > 1 else []
-        return pd.DataFrame({"u": [ids[a] for a, _ in pairs], "v": [ids[b] for _, b in pairs]}, dtype=object)
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys to as many tasks as the session shuffles to: a group's work is
+    large for its bytes, so tasks must not be merged by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _compared(buckets: DataFrame, sets: DataFrame, threshold: float, expand: Callable) -> DataFrame:
+    def ties(bucket: int, ids: list, items: list) -> list[tuple]:
+        return [(ids[a], ids[b]) for a, b in stars(similar(expand(items), threshold), ids)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _by_bucket(batches, ties, [pa.binary(), pa.binary()], ["u", "v"])
 
-    return buckets.join(sets, "id").groupBy("bucket").applyInPandas(run, "u binary, v binary")
+    rows = buckets.join(sets, "id").select("bucket", "id", "items")
+    return _spread(rows, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "u binary, v binary")
 
 
 def link_counts(groups: DataFrame, sets: DataFrame, threshold: float, block: int = 512) -> DataFrame:
@@ -209,12 +246,12 @@ def link_counts(groups: DataFrame, sets: DataFrame, threshold: float, block: int
     def run(group: pd.DataFrame) -> pd.DataFrame:
         x, y = int(group["x"].iloc[0]), int(group["y"].iloc[0])
         group = group.drop_duplicates("id")
-        ids, items = _distinct_sets(group)
-        linked = similar(items, threshold)
+        ids = group["id"].tolist()
+        linked = similar([np.asarray(i, np.int64) for i in group["items"]], threshold)
         if x != y:  # pairs within a block belong to that block alone
             own = group["b"].to_numpy()
             linked &= own[:, None] != own[None, :]
         return pd.DataFrame({"id": ids, "n": linked.sum(axis=1)})
 
-    parts = rows.join(sets, "id").groupBy("root", "x", "y").applyInPandas(run, "id binary, n long")
+    parts = _spread(rows.join(sets, "id"), "root", "x", "y").groupBy("root", "x", "y").applyInPandas(run, "id binary, n long")
     return parts.groupBy("id").agg(F.sum("n").alias("n_links"))
