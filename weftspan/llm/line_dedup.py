@@ -11,6 +11,7 @@ of doc_id and place.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from weftspan.llm.batches import fresh, pieces
 from weftspan.llm.components import components
-from weftspan.llm.hashing import BYTE_BASE, GRAM_BASE, mix, run_hashes, signed
+from weftspan.llm.hashing import GRAM_BASE, mix, run_hashes, signed
 from weftspan.llm.jaccard_join import NO_ID
 from weftspan.llm.sieve import Sieve
 from weftspan.llm.similar import similar_links
@@ -36,7 +37,7 @@ class Lines:
     """Lines with text of several documents: document and line number, id, and
     the hashes of all shingles with each line's first one."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], named: bool = True):
         doc, number, lines = [], [], []
         for at, text in enumerate(texts):
             for place, line in enumerate(text.decode().lower().split("\n")):
@@ -56,15 +57,22 @@ class Lines:
             return
         at = np.repeat(begins - self.first, self.counts) + np.arange(self.counts.sum())
         self.shingles = run_hashes(codes, at, np.minimum(at + SHINGLE_CHARS, np.repeat(ends, self.counts)))
-        a, b = run_hashes(codes, begins, ends, BYTE_BASE), run_hashes(codes, begins, ends, GRAM_BASE)
-        self.ids = [struct.pack(">QQ", x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        self.ids = [line_id(line) for line in lines] if named else []
+
+    def minima(self) -> np.ndarray:
+        """Minima of the hash functions, one row each: products of either half of a
+        shingle's hash with a random odd factor."""
+        halves = (self.shingles >> np.uint64(32)).astype(np.uint32), self.shingles.astype(np.uint32)
+        factors = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        held, found = np.empty_like(halves[0]), []
+        for number, factor in enumerate(factors):
+            np.multiply(halves[number % 2], factor, out=held)
+            found.append(np.minimum.reduceat(held, self.first))
+        return np.stack(found)
 
     def keys(self) -> np.ndarray:
         """Band keys, one row per line."""
-        minima = []
-        for factor in mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1):
-            high = ((self.shingles * factor) >> np.uint64(32)).astype(np.uint32)
-            minima.append(np.minimum.reduceat(high, self.first).astype(np.uint64))
+        minima = self.minima().astype(np.uint64)
         keys = []
         for band in range(BANDS):
             total = np.full(len(self.first), band + 1, np.uint64)
@@ -103,28 +111,35 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _load(docs: DataFrame, wanted: Sieve) -> DataFrame:
-    """(id, items) of the lines that may be wanted."""
+    """(id, items): the lower-case text of the lines that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
         for _, texts in pieces(batches, "text"):
-            lines = Lines(texts)
-            if not lines.ids:
-                continue
-            places = np.array([struct.unpack(">I", i[:4])[0] for i in lines.ids], np.int64)
-            ids, items = [], []
-            for n in np.flatnonzero(wanted.passes(places)).tolist():
-                if lines.ids[n] not in told:
-                    told.add(lines.ids[n])
-                    ids.append(lines.ids[n])
-                    own = lines.shingles[lines.first[n] : lines.first[n] + lines.counts[n]]
-                    items.append(signed(np.unique(own)))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=["id", "items"])
+            found = {}
+            for text in texts:
+                for line in text.decode().lower().split("\n"):
+                    if line := line.strip():
+                        found[line_id(line)] = line
+            ids = [i for i in found if i not in told]
+            places = np.array([struct.unpack(">I", i[:4])[0] for i in ids], np.int64)
+            hit = [ids[n] for n in np.flatnonzero(wanted.passes(places)).tolist()]
+            told.update(hit)
+            if hit:
+                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.binary()), pa.array([found[i] for i in hit], pa.string())], names=["id", "items"])
             if len(told) > 500_000:
                 told.clear()
 
-    return docs.select("text").mapInArrow(run, "id binary, items array<long>")
+    return docs.select("text").mapInArrow(run, "id binary, items string")
+
+
+def line_id(line: str) -> bytes:
+    return hashlib.md5(line.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+
+
+def _shingle_sets(items: list[pa.Scalar]) -> list[np.ndarray]:
+    lines = Lines(["\n".join(i.as_py() for i in items).encode()], named=False)
+    return [np.unique(lines.shingles[a : a + n]) for a, n in zip(lines.first, lines.counts, strict=True)]
 
 
 def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -136,7 +151,7 @@ def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     a null doc_id comes before all others and is given back as ``NO_ID``.
     """
     rows = materialise(signatures(docs), "lines")
-    links, _ = similar_links(rows.select("id", "keys"), lambda wanted: _load(docs, wanted), threshold)
+    links, _ = similar_links(rows.select("id", "keys"), lambda wanted: _load(docs, wanted), threshold, expand=_shingle_sets)
     groups = materialise(components(links).withColumnRenamed("node", "id"), "groups")
     place = F.struct("doc_id", "text_hash", "line")
     first = rows.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -146,11 +161,12 @@ def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     known = named.select("id", "root").join(kept, "root").select("id", "kept")
     drop = F.col("kept").isNotNull() & (place != F.col("kept"))
     flagged = rows.select("doc_id", "text_hash", "line", "id").join(known, "id", "left").withColumn("_drop", F.coalesce(drop, F.lit(False)))
-    once = flagged.groupBy("doc_id", "text_hash", "line").agg(F.first("_drop").alias("_drop"))
-    return once.groupBy("doc_id", "text_hash").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("_drop").cast("long")).alias("n_removed"),
-        F.sort_array(F.collect_list(F.when(F.col("_drop"), F.col("line")))).alias("removed"),
+    # Sets, since rows may repeat a document.
+    lines = flagged.groupBy("doc_id", "text_hash").agg(
+        F.size(F.collect_set("line")).cast("long").alias("n_lines"),
+        F.sort_array(F.collect_set(F.when(F.col("_drop"), F.col("line")))).alias("removed"),
     )
+    return lines.select("doc_id", "text_hash", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
