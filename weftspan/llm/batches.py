@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 
 def pieces(

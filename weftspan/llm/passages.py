@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from weftspan.plans.storage import materialise
 
 WINDOW_WORDS = 20
 PHRASE_WORDS = 8
-SHARD_SEGMENTS = 20_000
+SHARD_SEGMENTS = 3_000
 NO_ID = -(1 << 63)
 
 
@@ -110,69 +111,115 @@ def segments(docs: DataFrame, often: Sieve, with_words: bool, window: int = WIND
     return _keyed(docs).mapInArrow(run, kind)
 
 
-def locate(rows: list[tuple], window: int) -> list[list[tuple[int, tuple]]]:
-    """For each (words, first occurrence, occurrences) of a shard: the windows that
-    recur, as (place in the segment, first occurrence anywhere)."""
+def _spelled(texts: list[bytes]) -> tuple[list[str], int]:
+    """Each text as a string of ``width`` letters a word. The letters of each place
+    in a word are their own alphabet of 64, so that no node of an automaton has many
+    children and no match begins within a word."""
+    numbers: dict[bytes, int] = {}
+    split = [[numbers.setdefault(w, len(numbers)) for w in t.split()] for t in texts]
+    width = 1
+    while 64**width < len(numbers):
+        width += 1
+    names = []
+    for n in range(len(numbers)):
+        name = ""
+        for place in range(width):
+            name += chr(0x100 + 64 * place + n % 64)
+            n //= 64
+        names.append(name)
+    return ["".join(map(names.__getitem__, t)) for t in split], width
+
+
+def locate(rows: list[tuple], window: int) -> list[list[tuple]]:
+    """What recurs in each segment (anchor, words, first occurrence, occurrences) of
+    a shard, in which those of one anchor lie together.
+
+    Gives runs (first window, last window + 1, first occurrence of that first
+    window). Where an anchor has one segment only, that stands for all its windows;
+    else each window that two segments, or two occurrences of one, have is a
+    phrase of the automaton.
+    """
     import ahocorasick
 
-    numbers: dict[bytes, int] = {}
-    texts, count, first = [], {}, {}
-    for words, (doc, text, start), n in rows:
-        text_numbers = tuple(numbers.setdefault(w, len(numbers)) for w in words.split())
-        texts.append(text_numbers)
-        for at in range(len(text_numbers) - window + 1):
-            key = text_numbers[at : at + window]
-            place = (doc, text, start + at)
-            count[key] = count.get(key, 0) + n
-            if key not in first or place < first[key]:
-                first[key] = place
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for key, n in count.items():
-        if n > 1:
-            automaton.add_word(key, first[key])
+    texts, width = _spelled([r[1] for r in rows])
+    automaton = ahocorasick.Automaton()
+    size, begin = window * width, 0
+    while begin < len(rows):
+        end = begin + 1
+        while end < len(rows) and rows[end][0] == rows[begin][0]:
+            end += 1
+        if end == begin + 1:
+            if rows[begin][3] > 1:
+                automaton.add_word(texts[begin], (True, rows[begin][2]))
+        else:
+            count: dict[str, int] = {}
+            first: dict[str, tuple] = {}
+            for text, (_, _, (doc, digest, start), n) in zip(texts[begin:end], rows[begin:end], strict=True):
+                for at in range(0, len(text) - size + 1, width):
+                    key, place = text[at : at + size], (doc, digest, start + at // width)
+                    count[key] = count.get(key, 0) + n
+                    if key not in first or place < first[key]:
+                        first[key] = place
+            for key, n in count.items():
+                if n > 1:
+                    automaton.add_word(key, (False, first[key]))
+        begin = end
     if not len(automaton):
         return [[] for _ in rows]
     automaton.make_automaton()
-    return [[(end - window + 1, place) for end, place in automaton.iter(t)] for t in texts]
-
-
-def repeated_windows(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PHRASE_WORDS) -> DataFrame:
-    """(doc_id, text_hash, starts): first words of the windows of each document whose
-    words also start earlier; documents without any are absent."""
+    found = []
+    for text in texts:
+        runs: list[tuple] = []
+        for last, (whole, place) in automaton.iter(text):
+            to = (last + 1) // width - window + 1
+            at = 0 if whole else to - 1
+            if runs and runs[-1][1] == at and _follows(runs[-1], place):
+                runs[-1] = (runs[-1][0], to, runs[-1][2])
+            else:
+                runs.append((at, to, place))
+        found.append(runs)
+    return found
+
+
+def _follows(run: tuple, place: tuple) -> bool:
+    doc, digest, start = run[2]
+    return (doc, digest, start + run[1] - run[0]) == place
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PHRASE_WORDS) -> DataFrame:
+    """(doc_id, text_hash, spans): stretches of words, from ``a`` to before ``b``, that
+    windows whose words also start earlier cover; documents without any are absent."""
     often = recurring_anchors(docs, window, phrase)
     place = F.struct("doc_id", "text_hash", "start")
     distinct = segments(docs, often, True, window, phrase).groupBy("anchor", "digest", "words").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n")
     )
+    fields = ["at", "to", "doc_id", "text_hash", "start"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shard(keys: list, rows: list) -> pa.RecordBatch:
-            anchors, digests, firsts = [], [], []
-            for (anchor, digest), found in zip(keys, locate(rows, window), strict=True):
-                if found:
-                    anchors.append(anchor)
-                    digests.append(digest)
-                    firsts.append([{"at": at, "doc_id": p[0], "text_hash": p[1], "start": p[2]} for at, p in found])
-            kind = pa.list_(pa.struct([("at", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64())]))
+        def shard(rows: list, digests: list) -> pa.RecordBatch:
+            found = locate(rows, window)
+            hit = [n for n, runs in enumerate(found) if runs]
+            kind = pa.list_(pa.struct([(f, pa.int64()) for f in fields]))
+            runs = [[dict(zip(fields, (a, b, *p), strict=True)) for a, b, p in found[n]] for n in hit]
             return pa.RecordBatch.from_arrays(
-                [pa.array(anchors, pa.int64()), pa.array(digests, pa.int64()), pa.array(firsts, kind)], names=["anchor", "digest", "firsts"]
+                [pa.array([rows[n][0] for n in hit], pa.int64()), pa.array([digests[n] for n in hit], pa.int64()), pa.array(runs, kind)],
+                names=["anchor", "digest", "runs"],
             )
 
-        keys, rows, last = [], [], None
+        rows, digests = [], []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                anchor, digest, words, doc, text, start, n = row
-                if len(rows) >= SHARD_SEGMENTS and anchor != last:
-                    yield shard(keys, rows)
-                    keys, rows = [], []
-                keys.append((anchor, digest))
-                rows.append((words, (doc, text, start), n))
-                last = anchor
+            for anchor, digest, words, doc, text, start, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if len(rows) >= SHARD_SEGMENTS and anchor != rows[-1][0]:
+                    yield shard(rows, digests)
+                    rows, digests = [], []
+                rows.append((anchor, words, (doc, text, start), n))
+                digests.append(digest)
         if rows:
-            yield shard(keys, rows)
+            yield shard(rows, digests)
 
     flat = distinct.select("anchor", "digest", "words", "first.doc_id", "first.text_hash", "first.start", "n")
-    kind = "anchor long, digest long, firsts array<struct<at: long, doc_id: long, text_hash: long, start: long>>"
+    kind = f"anchor long, digest long, runs array<struct<{', '.join(f'{f}: long' for f in fields)}>>"
     located = flat.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, kind)
     own = segments(docs, often, False, window, phrase).join(located, ["anchor", "digest"])
     here = F.col("start")
@@ -180,9 +227,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int =
     def later(x):
         return ~((x["doc_id"] == F.col("doc_id")) & (x["text_hash"] == F.col("text_hash")) & (x["start"] == here + x["at"]))
 
-    starts = F.transform(F.filter("firsts", later), lambda x: (here + x["at"]).cast("int"))
-    marked = own.select("doc_id", "text_hash", starts.alias("starts")).filter(F.size("starts") > 0)
-    return marked.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+    def span(x):
+        return F.struct((here + x["at"]).cast("int").alias("a"), (here + x["to"] + window - 1).cast("int").alias("b"))
+
+    marked = own.select("doc_id", "text_hash", F.transform(F.filter("runs", later), span).alias("spans")).filter(F.size("spans") > 0)
+    return marked.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PHRASE_WORDS) -> DataFrame:
@@ -193,25 +242,38 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PH
     its own. ``kept`` joins the others by one space. A null or empty text has no
     words; a text of fewer words than a window keeps all. A null doc_id is smaller
     than any other. Rows that repeat a doc_id and its text are one document and lose
-    the same words; texts that share a doc_id are ordered by a digest.
+    the same words; texts that share a doc_id are ordered by a digest. Texts without
+    repeats are not moved.
     """
-    marked = repeated_windows(docs, window, phrase).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
+    marked = repeated_spans(docs, window, phrase).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
+    marked = materialise(marked, "spans")
+    held = sieve(marked, F.col("_hash"))
     named = docs.select(
         "doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_hash")
     )
-    rows = named.join(marked, ["_id", "_hash"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "starts", "text")
+
+    @F.pandas_udf("boolean")
+    def passes(places: pd.Series) -> pd.Series:
+        return pd.Series(held.passes(places.to_numpy()))
+
+    moved = named.filter(passes("_hash")).join(marked, ["_id", "_hash"], "left").select("doc_id", "spans", "text")
+    still = named.filter(~passes("_hash")).select("doc_id", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), "text")
+    return _without(moved).unionByName(_without(still))
+
+
+def _without(rows: DataFrame) -> DataFrame:
+    """Rows of (doc_id, spans, text) with the words of the spans taken out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text"):
             total, removed, kept = [], [], []
-            for starts, text in zip(part.column(1), texts, strict=True):
+            for spans, text in zip(part.column(1), texts, strict=True):
                 words = text.split()
                 total.append(len(words))
-                if starts.is_valid:
-                    at = starts.values.to_numpy()
+                if spans.is_valid:
                     edges = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edges, at, 1)
-                    np.add.at(edges, at + window, -1)
+                    np.add.at(edges, spans.values.field("a").to_numpy(), 1)
+                    np.add.at(edges, spans.values.field("b").to_numpy(), -1)
                     left = np.flatnonzero(np.cumsum(edges)[:-1] == 0).tolist()
                     removed.append(len(words) - len(left))
                     words = [words[i] for i in left]
@@ -223,4 +285,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PH
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    cast = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return cast.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")

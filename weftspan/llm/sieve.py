@@ -12,8 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_KEY = 16
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
+BITS_PER_KEY = 48
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 30
 
 
 @dataclass
@@ -29,7 +29,7 @@ class Sieve:
 
 def sieve(keys: DataFrame, place: Column) -> Sieve:
     """Bitmap of ``place`` (a long, used modulo the size) over the rows of
-    ``keys``: 16 bits a key, ``MOST_BITS`` (32 MB) at most."""
+    ``keys``: 48 bits a key or more, ``MOST_BITS`` (128 MB) at most."""
     n = keys.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (n * BITS_PER_KEY).bit_length()))
     at = F.pmod(place, F.lit(bits)) + 1  # Spark's bitmap functions count from 1
