@@ -88,6 +88,41 @@ def test_large_buckets_are_split_and_parted(spark, monkeypatch):
     assert all(want[got[n]] == want[n] for n in want)
 
 
+def planted(n, rng):
+    """Lists of items of which 85 in 100 are common to all, each second one near the one before (J 0.85 and more)."""
+    sets = []
+    for at in range(0, n, 2):
+        own = [int(x) for x in rng.integers(1_000, 1 << 40, 15)]
+        sets += [[*range(85), *own], [*range(85), *own[:8], *(int(x) for x in rng.integers(1 << 41, 1 << 42, 7))]]
+    return sets
+
+
+def test_line_buckets_above_the_limit_lose_no_pair(spark):
+    """All in one bucket, unrelated sets below the threshold: a pair is tied wherever its two were dealt to."""
+    n = similar.LIMIT + 400
+    sets = planted(n, np.random.default_rng(4))
+    ids = [x.to_bytes(4, "big") * 4 for x in range(n)]
+    items = spark.createDataFrame(list(zip(ids, sets, strict=True)), "id binary, items array<long>")
+    links, _ = similar.similar_links(items.selectExpr("id", "array(7L) as keys"), lambda wanted: items, 0.8)
+    got = {tuple(sorted((int.from_bytes(r["u"][:4], "big"), int.from_bytes(r["v"][:4], "big")))) for r in links.collect()}
+    assert got == {(a, a + 1) for a in range(0, n, 2)}
+
+
+def test_line_buckets_above_the_limit_keep_dense_groups(spark, monkeypatch):
+    """A component that fills blocks alone still meets all sets outside of it."""
+    monkeypatch.setattr(similar, "LIMIT", 40)
+    monkeypatch.setattr(similar, "PART", 20)
+    monkeypatch.setattr(similar, "PIVOTS", 2)
+    sets = [[*range(95), 1_000 + n] for n in range(90)]
+    sets += [[*range(85 - 3 * k), *range(2_000, 2_000 + 3 * k), *range(3_000 + 100 * k, 3_010 + 100 * k)] for k in range(4)] + planted(60, np.random.default_rng(5))
+    ids = [x.to_bytes(4, "big") * 4 for x in range(len(sets))]
+    items = spark.createDataFrame(list(zip(ids, sets, strict=True)), "id binary, items array<long>")
+    links, _ = similar.similar_links(items.selectExpr("id", "array(7L, 8L) as keys"), lambda wanted: items, 0.8)
+    got = groups([tuple(int.from_bytes(r[c][:4], "big") for c in "uv") for r in links.collect()], range(len(sets)))
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if jaccard(set(sets[a]), set(sets[b])) >= 0.8]
+    assert got == groups(pairs, range(len(sets)))
+
+
 def test_link_counts_in_blocks(spark):
     rng = np.random.default_rng(2)
     sets = [sorted(set(rng.integers(0, 40, 30).tolist())) for _ in range(60)]

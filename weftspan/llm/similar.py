@@ -5,8 +5,10 @@ Keys that only one set has are dropped by a sieve before anything is moved; the
 items of a set are read only if it shares a bucket. Where sketches (minima of some
 hash functions) are given, a bucket first drops the sets that resemble no other in it
 by far. A bucket is compared as a whole with the exact Jaccard coefficient, and
-leaves a star for each of its components rather than all of its pairs. Buckets beyond ``LIMIT`` sets are first split
-(``split``, if given), and else compared in parts that have their pivots in common.
+leaves a star for each of its components rather than all of its pairs. Buckets beyond
+``LIMIT`` sets are first compared in parts that have their pivots in common, which finds
+what is closely tied; then blocks of them meet in all pairs, but for pairs of blocks that
+one component fills. So no pair of a bucket that could tie two components goes unseen.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftspan.llm.components import components
 from weftspan.llm.sieve import Sieve, id_place, sieve
 from weftspan.plans.ranking import top_per_group
 from weftspan.plans.storage import materialise
@@ -147,7 +150,7 @@ def similar_links(
     """
     members = materialise(_crowded(materialise(shared_keys(signatures), "buckets")), "members")
     sketches = _once(sketch, members, "sketch") if sketch else None
-    rows = []
+    rows, wide = [], None
     for level in range(levels + 1):
         small = members.filter(F.col("size") <= LIMIT)
         same = small.groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
@@ -156,17 +159,31 @@ def similar_links(
         if large.limit(1).count() == 0:
             break
         if split is None or level == levels:
-            rows.append(_parts(large))
+            wide = _with(wide, large)
             break
         members = materialise(_crowded(split(large.select("key", "id").join(sketches, "id"), level + 1).distinct()), "members")
+    if wide is not None:
+        wide = materialise(_unlike(wide), "wide")
+        rows.append(_parts(wide))
     buckets = rows[0]
     for more in rows[1:]:
         buckets = buckets.unionByName(more)
     if sketch:
         buckets = _promising(buckets, sketches, threshold)
     buckets = materialise(buckets, "compared")
-    sets = _once(load, buckets, "items")
-    return materialise(_compared(buckets, sets, threshold, expand).distinct(), "links"), sets
+    sets = _once(load, _with(None if wide is None else wide.select("id"), buckets.select("id")), "items")
+    links = materialise(_compared(buckets, sets, threshold, expand).distinct(), "links")
+    if wide is None:
+        return links, sets
+    pairs = _block_pairs(wide, components(links).withColumnRenamed("node", "id"))
+    if sketch:
+        pairs = _promising(materialise(pairs, "pairs"), sketches, threshold)
+    found = _compared(materialise(pairs, "compared"), sets, threshold, expand)
+    return materialise(links.unionByName(found).distinct(), "links"), sets
+
+
+def _with(some: DataFrame | None, more: DataFrame) -> DataFrame:
+    return more if some is None else some.unionByName(more)
 
 
 def _once(load: Callable[[Sieve], DataFrame], rows: DataFrame, value: str) -> DataFrame:
@@ -200,6 +217,15 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "key")
 
 
+def _unlike(wide: DataFrame) -> DataFrame:
+    """Rows (key, id, size) of one bucket each among those of equal members."""
+    own = F.xxhash64("id")
+    told = wide.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(own).alias("a"), F.sum(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 40))).alias("b")
+    )
+    return wide.join(told.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _parts(large: DataFrame) -> DataFrame:
     """(bucket, id): each bucket in random parts, dealt anew for every key that a set
     has; the bucket's pivots are in every part, so parts of one component meet."""
@@ -211,6 +237,33 @@ def _parts(large: DataFrame) -> DataFrame:
     return own.unionByName(each.select(F.xxhash64("key", F.col("p").cast("long")).alias("bucket"), "id")).distinct()
 
 
+def _block_pairs(wide: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, id): each bucket of (key, id) cut into blocks of about ``PART``, and
+    every pair of blocks as a bucket of its own.
+
+    A component of (id, root) that has ``PART`` members or more in a bucket fills
+    blocks alone, and those need not meet each other: ties within a component add
+    nothing to it. All other sets are dealt at random.
+    """
+    tied = wide.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = tied.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    own = sizes.filter(F.col("n") >= PART).select("key", "root", F.ceil(F.col("n") / PART).cast("int").alias("_own"))
+    rest = sizes.filter(F.col("n") < PART).groupBy("key").agg(F.ceil(F.sum("n") / PART).cast("int").alias("_rest"))
+    whole = F.when(F.col("_own").isNotNull(), F.col("root"))
+    place = F.pmod(F.xxhash64("id", F.lit(7)), F.coalesce("_own", "_rest"))
+    dealt = tied.join(own, ["key", "root"], "left").join(rest, "key", "left").select(
+        "key", "id", whole.alias("whole"), F.xxhash64(whole, place).alias("block")
+    )
+    dealt = materialise(dealt, "blocks")
+    blocks = dealt.select("key", "block", "whole").distinct()
+    x = blocks.select("key", F.col("block").alias("x"), F.col("whole").alias("_x"))
+    y = blocks.select("key", F.col("block").alias("y"), F.col("whole").alias("_y"))
+    apart = F.col("_x").isNull() | F.col("_y").isNull() | (F.col("_x") != F.col("_y"))
+    pairs = x.join(y, "key").filter((F.col("x") <= F.col("y")) & apart)
+    met = pairs.select("key", F.xxhash64("key", "x", "y").alias("bucket"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    return dealt.join(met, ["key", "block"]).select("bucket", "id")
+
+
 def _spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Dealt by keys to as many tasks as the session shuffles to: a group's work is
     large for its bytes, so tasks must not be merged by size."""
