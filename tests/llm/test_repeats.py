@@ -123,6 +123,39 @@ def test_line_buckets_above_the_limit_keep_dense_groups(spark, monkeypatch):
     assert got == groups(pairs, range(len(sets)))
 
 
+@pytest.mark.parametrize(("shared", "blocks"), [(84, 100), (84, 2), (40, 2)])
+def test_near_pairs_of_a_hot_source(spark, monkeypatch, shared, blocks):
+    """Texts that share most shingles stay below the threshold, and the pairs among them
+    (J 0.82) are found: in blocks, in nodes that no split shrinks, and in split nodes."""
+    monkeypatch.setattr(similar, "LIMIT", 20)
+    monkeypatch.setattr(similar, "PART", 10)
+    monkeypatch.setattr(similar, "PIVOTS", 2)
+    monkeypatch.setattr(similar, "SPLIT_BLOCKS", blocks)
+    rng = random.Random(12)
+    base, rows = words(rng, shared, 10**6), []
+    for n in range(0, 240, 2):
+        text = base + words(rng, 100 - shared, 10**6)
+        rows += [(n, " ".join(text), "en", "s", 1), (n + 1, " ".join(text[:-9] + words(rng, 9, 10**6)), "en", "s", 1)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(documents(spark, rows)).collect()}
+    sets = [plain_shingles(r[1]) for r in rows]
+    assert all((jaccard(sets[a], sets[b]) >= 0.8) == (a // 2 == b // 2) for a in range(240) for b in range(a))
+    hits = sum(got[n] == (n - n % 2, 1) for n in got)
+    assert hits >= 238 and all(c in (n, n - n % 2) for n, (c, _) in got.items())
+
+
+def test_one_split_keeps_near_pairs_together(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for n in range(1_000):
+        a = rng.integers(-(2**31), 2**31, 64)
+        b = np.where(rng.random(64) < 0.8, a, rng.integers(-(2**31), 2**31, 64))
+        rows += [(n, bytes([0]), a.tolist()), (n, bytes([1]), b.tolist())]  # each pair a node of its own
+    frame = spark.createDataFrame(rows, "key long, id binary, sketch array<int>")
+    split = jaccard_join._split(0.8, 0.999)(frame, 1).distinct()
+    together = split.groupBy("parent", "key").count().filter("count = 2").select("parent").distinct().count()
+    assert together >= 993
+
+
 def test_link_counts_in_blocks(spark):
     rng = np.random.default_rng(2)
     sets = [sorted(set(rng.integers(0, 40, 30).tolist())) for _ in range(60)]

@@ -5,8 +5,8 @@ class, and classes are compared once. A tree of paths is grown: at each node a
 class follows the shingles that the node samples, so two classes stay together
 with a chance that grows with their overlap. Sampling works on minima of hash
 functions (coordinates): a node samples coordinates at random, and a class follows
-it with the shingle that is its minimum there. Small nodes are compared in full,
-larger ones are split again. Runs repeat with other samples until the recall
+it with the shingle that is its minimum there. Nodes are compared in full, very large
+ones are split again first. Runs repeat with other samples until the recall
 aimed at is reached; all runs go side by side. Links found join classes to
 groups, and in each group all pairs are then compared, so that the counts of links
 are exact for the groups found.
@@ -163,19 +163,28 @@ def _sketch(docs: DataFrame, wanted: Sieve) -> DataFrame:
     return _wanted(docs, wanted, "sketch", "array<int>", sketch)
 
 
-def _split(threshold: float):
+def _split(threshold: float, recall: float):
+    """Children of a node. It samples as often as there are runs: a pair survives each
+    split with the chance ``recall``, where one sample would lose a third of those left."""
+    draws = runs_for(recall, threshold)
+
     def split(rows: DataFrame, level: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            taken: dict[int, list[int]] = {}
             for batch in batches:
-                keys, ids = [], []
+                parents, keys, ids = [], [], []
                 for key, own, minima in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                     table = minima.values.to_numpy().view(np.uint32).astype(np.uint64)
-                    for number in sampled(key + level, threshold):
+                    if key not in taken:
+                        taken[key] = sorted({n for draw in range(draws) for n in sampled(key + level * draws + draw, threshold)})
+                    for number in taken[key]:
+                        parents.append(key)
                         keys.append(int(signed(step(key, number, table[number : number + 1]))[0]))
                         ids.append(own)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], names=["key", "id"])
+                columns = [pa.array(parents, pa.int64()), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["parent", "key", "id"])
 
-        return rows.select("key", "id", "sketch").mapInArrow(run, "key long, id binary")
+        return rows.select("key", "id", "sketch").mapInArrow(run, "parent long, key long, id binary")
 
     return split
 
@@ -193,7 +202,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     rows = materialise(signatures(docs, threshold, recall), "signatures")
     sets_of = rows.filter(F.col("id").isNotNull())
     links, sets = similar_links(
-        sets_of, lambda wanted: _load(docs, wanted), threshold, lambda wanted: _sketch(docs, wanted), _split(threshold)
+        sets_of, lambda wanted: _load(docs, wanted), threshold, lambda wanted: _sketch(docs, wanted), _split(threshold, recall)
     )
     groups = materialise(components(links).withColumnRenamed("node", "id"), "groups")
     counts = link_counts(groups, sets, threshold)

@@ -9,6 +9,8 @@ leaves a star for each of its components rather than all of its pairs. Buckets b
 ``LIMIT`` sets are first compared in parts that have their pivots in common, which finds
 what is closely tied; then blocks of them meet in all pairs, but for pairs of blocks that
 one component fills. So no pair of a bucket that could tie two components goes unseen.
+Buckets of more than ``SPLIT_BLOCKS`` such blocks are split before (``split``, if given)
+for as long as that shrinks them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ LIMIT = 2_048
 #: Standard deviations below the threshold at which a sketch still counts as near.
 MARGIN = 5.0
 PART, PIVOTS = 1_024, 64
+#: Blocks beyond which a split, which makes some nine rows of one, moves less than all pairs of blocks.
+SPLIT_BLOCKS = 16
 ITEMS_AT_ONCE = 1 << 12
 
 
@@ -137,7 +141,7 @@ def similar_links(
     threshold: float,
     sketch: Callable[[Sieve], DataFrame] | None = None,
     split: Callable[[DataFrame, int], DataFrame] | None = None,
-    levels: int = 3,
+    levels: int = 6,
     expand: Callable[[list[pa.Scalar]], list[np.ndarray]] = as_sets,
 ) -> tuple[DataFrame, DataFrame]:
     """Ties (u, v) that connect all similar sets met in a bucket, and the sets
@@ -145,7 +149,8 @@ def similar_links(
 
     ``signatures`` is (id, keys); rows may repeat. ``load`` gives (id, items), and
     ``sketch`` gives (id, sketch), for at least the ids that pass a sieve. ``split``
-    turns (key, id, sketch) of too large buckets into rows (key, id) of smaller ones.
+    turns (key, id, sketch) of too large buckets into rows (parent, key, id) of smaller
+    ones; a bucket of which one holds more than half is not split.
     ``expand`` makes sets of the items of a bucket.
     """
     members = materialise(_crowded(materialise(shared_keys(signatures), "buckets")), "members")
@@ -158,10 +163,17 @@ def similar_links(
         large = members.filter(F.col("size") > LIMIT)
         if large.limit(1).count() == 0:
             break
-        if split is None or level == levels:
-            wide = _with(wide, large)
+        huge = large.filter(F.col("size") > SPLIT_BLOCKS * PART)
+        if split is None or level == levels or huge.limit(1).count() == 0:
+            wide = _with(wide, large.select("key", "id", "size"))
             break
-        members = materialise(_crowded(split(large.select("key", "id").join(sketches, "id"), level + 1).distinct()), "members")
+        below = materialise(_crowded(split(huge.select("key", "id").join(sketches, "id"), level + 1).distinct()), "members")
+        most = below.groupBy("parent").agg(F.max("size").alias("most"))
+        whole = large.join(most, F.col("key") == F.col("parent"), "left").filter((large["size"] <= SPLIT_BLOCKS * PART) | (F.col("most") * 2 > large["size"]))
+        whole = materialise(whole.select("key", "id", "size"), "unsplit")
+        wide = _with(wide, whole)
+        kept = whole.select(F.col("key").alias("parent")).distinct()
+        members = materialise(below.join(kept, "parent", "left_anti").select("key", "id", "size"), "members")
     if wide is not None:
         wide = materialise(_unlike(wide), "wide")
         rows.append(_parts(wide))
