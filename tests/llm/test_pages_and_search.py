@@ -25,6 +25,15 @@ def test_blocks_follow_the_page():
     assert [t for _, t in markup.blocks("<p>x</div></b>y<script>never closed <p>z")] == ["xy"]
 
 
+@pytest.mark.parametrize("opening", ['<body class="home no-sidebar">', '<div class="content with-sidebar">', '<article class="post comments-open comments">', '<div id="search-result-page">', '<main class="search">'])
+def test_parts_of_names_declare_nothing(opening):
+    page = f'{opening}<p>kept</p><div class="wide sidebar">no</div><div id="comments">no</div><div role="navigation">no</div>'
+    assert site_style.main_text(page, set()) == "kept"
+    part = f'{opening}<p>kept</p><div class="share-bar">shared</div>'
+    low = {site_style.node_key(e.path) for chain, _ in markup.blocks(part) for e in chain if "share-bar" in e.path}
+    assert site_style.main_text(part, set()) == "kept shared" and (site_style.main_text(part, low) == "kept") == ("<article" not in part and "<main" not in part)
+
+
 def test_site_template_is_removed_without_declarations(spark):
     rng = random.Random(2)
     rows = []

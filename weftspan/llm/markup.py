@@ -28,6 +28,8 @@ APART_WORDS = set(
     "reply replies disqus respond share sharing social related recommended teaser widget pagination pager copyright disclaimer search".split()
 )
 MAIN = {"article", "main"}
+#: Elements that hold the page or its text, whatever words they carry.
+NEVER_APART = MAIN | {"html", "body"}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -47,12 +49,13 @@ ROOT = Element("", "", False, False, False)
 
 
 def _present(tag: str, attributes: str) -> tuple[str, set[str]]:
-    """Presentation (element with its classes, digits masked) and declared words."""
+    """Presentation (element with its classes, digits masked) and declared words: whole
+    classes, ids and roles. A word that is only a part of one declares nothing."""
     if not attributes or attributes.isspace():
         return tag, set()
     named = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(attributes)}
     classes = sorted(set(named.get("class", "").split()))
-    words = {w for name in named.values() for w in re.split(r"[^a-z]+", name)}
+    words = {w for name in named.values() for w in name.split()}
     return ".".join([tag, *(DIGITS.sub("#", c) for c in classes)]), words
 
 
@@ -110,7 +113,7 @@ def blocks(page: str) -> list[tuple[tuple[Element, ...], str]]:
         if attributes.endswith("/") and name in ("svg", "math", "path"):
             continue
         presentation, words = _present(name, attributes)
-        apart = name in APART or bool(words & APART_WORDS)
+        apart = name in APART or (name not in NEVER_APART and bool(words & APART_WORDS))
         if name in INLINE and not apart:
             stack.append((name, None))
             continue
