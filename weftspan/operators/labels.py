@@ -77,16 +77,18 @@ def sample_labels(responses: DataFrame) -> DataFrame:
     """(task_id, sample_idx, label): the first try, else its strict retry.
 
     First try and retry meet in one group by (task, sample); no self join. Of
-    several responses to one try, the latest counts.
+    several responses to one try, the latest counts; without a ``created_at``
+    column, the last in text order.
     """
     idx = F.col("sample_idx")
+    at = ["created_at", "response"] if "created_at" in responses.columns else ["response"]
     parsed = responses.select(
         "task_id",
         (idx % STRICT_OFFSET).alias("sample_idx"),
         (idx >= STRICT_OFFSET).alias("is_retry"),
         parse_response("response").alias("label"),
         "response",
-        F.struct("created_at", "response").alias("_at"),
+        F.struct(*at).alias("_at"),
     )
 
     def pick(retry: bool, c: str) -> Column:
