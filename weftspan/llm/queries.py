@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspan.llm import decontaminate, jaccard_join, language, line_dedup, nearest, packing, passages, records, site_style, toxicity
+from weftspan.llm import decontaminate, jaccard_join, language, line_dedup, merkle, nearest, packing, passages, records, site_style, toxicity
+from weftspan.llm.merkle_sql import manifest_sql
 from weftspan.plans.storage import scratch_path
 
 FOLDS = 5
@@ -96,8 +97,23 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots, digest of the proof, and whether a row, tampered with where three
+    divides the checksum of its doc_id, still folds to the root."""
+    docs = table(spark, folder, "documents")
+    tampers = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    tampered = F.when(tampers, merkle.row_digest(text=merkle.lowered(F.col("text"))))
+    leaves = docs.select("doc_id", "lang", merkle.row_digest().alias("leaf"), tampered.alias("tampered"))
+    found = merkle.proofs(merkle.build(leaves, "lang", "doc_id", ["doc_id", "tampered"]))
+    out = found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf")).alias("folded_root"),
+    )
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_site_style, op2_packing, op3_token_records, op4_language, op5_decontamination, op6_toxicity, op7_nearest,
-    op8_jaccard_join, op9_passages, op10_line_dedup,
+    op8_jaccard_join, op9_passages, op10_line_dedup, op13_merkle,
 )}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op13_merkle": manifest_sql()}
