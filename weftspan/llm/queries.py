@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspan.llm import decontaminate, jaccard_join, language, lexical, line_dedup, merkle, nearest, packing, passages, records, site_style, toxicity
+from weftspan.llm import decontaminate, jaccard_join, language, lexical, line_dedup, merkle, nearest, packing, passages, records, scoring, site_style, toxicity
 from weftspan.llm.merkle_sql import manifest_sql
 from weftspan.plans.storage import scratch_path
 
@@ -97,6 +97,13 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Base score and model score of every document; one fold is not learned from."""
+    held = F.coalesce(fold() == 1, F.lit(False))
+    docs = table(spark, folder, "documents").select("doc_id", "text", held.alias("held"), (~held).alias("train"))
+    return scoring.score(docs, "train", "held")
+
+
 def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
     """The ten highest-scoring documents of each benchmark item."""
     return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -119,6 +126,6 @@ def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_site_style, op2_packing, op3_token_records, op4_language, op5_decontamination, op6_toxicity, op7_nearest,
-    op8_jaccard_join, op9_passages, op10_line_dedup, op12_lexical, op13_merkle,
+    op8_jaccard_join, op9_passages, op10_line_dedup, op11_scoring, op12_lexical, op13_merkle,
 )}
 SQL: dict[str, str] = {"op12_lexical": lexical.search_sql(), "op13_merkle": manifest_sql()}
