@@ -89,7 +89,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, id, keys) of every line with text."""
+    """(doc_id, text_hash, n_lines, line, id, keys) of every line with text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text"):
@@ -99,22 +99,23 @@ def signatures(docs: DataFrame) -> DataFrame:
             keys = lines.keys()
             offsets = pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32())
             doc = pa.array(lines.doc, pa.int64())
+            held = np.bincount(lines.doc, minlength=len(texts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0).take(doc), part.column(1).take(doc), pa.array(lines.number, pa.int32()), pa.array(lines.ids, pa.binary()),
+                    part.column(0).take(doc), part.column(1).take(doc), pa.array(held[lines.doc]), pa.array(lines.number, pa.int32()), pa.array(lines.ids, pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
                 ],
-                names=["doc_id", "text_hash", "line", "id", "keys"],
+                names=["doc_id", "text_hash", "n_lines", "line", "id", "keys"],
             )
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, line int, id binary, keys array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_hash long, n_lines int, line int, id binary, keys array<long>")
 
 
 def _load(docs: DataFrame, wanted: Sieve) -> DataFrame:
     """(id, items): the lower-case text of the lines that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[bytes] = set()
+        told: set[bytes] = set()  # ids of 16 bytes: some 12 MB at most
         for _, texts in pieces(batches, "text"):
             found = {}
             for text in texts:
@@ -127,7 +128,7 @@ def _load(docs: DataFrame, wanted: Sieve) -> DataFrame:
             told.update(hit)
             if hit:
                 yield pa.RecordBatch.from_arrays([pa.array(hit, pa.binary()), pa.array([found[i] for i in hit], pa.string())], names=["id", "items"])
-            if len(told) > 500_000:
+            if len(told) > 100_000:
                 told.clear()
 
     return docs.select("text").mapInArrow(run, "id binary, items string")
@@ -142,39 +143,52 @@ def _shingle_sets(items: list[pa.Scalar]) -> list[np.ndarray]:
     return [np.unique(lines.shingles[a : a + n]) for a, n in zip(lines.first, lines.counts, strict=True)]
 
 
+def superfluous(rows: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_hash, removed) of the documents with lines, as ``signatures`` names
+    them, that an earlier line of their component makes superfluous.
+
+    Only lines that occur again, or are linked to others, are looked at once links are
+    known: the rest of the table is counted by id and left behind.
+    """
+    links, _ = similar_links(rows.select("id", "keys"), lambda wanted: _load(docs, wanted), threshold, expand=_shingle_sets)
+    groups = materialise(components(links).withColumnRenamed("node", "id"), "groups")
+    dealt = rows.select("id", "doc_id", "text_hash", "line").repartition("id")
+    times = dealt.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    named = times.join(groups, "id", "left").filter(F.col("root").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("root", "id").alias("root"))
+    met = materialise(dealt.join(named, "id").select("doc_id", "text_hash", "line", "root"), "repeated")
+    place = F.struct("doc_id", "text_hash", "line")
+    kept = met.groupBy("root").agg(F.min(place).alias("kept"))
+    # Sets, since rows may repeat a document.
+    return met.join(kept, "root").filter(place != F.col("kept")).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("removed"))
+
+
 def line_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, n_lines, n_removed, removed) of (doc_id, text).
 
     ``removed`` lists the places, from 0, of lines that an earlier line of their
     component makes superfluous. Blank lines are no lines here and stay. Documents
-    without lines are absent. Rows that repeat a doc_id and its text are one document;
-    a null doc_id comes before all others and is given back as ``NO_ID``.
+    without lines (null, empty or blank texts) are absent, and an empty table gives no
+    row. Rows that repeat a doc_id and its text are one document; equal lines, ties in
+    every respect, stay at their first place by doc_id, text digest and line; a null
+    doc_id comes before all others and is given back as ``NO_ID``. Lines and texts of
+    any length are read whole. Only doc_id and text are read, so no other column clashes.
     """
     rows = materialise(signatures(docs), "lines")
-    links, _ = similar_links(rows.select("id", "keys"), lambda wanted: _load(docs, wanted), threshold, expand=_shingle_sets)
-    groups = materialise(components(links).withColumnRenamed("node", "id"), "groups")
-    place = F.struct("doc_id", "text_hash", "line")
-    first = rows.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    named = first.join(groups, "id", "left").filter(F.col("root").isNotNull() | (F.col("first") != F.col("last")))
-    named = materialise(named.select("id", "first", F.coalesce("root", "id").alias("root")), "repeated")
-    kept = named.groupBy("root").agg(F.min("first").alias("kept"))
-    known = named.select("id", "root").join(kept, "root").select("id", "kept")
-    drop = F.col("kept").isNotNull() & (place != F.col("kept"))
-    flagged = rows.select("doc_id", "text_hash", "line", "id").join(known, "id", "left").withColumn("_drop", F.coalesce(drop, F.lit(False)))
-    # Sets, since rows may repeat a document.
-    lines = flagged.groupBy("doc_id", "text_hash").agg(
-        F.size(F.collect_set("line")).cast("long").alias("n_lines"),
-        F.sort_array(F.collect_set(F.when(F.col("_drop"), F.col("line")))).alias("removed"),
+    lines = rows.groupBy("doc_id", "text_hash").agg(F.max("n_lines").cast("long").alias("n_lines"))
+    found = lines.join(superfluous(rows, docs, threshold), ["doc_id", "text_hash"], "left")
+    return found.select(
+        "doc_id", "text_hash", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"),
     )
-    return lines.select("doc_id", "text_hash", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the superfluous lines of each text taken out, and ``n_chars``
     (if there is such a column) counted anew. All rows stay, also those of which no
-    line is left; a null text stays null."""
+    line is left; a null text stays null. All columns stay, whatever their names; the
+    rest is as in ``line_report``."""
     _id, _hash, _removed = fresh(docs.columns, "_id", "_hash", "_removed")
-    report = line_report(docs, threshold).filter("n_removed > 0").select(
+    report = superfluous(materialise(signatures(docs), "lines"), docs, threshold).select(
         F.col("doc_id").alias(_id), F.col("text_hash").alias(_hash), F.col("removed").alias(_removed)
     )
     named = docs.withColumn(_id, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn(_hash, F.xxhash64("text"))

@@ -117,11 +117,9 @@ def shared_keys(signatures: DataFrame) -> DataFrame:
     """(key, id) of (id, keys), each once, for keys that more than one id has, and
     by chance a few more.
 
-    Ids are told apart by a hash of 24 bits, so that what is moved stays small: two ids
-    miss each other, on all of their keys, with a chance of 1 in 16 million.
+    Ids are told apart by a hash of 64 bits; those of a key by its least and greatest.
     """
-    short = F.pmod(F.xxhash64("id"), F.lit(1 << 24)).cast("int")
-    seen = signatures.select(short.alias("s"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("s").alias("a"), F.max("s").alias("b"))
+    seen = signatures.select(F.xxhash64("id").alias("s"), F.explode("keys").alias("key")).groupBy("key").agg(F.min("s").alias("a"), F.max("s").alias("b"))
     often = sieve(materialise(seen.filter("a <> b").select("key"), "keys"), F.col("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

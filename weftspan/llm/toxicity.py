@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftspan.llm.batches import pieces
@@ -27,6 +27,7 @@ BUCKETS = 1 << 22
 SKIPS = (1, 2, 3)
 EPOCHS = 5
 TRAINING_DOCUMENTS, SHARD_DOCUMENTS = 16_000, 8_000
+WHITE = b" \t\n\x0b\x0c\r"
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 
 
@@ -140,24 +141,22 @@ def hash_of(key: int) -> int:
     return int(mix(np.array([key], np.int64).view(np.uint64))[0])
 
 
-def score_of(text: str, model: Model) -> Column:
-    """Score of a text column, as an expression."""
-
-    @F.pandas_udf("double")
-    def scored(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in series:
-            batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
-            parts = [model.scores(part) for _, part in pieces(iter([batch]), "text")]
-            yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of ``docs`` whose text scores below ``least``; columns as they are,
+    whatever their names.
 
-    return scored(text)
+    A null text, or one of white space alone, has nothing to reject and stays. Texts
+    are scored whole at any length, equal rows alike; a score of just ``least`` goes. An
+    empty table stays empty. Arrow batches are cut and scored as they come, and kept
+    rows go on as slices of them.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces(batches, "text"):
+            keep = (model.scores(texts) < least) | np.fromiter((not t.strip(WHITE) for t in texts), bool, len(texts))
+            yield part if keep.all() else part.filter(pa.array(keep))
 
-def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` whose text scores below ``least``; columns as they are. A
-    null text, or one of white space alone, has nothing to reject and stays."""
-    blank = F.col("text").isNull() | ~F.col("text").rlike(r"\S")
-    return docs.filter(blank | (score_of("text", model) < least))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
