@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftspan.catalog.registry import query, r
 from weftspan.catalog.surrogates import MERGED_SQL, idx_v, merged_v, with_sql
 from weftspan.operators import typology as T
+from weftspan.sources import fixed_values as V
 from weftspan.sources.io import table
 
 FEATURES_SQL = """med AS (SELECT group3, median(monthly_earnings) AS me FROM scored_v WHERE monthly_earnings > 0 GROUP BY group3),
@@ -63,23 +64,74 @@ def standardised_vectors(spark, d):
     return T.standardise(points, dims).select("vec_id", *[r(v, digits=5) for v in dims])
 
 
-@query("kmeans_vectors", "R3")
+ROUNDS_SQL = 120
+
+
+def kmeans_sql(points: str, ks, restarts: int = T.RESTARTS, seed: int = V.SEED) -> str:
+    """Tables of k-means from drawn starts over ``points`` (id, p): ``near`` has the
+    cluster of each point for the best restart of each k, ``best`` its cost."""
+    runs = f"(SELECT k, unnest(range({restarts})) AS run FROM (SELECT unnest([{', '.join(map(str, ks))}]) AS k))"
+    ranked = "row_number() OVER (PARTITION BY c.k, c.run, x.id ORDER BY list_distance(x.p, c.centre), c.cluster) AS rn"
+    return f"""draws AS (SELECT run, id, p, row_number() OVER (PARTITION BY run ORDER BY md5('{seed}-' || run || '|' || id::VARCHAR), id) - 1 AS cluster
+  FROM {points}, (SELECT unnest(range({restarts})) AS run)),
+rounds AS (
+  SELECT 0 AS turn, r.k, r.run, d.cluster, d.p AS centre FROM {runs} r JOIN draws d ON d.run = r.run AND d.cluster < r.k
+  UNION ALL
+  SELECT turn + 1, k, run, cluster, list(mean ORDER BY dim) FROM (
+    SELECT turn, k, run, cluster, dim, avg(v) AS mean FROM (
+      SELECT turn, k, run, cluster, unnest(p) AS v, generate_subscripts(p, 1) AS dim FROM (
+        SELECT c.turn, c.k, c.run, c.cluster, x.p, {ranked} FROM rounds c, {points} x WHERE c.turn < {ROUNDS_SQL}) WHERE rn = 1)
+    GROUP BY ALL) GROUP BY turn, k, run, cluster),
+placed AS (SELECT k, run, id, p, cluster, dist FROM (
+  SELECT c.k, c.run, c.cluster, x.id, x.p, list_distance(x.p, c.centre) AS dist, {ranked} FROM rounds c, {points} x WHERE c.turn = {ROUNDS_SQL}) WHERE rn = 1),
+costs AS (SELECT k, run, sum(dist * dist) AS cost FROM placed GROUP BY k, run),
+best AS (SELECT k, run, cost FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(cost, 6), run) AS rn FROM costs) WHERE rn = 1),
+firsts AS (SELECT k, cluster, row_number() OVER (PARTITION BY k ORDER BY least) - 1 AS number FROM (
+  SELECT k, cluster, min(id) AS least FROM placed JOIN best USING (k, run) GROUP BY k, cluster)),
+near AS (SELECT k, id, p, number AS cluster FROM placed JOIN best USING (k, run) JOIN firsts USING (k, cluster))"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+VECTORS_SQL = "vectors AS (SELECT vec_id AS id, list_transform(embedding, lambda e: e::DOUBLE) AS p FROM embeddings)"
+
+
+@query("kmeans_vectors", "R3", recursive(with_sql(
+    "SELECT n.k::INTEGER AS k, n.cluster::INTEGER AS cluster, count(*) AS n, round(max(b.cost), 6) AS cost FROM near n JOIN best b ON b.k = n.k GROUP BY 1, 2",
+    VECTORS_SQL, kmeans_sql("vectors", [4]))))
 def kmeans_vectors(spark, d):
-    """Cluster sizes and cost of the best of many restarts on raw vectors."""
+    """Cluster sizes and cost of the best of all restarts on raw vectors."""
     points = table(spark, d, "embeddings").select(
         "vec_id", *[F.col("embedding")[i].cast("double").alias(v) for i, v in enumerate(DIMS)]
     )
-    best = T.kmeans(points, "vec_id", DIMS, [4], restarts=10)[4]
-    labelled = T.assign(points, DIMS, best.centres)
-    return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    best = T.kmeans(points, "vec_id", DIMS, [4], starts="drawn")[4]
+    labelled = T.renumbered(T.assign(points, DIMS, best.centres), "vec_id")
+    return labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(best.k).alias("k"), "cluster", "n", F.lit(round(best.cost, 6)).alias("cost")
+    )
 
 
-@query("chosen_typology", "R3 R4 R5")
+CHOSEN_SQL = "std_points AS (SELECT group3 AS id, [" + ", ".join(NAMES) + "] AS p FROM std),\n" + kmeans_sql("std_points", range(3, 8)) + """,
+sizes AS (SELECT k, cluster, count(*) AS n FROM near GROUP BY k, cluster),
+dist AS (SELECT a.k, a.id, a.cluster AS own, b.cluster AS other, sum(list_distance(a.p, b.p)) AS total FROM near a JOIN near b ON a.k = b.k GROUP BY ALL),
+ab AS (SELECT d.k, id, own, max(CASE WHEN own = other AND n > 1 THEN total / (n - 1) END) AS a, min(CASE WHEN own <> other THEN total / n END) AS b
+  FROM dist d JOIN sizes s ON s.k = d.k AND s.cluster = d.other GROUP BY ALL),
+scores AS (SELECT k, avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM ab GROUP BY k),
+chosen AS (SELECT k FROM scores ORDER BY round(silhouette, 9) DESC, k LIMIT 1)"""
+
+
+@query("chosen_typology", "R3 R4 R5", recursive(with_sql(
+    "SELECT n.cluster::INTEGER AS cluster, count(*) AS n_groups, round(sum(workers_m), 7) AS workers_m, "
+    + ", ".join(f"round(sum({f} * workers_m) / sum(workers_m), 3) AS {f}" for f in NAMES)
+    + " FROM near n JOIN chosen c ON c.k = n.k JOIN std_raw f ON f.group3 = n.id GROUP BY 1",
+    MERGED_SQL, STANDARD_SQL + ", std_raw AS (SELECT s.*, f.workers_m FROM std s JOIN feat f ON f.group3 = s.group3)", CHOSEN_SQL)))
 def chosen_typology(spark, d):
     """Profiles of the groups at the number of clusters of highest silhouette."""
     points = T.standardise(features_v(spark, d).persist(), NAMES)
-    clustered, _ = T.choose_clusters(points, "group3", NAMES)
-    return T.cluster_profiles(clustered, NAMES)
+    clustered, _ = T.choose_clusters(points, "group3", NAMES, starts="drawn")
+    return T.cluster_profiles(clustered, NAMES).withColumn("workers_m", r("workers_m", digits=7))
 
 
 @query("silhouette_by_group", "R4", with_sql(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,14 @@ from pyspark.sql import functions as F
 
 from weftspan.functions.labels import LABELS
 from weftspan.functions.numeric import grand_total
-from weftspan.plans.ranking import hash_sequence, top_per_group
+from weftspan.plans.ranking import hash_sequence, ordered_sequence, top_per_group
 from weftspan.plans.sizing import small_side
+from weftspan.plans.storage import materialise
 from weftspan.sources.fixed_values import SAMPLE_PER_LABEL, SEED
 
+#: Parts into which one pass cuts a range of priorities.
+THRESHOLDS = 32
+
 
 def seeded_digest(key: str, seed: int = SEED, salt: str = "") -> Column:
     """Draw number of a row: depends on its id and the seed only."""
@@ -159,52 +164,52 @@ def allocate_slots(
 
     The greedy fill (largest quota minus slots first) and the greedy trim
     (largest slots minus quota first) are rankings of the single steps each
-    division could take: priorities fall with every step, so taking the best
-    steps overall is the same as taking them one at a time.
+    division could take: priorities fall by one with every step, so taking the best
+    steps overall is the same as taking them one at a time. The priority of the last
+    step taken is found by counting: a pass counts, for many thresholds at once, how
+    many steps reach each, and the next looks between two of them. Steps are never
+    made into rows; at the end each division has at most one step left in doubt.
     """
-    whole = Window.partitionBy()
-    q = F.col(share) * F.col("_n")
-    start = (
-        divisions.withColumn("_n", F.least(F.lit(n), F.sum(cap).over(whole)))
-        .withColumn("_q", q)
-        .withColumn(
-            "_start",
-            F.least(F.col(cap), F.greatest(F.lit(1), F.floor("_q"))).cast("long"),
-        )
-        .withColumn("_missing", F.col("_n") - F.sum("_start").over(whole))
-    )
-    grow = F.when(
-        (F.col("_missing") > 0) & (F.col(cap) > F.col("_start")),
-        F.transform(
-            F.sequence(F.col("_start"), F.col(cap) - 1), lambda j: F.col("_q") - j
-        ),
-    )
-    trim = F.when(
-        (F.col("_missing") < 0) & (F.col("_start") > 1),
-        F.transform(
-            F.sequence(F.lit(0).cast("long"), F.col("_start") - 2),
-            lambda j: (F.col("_start") - j) - F.col("_q"),
-        ),
-    )
-    steps = start.select(
-        division, "_missing", F.explode(F.coalesce(grow, trim)).alias("_priority")
-    )
-    order = Window.orderBy(F.desc("_priority"), F.asc(division))
-    taken = (
-        steps.withColumn("_r", F.row_number().over(order))
-        .filter(F.col("_r") <= F.abs("_missing"))
-        .groupBy(division)
-        .agg(F.count(F.lit(1)).alias("_taken"))
-    )
-    return start.join(F.broadcast(taken), division, "left").select(
-        division,
-        share,
-        cap,
-        (
-            F.col("_start")
-            + F.signum(F.col("_missing")).cast("long") * F.coalesce("_taken", F.lit(0))
-        ).alias("slots"),
+    caps = divisions.agg(F.sum(cap).alias("caps")).first()["caps"]
+    total = min(n, int(caps or 0))
+    q = F.col(share) * total
+    begun = divisions.select(division, share, cap, q.alias("_q")).withColumn(
+        "_start", F.least(F.col(cap), F.greatest(F.lit(1), F.floor("_q"))).cast("long")
     )
+    begun = materialise(begun, "slots")
+    missing = total - int(begun.agg(F.sum("_start").alias("s")).first()["s"] or 0)
+    grows, start = missing > 0, F.col("_start")
+    steps = (F.col(cap) - start) if grows else (start - 1)
+
+    def priority(t: Column) -> Column:
+        return F.col("_q") - (start + t) if grows else (start - t) - F.col("_q")
+
+    def reaching(least: float) -> Column:
+        """How many of a division's steps have a priority of ``least`` or more."""
+        rough = F.greatest(F.lit(0), F.least(steps, F.floor(priority(F.lit(0)) - least) + 1))
+        more = F.when((rough < steps) & (priority(rough) >= least), rough + 1)
+        fewer = F.when((rough > 0) & (priority(rough - 1) < least), rough - 1)
+        return F.coalesce(more, fewer, rough)
+
+    ends = begun.filter(steps > 0).agg(
+        F.sum(steps).alias("n"), F.max(priority(F.lit(0))).alias("high"), F.min(priority(steps - 1)).alias("low")
+    ).first()
+    wanted = min(abs(missing), int(ends["n"] or 0))
+    if not wanted:
+        return begun.select(division, share, cap, start.alias("slots"))
+    low, high = ends["low"], math.nextafter(ends["high"], math.inf)
+    while high - low > 0.5:
+        cuts = [low + (high - low) * i / THRESHOLDS for i in range(1, THRESHOLDS)]
+        counts = begun.agg(*[F.sum(reaching(c)).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+        low = max([low, *[c for c, k in zip(cuts, counts, strict=True) if k >= wanted]])
+        high = min([high, *[c for c, k in zip(cuts, counts, strict=True) if k < wanted]])
+    sure = begun.withColumn("_sure", reaching(high)).withColumn("_edge", reaching(low) - F.col("_sure"))
+    left = wanted - int(sure.agg(F.sum("_sure").alias("s")).first()["s"])
+    doubt = sure.filter("_edge > 0").select(division, priority(F.col("_sure")).alias("_priority"))
+    taken = ordered_sequence(doubt, [F.desc("_priority"), F.asc(division)], "_r").filter(F.col("_r") <= left)
+    found = sure.join(small_side(taken.select(division, F.lit(1).alias("_one"))), division, "left")
+    sign = 1 if grows else -1
+    return found.select(division, share, cap, (start + sign * (F.col("_sure") + F.coalesce("_one", F.lit(0)))).alias("slots"))
 
 
 def top_by_slots(

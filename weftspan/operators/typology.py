@@ -15,14 +15,17 @@ from weftspan.functions.numeric import ratio, share_where
 from weftspan.operators.cuts import median_earnings, scored
 from weftspan.plans.ranking import top_per_group
 from weftspan.plans.sizing import small_side
+from weftspan.plans.storage import materialise
 from weftspan.sources import fixed_values as V
 
 FEATURES = [
     "alpha", "e2_share", "grad_share", "female_share", "urban_share", "young_share",
     "log_med_earn",
 ]
-RESTARTS = 50
-BLOCK_ROWS = 5_000
+RESTARTS, SEED_PASSES = 50, 4
+#: Rows of a matrix in k-means; of a block of the silhouette, and of a step in it.
+PIECE_ROWS, BLOCK_ROWS, STEP_ROWS = 1_024, 5_000, 200
+STRIP_BLOCKS = 16
 
 
 def group_features(merged: DataFrame, index: DataFrame, min_tasks: int = 5) -> DataFrame:
@@ -69,33 +72,126 @@ def standardise(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 @dataclass
 class Run:
-    """One restart: its number of clusters, centres, and cost so far."""
+    """One restart: its number of clusters, centres, and cost so far; how many
+    rounds it took, and whether its centres came to rest."""
 
     k: int
     seed: int
     centres: np.ndarray
     cost: float = math.inf
-    done: bool = False
+    rounds: int = 0
+    settled: bool = False
 
 
-def _start(points: DataFrame, key: str, features: Sequence[str], ks, restarts: int, seed: int) -> list[Run]:
-    """Starting centres: for each restart the points of lowest seeded digest.
-
-    All draws come from one pass; only k rows per restart reach the driver.
-    """
-    most = max(ks)
+def _drawn(points: DataFrame, key: str, features: Sequence[str], most: int, restarts: int, seed: int) -> dict[int, np.ndarray]:
+    """For each restart the ``most`` points of lowest seeded digest, in one pass;
+    only these rows reach the driver."""
     draws = [F.struct(F.lit(r).alias("run"), F.md5(F.concat_ws("|", F.lit(f"{seed}-{r}"), F.col(key).cast("string"))).alias("draw")) for r in range(restarts)]
     drawn = top_per_group(
         points.select(key, *features, F.inline(F.array(*draws))),
         ["run"], [F.asc("draw"), F.asc(key)], most, spread=[key],
     ).orderBy("run", "draw").toPandas()
+    return {int(r): rows[list(features)].to_numpy(dtype=float) for r, rows in drawn.groupby("run")}
+
+
+def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres by one matrix product."""
+    d2 = x @ (-2.0 * centres.T)
+    d2 += (x * x).sum(axis=1)[:, None]
+    d2 += (centres * centres).sum(axis=1)
+    return np.maximum(d2, 0.0, out=d2)
+
+
+def _pieces(batches: Iterator[pd.DataFrame], features: list[str], extra: str | None = None):
+    """Rows of a task's batches as matrices of at most ``PIECE_ROWS`` rows."""
+    for batch in batches:
+        x = batch[features].to_numpy(dtype=float)
+        held = batch[extra].to_numpy() if extra else x
+        for at in range(0, len(x), PIECE_ROWS):
+            yield x[at : at + PIECE_ROWS], held[at : at + PIECE_ROWS]
+
+
+def _chances(ids: np.ndarray, salt: int) -> np.ndarray:
+    """A number from 0 to 1 for each id, by a mixing of 64 bits."""
+    with np.errstate(over="ignore"):
+        v = ids.astype(np.int64).view(np.uint64) * np.uint64(2 * salt + 1) + np.uint64(salt)
+        v = (v ^ (v >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        v = (v ^ (v >> np.uint64(32))) * np.uint64(0x9E3779B185EBCA87)
+    return ((v ^ (v >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
+def _oversampled(
+    data: DataFrame, key: str, features: list[str], ks: Sequence[int], restarts: int, seed: int, passes: int = SEED_PASSES
+) -> list[Run]:
+    """Starting centres by oversampling (k-means||).
+
+    Each restart begins with one drawn point. In each pass a point joins the
+    restart's candidates with a chance in proportion to its squared distance from
+    them, about 2k a pass; all restarts share the pass. Candidates are weighted by the
+    points nearest to them and reduced to k on the driver, which holds some
+    2 k (passes + 1) of them for each restart, whatever the size of the table.
+    """
+    most = max(ks)
+    drawn = _drawn(data, key, features, most, restarts, seed)
+    held = {r: rows[:1] for r, rows in drawn.items()}
+    keyed = data.select(F.xxhash64(key).alias("_id"), *features)
+    cost: dict[int, float] = {}
+    for turn in range(passes + 1):
+
+        def look(batches, held=dict(held), cost=dict(cost), turn=turn):
+            totals = dict.fromkeys(held, 0.0)
+            for x, ids in _pieces(batches, features, "_id"):
+                for r, candidates in held.items():
+                    d2 = _squares(x, candidates).min(axis=1)
+                    totals[r] += float(d2.sum())
+                    if cost.get(r):
+                        joins = _chances(ids, seed + 1000 * turn + r) * cost[r] < 2 * most * d2
+                        if joins.any():
+                            yield pd.DataFrame({"run": r, "cost": None, "point": list(x[joins])})
+            yield pd.DataFrame({"run": list(totals), "cost": list(totals.values()), "point": None})
+
+        found = materialise(keyed.mapInPandas(look, "run int, cost double, point array<double>"), "seeding")
+        rows = found.filter("point is not null").orderBy("run", "point").toPandas()
+        for r, more in rows.groupby("run"):
+            held[int(r)] = np.vstack([held[int(r)], *more["point"]])
+        sums = found.filter("point is null").groupBy("run").agg(F.sum("cost").alias("cost")).collect()
+        cost = {row["run"]: row["cost"] for row in sums}
+
+    def weigh(batches):
+        counts = {r: np.zeros(len(c), int) for r, c in held.items()}
+        for x, _ in _pieces(batches, features):
+            for r, c in held.items():
+                counts[r] += np.bincount(_squares(x, c).argmin(axis=1), minlength=len(c))
+        yield pd.DataFrame([(r, at, int(n)) for r, c in counts.items() for at, n in enumerate(c) if n], columns=["run", "at", "n"])
+
+    weights = keyed.mapInPandas(weigh, "run int, at int, n long").groupBy("run", "at").agg(F.sum("n").alias("n")).toPandas()
     runs = []
-    for r, rows in drawn.groupby("run"):
-        centres = rows[list(features)].to_numpy(dtype=float)
-        runs += [Run(k, int(r), centres[:k].copy()) for k in ks]
+    for r, rows in weights.groupby("run"):
+        w = np.zeros(len(held[int(r)]))
+        w[rows["at"]] = rows["n"]
+        for k in ks:
+            runs.append(Run(k, int(r), _reduced(held[int(r)], w, drawn[int(r)], k, seed + int(r))))
     return runs
 
 
+def _reduced(candidates: np.ndarray, weights: np.ndarray, spare: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k centres of weighted candidates: drawn by distance, then settled among them."""
+    if len(np.unique(candidates, axis=0)) < k:
+        return spare[:k].copy()
+    rng = np.random.default_rng(seed)
+    centres = candidates[rng.choice(len(candidates), p=weights / weights.sum())][None, :]
+    while len(centres) < k:
+        d2 = ((candidates[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+        chance = d2 * weights if (d2 * weights).any() else d2
+        centres = np.vstack([centres, candidates[rng.choice(len(candidates), p=chance / chance.sum())]])
+    for _ in range(20):
+        near = ((candidates[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        held = np.bincount(near, weights, k)
+        moved = np.stack([np.bincount(near, weights * c, k) for c in candidates.T], axis=1) / np.maximum(held, 1e-300)[:, None]
+        centres = np.where(held[:, None] > 0, moved, centres)
+    return centres
+
+
 def kmeans(
     points: DataFrame,
     key: str,
@@ -105,39 +201,35 @@ def kmeans(
     seed: int = V.SEED,
     max_rounds: int = 300,
     tolerance: float = 1e-8,
+    starts: str = "oversampled",
 ) -> dict[int, Run]:
     """Best of many restarts for each number of clusters.
 
-    All restarts advance together: a round is one pass over the points in
-    which tasks add up counts and sums per (restart, cluster), so a round
-    shuffles centres and never points.
+    All restarts advance together: a round is one pass over the points, in which a
+    task takes the distances to all centres of all live restarts by one matrix product
+    and adds up counts and sums per (restart, cluster), once a task. A round shuffles
+    centres and never points. ``starts``: ``oversampled`` (k-means||, few rounds) or
+    ``drawn`` (the points of lowest digest). A cluster that loses all points keeps its
+    centre. A restart still moving after ``max_rounds`` is not ``settled``.
     """
     features = list(features)
-    data = points.select(key, *features).persist()
-    runs = _start(data, key, features, ks, restarts, seed)
+    data = materialise(points.select(key, *[F.col(f).cast("double").alias(f) for f in features]), "points")
+    if starts == "drawn":
+        drawn = _drawn(data, key, features, max(ks), restarts, seed)
+        runs = [Run(k, r, rows[:k].copy()) for r, rows in drawn.items() for k in ks]
+    elif starts == "oversampled":
+        runs = _oversampled(data, key, features, ks, restarts, seed)
+    else:
+        raise ValueError(f"unknown starts {starts!r}")
     names = [f"s{i}" for i in range(len(features))]
     schema = "run int, cluster int, n bigint, cost double, " + ", ".join(f"{s} double" for s in names)
     for _ in range(max_rounds):
-        active = [(i, r.centres) for i, r in enumerate(runs) if not r.done]
-        if not active:
+        live = [i for i, r in enumerate(runs) if not r.settled]
+        if not live:
             break
-
-        def partial(batches: Iterator[pd.DataFrame], active=active) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x = batch[features].to_numpy(dtype=float)
-                out = []
-                for i, centres in active:
-                    d2 = ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
-                    best = d2.argmin(axis=1)
-                    cost = d2[np.arange(len(x)), best]
-                    for c in range(len(centres)):
-                        mine = best == c
-                        if mine.any():
-                            out.append((i, c, int(mine.sum()), float(cost[mine].sum()), *x[mine].sum(axis=0)))
-                yield pd.DataFrame(out, columns=["run", "cluster", "n", "cost", *names])
-
+        active = [(i, runs[i].centres) for i in live]
         totals = (
-            data.mapInPandas(partial, schema)
+            data.mapInPandas(lambda batches, active=active: _partial_sums(batches, features, names, active), schema)
             .groupBy("run", "cluster")
             .agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)])
             .toPandas()
@@ -145,19 +237,51 @@ def kmeans(
         for i, rows in totals.groupby("run"):
             run = runs[i]
             moved = run.centres.copy()
-            at = rows["cluster"].to_numpy()
-            moved[at] = rows[names].to_numpy() / rows["n"].to_numpy()[:, None]
+            moved[rows["cluster"].to_numpy()] = rows[names].to_numpy() / rows["n"].to_numpy()[:, None]
             run.cost = float(rows["cost"].sum())
-            run.done = float(((moved - run.centres) ** 2).sum()) <= tolerance
+            run.rounds += 1
+            run.settled = float(((moved - run.centres) ** 2).sum()) <= tolerance
             run.centres = moved
-    data.unpersist()
     best: dict[int, Run] = {}
     for run in runs:
-        if run.k not in best or run.cost < best[run.k].cost:
+        # Equal to nine digits is equal: the same clusters in another order.
+        if run.k not in best or run.cost < best[run.k].cost * (1 - 1e-9):
             best[run.k] = run
     return best
 
 
+def _partial_sums(batches: Iterator[pd.DataFrame], features: list[str], names: list[str], active: list) -> Iterator[pd.DataFrame]:
+    """Counts, costs and sums of a task's points by (restart, cluster)."""
+    centres = np.concatenate([c for _, c in active])
+    begins = np.cumsum([0, *[len(c) for _, c in active]])
+    counts, costs, sums = np.zeros(len(centres)), np.zeros(len(centres)), np.zeros_like(centres)
+    for x, _ in _pieces(batches, features):
+        d2 = _squares(x, centres)
+        for begin, end in zip(begins[:-1], begins[1:], strict=True):
+            own = d2[:, begin:end]
+            best = own.argmin(axis=1)
+            mark = best[:, None] == np.arange(end - begin)
+            counts[begin:end] += mark.sum(axis=0)
+            costs[begin:end] += (own * mark).sum(axis=0)
+            sums[begin:end] += mark.T.astype(float) @ x
+    out = [
+        (i, at - begin, int(counts[at]), costs[at], *sums[at])
+        for (i, _), begin, end in zip(active, begins[:-1], begins[1:], strict=True)
+        for at in range(begin, end)
+        if counts[at]
+    ]
+    yield pd.DataFrame(out, columns=["run", "cluster", "n", "cost", *names])
+
+
+def renumbered(clustered: DataFrame, key: str, cluster: str = "cluster") -> DataFrame:
+    """Clusters numbered from 0 in the order of their least members, so that equal
+    partitions have equal numbers."""
+    least = clustered.groupBy(cluster).agg(F.min(key).alias("_least"))
+    # One row per cluster.
+    number = least.select(cluster, (F.row_number().over(Window.orderBy("_least")) - 1).alias("_number"))
+    return clustered.join(F.broadcast(number), cluster).withColumn(cluster, F.col("_number")).drop("_number")
+
+
 def assign(points: DataFrame, features: Sequence[str], centres: np.ndarray, name: str = "cluster") -> DataFrame:
     """Nearest centre of each row as a plain column expression."""
     options = []
@@ -174,41 +298,51 @@ def silhouette_values(
 ) -> DataFrame:
     """Silhouette of every point under Euclidean distance, exact.
 
-    Points are compared with one bounded block of points at a time, held by
-    every task; tasks return distance sums per cluster and never pairs. A
-    table above one block takes several passes; nothing is left out.
+    Points are cut at random into blocks, each packed into one row. A block meets
+    ``STRIP_BLOCKS`` others in one group of a cogroup, which adds up distances per
+    point and cluster; no pair and no point passes the driver, and a group holds a
+    bounded number of points whatever the sizes of the clusters.
     """
     features = list(features)
-    data = points.select(F.col(key), F.col(cluster).cast("int").alias("_c"), *features).persist()
-    n_blocks = max(1, math.ceil(data.count() / block_rows))
-    block_of = F.pmod(F.xxhash64(key), F.lit(n_blocks))
-    key_type = data.schema[key].dataType.simpleString()
-    schema = f"{key} {key_type}, own int, other int, total double"
-    parts = None
-    for b in range(n_blocks):
-        block = data.filter(block_of == b).drop(key).toPandas()
-        reference = block[features].to_numpy(dtype=float)
-        labels = block["_c"].to_numpy()
-
-        def sums(batches, reference=reference, labels=labels):
-            marks = np.unique(labels)
-            for batch in batches:
-                x = batch[features].to_numpy(dtype=float)
-                total = np.zeros((len(x), len(marks)))
-                for at in range(len(x)):
-                    d = np.sqrt(((reference - x[at]) ** 2).sum(axis=1))
-                    total[at] = [d[labels == m].sum() for m in marks]
-                yield pd.DataFrame(
-                    {
-                        key: np.repeat(batch[key].to_numpy(), len(marks)),
-                        "own": np.repeat(batch["_c"].to_numpy(), len(marks)),
-                        "other": np.tile(marks, len(x)),
-                        "total": total.ravel(),
-                    }
-                )
-
-        part = data.mapInPandas(sums, schema)
-        parts = part if parts is None else parts.unionByName(part)
+    data = materialise(
+        points.select(F.col(key), F.col(cluster).cast("int").alias("_c"), *[F.col(f).cast("double").alias(f) for f in features]), "points"
+    )
+    marks = np.array(sorted(r["_c"] for r in data.select("_c").distinct().collect()), np.int32)  # one per cluster
+    blocks = max(1, math.ceil(data.count() / block_rows))
+    kind = data.schema[key].dataType.simpleString()
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        x = np.ascontiguousarray(group[features].to_numpy(dtype=float))
+        return pd.DataFrame({
+            "_b": [int(group["_b"].iloc[0])], "keys": [group[key].tolist()], "own": [group["_c"].to_numpy(np.int32).tobytes()], "x": [x.tobytes()],
+        })
+
+    dealt = data.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    packed = materialise(dealt.groupBy("_b").applyInPandas(pack, f"_b int, keys array<{kind}>, own binary, x binary"), "blocks")
+    strips = -(-blocks // STRIP_BLOCKS)
+    asking = packed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    asked = packed.select("own", "x", F.floor(F.col("_b") / STRIP_BLOCKS).cast("int").alias("_s")).withColumn(
+        "_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):  # a block without points
+            return pd.DataFrame({key: [], "own": [], "other": [], "total": []})
+        row = left.iloc[0]
+        x, keys = np.frombuffer(row["x"]).reshape(-1, len(features)), list(row["keys"])
+        total = np.zeros((len(x), len(marks)))
+        for own, data in zip(right["own"], right["x"], strict=True):
+            y = np.frombuffer(data).reshape(-1, len(features))
+            at_mark = (np.frombuffer(own, np.int32)[:, None] == marks).astype(float)
+            for begin in range(0, len(x), STEP_ROWS):
+                d2 = sum((x[begin : begin + STEP_ROWS, None, f] - y[None, :, f]) ** 2 for f in range(len(features)))
+                total[begin : begin + STEP_ROWS] += np.sqrt(d2) @ at_mark
+        return pd.DataFrame({
+            key: np.repeat(np.array(keys, dtype=object), len(marks)), "own": np.repeat(np.frombuffer(row["own"], np.int32), len(marks)),
+            "other": np.tile(marks, len(x)), "total": total.ravel(),
+        })
+
+    parts = asking.groupBy("_b", "_s").cogroup(asked.groupBy("_b", "_s")).applyInPandas(sums, f"{key} {kind}, own int, other int, total double")
     sizes = data.groupBy(F.col("_c").alias("other")).agg(F.count(F.lit(1)).alias("size"))
     summed = parts.groupBy(key, "own", "other").agg(F.sum("total").alias("total"))
     own = F.col("own") == F.col("other")
@@ -232,19 +366,21 @@ def silhouette(points: DataFrame, key: str, cluster: str, features: Sequence[str
 
 def choose_clusters(
     points: DataFrame, key: str, features: Sequence[str], ks: Sequence[int] = range(3, 8),
-    restarts: int = RESTARTS, seed: int = V.SEED,
+    restarts: int = RESTARTS, seed: int = V.SEED, starts: str = "oversampled",
 ) -> tuple[DataFrame, DataFrame]:
-    """Clustered points at the k of highest silhouette, and the score per k."""
-    fits = kmeans(points, key, features, list(ks), restarts, seed)
+    """Clustered points at the k of highest silhouette, the lowest of equal ones, and
+    the score per k. Clusters are numbered by their least members."""
+    points = materialise(points, "features")
+    fits = kmeans(points, key, features, list(ks), restarts, seed, starts=starts)
     scores = []
     for k, run in sorted(fits.items()):
         labelled = assign(points, features, run.centres)
         row = silhouette(labelled, key, "cluster", features).first()
-        scores.append((k, float(row["silhouette"]), run.cost))
-    best = max(scores, key=lambda s: s[1])[0]
-    table = points.sparkSession.createDataFrame(scores, "k int, silhouette double, cost double")
+        scores.append((k, float(row["silhouette"]), run.cost, run.settled))
+    best = max(scores, key=lambda s: (round(s[1], 9), -s[0]))[0]
+    table = points.sparkSession.createDataFrame(scores, "k int, silhouette double, cost double, settled boolean")
     return (
-        assign(points, features, fits[best].centres),
+        renumbered(assign(points, features, fits[best].centres), key),
         table.withColumn("chosen", F.col("k") == best),
     )
 

@@ -7,9 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftspan.plans.storage import materialise
+
 SALTS = 64
 HASH_DIGITS = 4
 BLOCK_PAGES, BLOCK_LEVELS = 4_096, 2
+#: Bits of ``monotonically_increasing_id`` that count within a partition.
+PLACE_BITS = 33
 
 
 def top_per_group(
@@ -78,6 +82,28 @@ def hash_sequence(
     )
 
 
+def ordered_sequence(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Number all rows from 1 in ``order``, which should be total.
+
+    The table is sorted by ranges and written; a row's number is its place in its
+    range and the sizes of the ranges before. Only one row per range is ordered in
+    one task.
+    """
+    cut = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(cut.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    sizes = placed.groupBy(F.shiftright("_at", PLACE_BITS).alias("_range")).agg(
+        F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size")
+    )
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_range", "_first", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    return (
+        placed.withColumn("_range", F.shiftright("_at", PLACE_BITS))
+        .join(F.broadcast(shifts), "_range")
+        .withColumn(name, (F.col("_at") - F.col("_first") + F.col("_offset") + 1).cast("long"))
+        .drop("_at", "_range", "_first", "_offset")
+    )
+
+
 def carry_forward(
     df: DataFrame,
     source: Sequence[str],
