@@ -132,11 +132,71 @@ def event_study(spark, d):
     return Q.event_study(balanced(spark, d)).select("quarter", r("estimate"))
 
 
-@query("coefficient_table", "Q3 Q7")
+#: Rounds of alternating means in the SQL twin, far beyond what these panels need.
+ROUNDS_SQL = 150
+
+
+def inside_sql(t: str, df: str) -> str:
+    """Probability that a Student's t with a whole number of degrees lies within -t and t."""
+    sine, cosine = f"({t} / sqrt({df} + {t} * {t}))", f"sqrt({df} / ({df} + {t} * {t}))"
+    even = f"list_sum(list_transform(range(0, {df} // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow({cosine}, 2 * j)))"
+    odd = f"list_sum(list_transform(range(0, ({df} - 1) // 2), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow({cosine}, 2 * j + 1)))"
+    return f"CASE WHEN {df} % 2 = 0 THEN {sine} * {even} ELSE 2 / pi() * (asin({sine}) + {sine} * coalesce({odd}, 0)) END"
+
+
+def means_sql(values: str, key: str) -> str:
+    return f"SELECT * REPLACE (y - avg(y) OVER (PARTITION BY spec, term, {key}) AS y, x - avg(x) OVER (PARTITION BY spec, term, {key}) AS x) FROM ({values})"
+
+
+def spec_sql(name: str, outcome: str, post: str, dropped: bool = False) -> str:
+    window = f"WHERE NOT (data_month BETWEEN '{V.REBOUND_WINDOW[0]}' AND '{V.REBOUND_WINDOW[1]}')" if dropped else ""
+    return f"SELECT '{name}' AS spec, c.industry, data_month, c.cohort, exposure, (data_month >= '{post}')::INTEGER AS post, {outcome} AS y FROM cohort_v c JOIN scales_v s ON s.industry = c.industry AND s.cohort = c.cohort {window}"
+
+
+FIT_SQL = f"""scales_v AS (SELECT industry, cohort, avg(abs(net)) FILTER (data_month < '2022-11') AS s1, avg(abs(net)) FILTER (data_month < '2023-03') AS s2
+  FROM cohort_v GROUP BY industry, cohort),
+specs_v AS ({" UNION ALL ".join([
+    spec_sql("asinh, full window", asinh_sql("net"), "2022-11"), spec_sql("normalised, full window", "CASE WHEN s1 <> 0 THEN net / s1 END", "2022-11"),
+    spec_sql("asinh, window dropped", asinh_sql("net"), "2022-11", True),
+    spec_sql("normalised, window dropped", "CASE WHEN s1 <> 0 THEN net / s1 END", "2022-11", True),
+    spec_sql("normalised, later post", "CASE WHEN s2 <> 0 THEN net / s2 END", "2023-03")])}),
+rows_v AS (
+  SELECT spec, 'exposure_post' AS term, industry AS c, industry AS e1, '' AS e2, data_month AS e3, y::DOUBLE AS y, (exposure * post)::DOUBLE AS x FROM specs_v WHERE cohort = 'young' AND y IS NOT NULL
+  UNION ALL
+  SELECT spec, 'exposure_post_young', industry, industry || '_' || data_month, industry || '_' || cohort, data_month || '_' || cohort, y::DOUBLE,
+         (exposure * post * (cohort = 'young')::INTEGER)::DOUBLE FROM specs_v WHERE y IS NOT NULL),
+rounds_v AS (
+  SELECT 0 AS turn, * FROM rows_v
+  UNION ALL
+  SELECT turn + 1, * EXCLUDE (turn) FROM ({means_sql(means_sql(means_sql(f"SELECT * FROM rounds_v WHERE turn < {ROUNDS_SQL}", "e1"), "e2"), "e3")})),
+within_v AS (SELECT * FROM rounds_v WHERE turn = {ROUNDS_SQL}),
+slopes_v AS (SELECT spec, term, sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(*) AS n, count(DISTINCT c) AS g, count(DISTINCT e3) AS m FROM within_v GROUP BY spec, term),
+meat_v AS (SELECT spec, term, sum(s * s) AS v FROM (SELECT spec, term, c, sum(x * (y - b * x)) AS s FROM within_v JOIN slopes_v USING (spec, term) GROUP BY spec, term, c) GROUP BY spec, term),
+fits_v AS (SELECT *, g - 1 AS df, sqrt(g / (g - 1.0) * (n - 1.0) / (n - (1 + m)) * v) / xx AS se FROM slopes_v JOIN meat_v USING (spec, term)),
+halves_v AS (
+  SELECT 0 AS turn, df, 0.0::DOUBLE AS low, 1000.0::DOUBLE AS high FROM (SELECT DISTINCT df FROM fits_v)
+  UNION ALL
+  SELECT turn + 1, df, CASE WHEN reach < 0.95 THEN mid ELSE low END, CASE WHEN reach < 0.95 THEN high ELSE mid END
+  FROM (SELECT *, {inside_sql("mid", "df")} AS reach FROM (SELECT *, (low + high) / 2 AS mid FROM halves_v WHERE turn < 80))),
+tidy_v AS (
+  SELECT spec, term, round(b, 6) AS estimate, round(se, 6) AS std_error, round(b / se, 6) AS t_value, round(1 - ({inside_sql("abs(b / se)", "f.df")}), 6) AS p_value,
+         round(b - low * se, 6) AS ci_low, round(b + low * se, 6) AS ci_high, n AS n_obs, g AS n_clusters, f.df AS df
+  FROM fits_v f JOIN halves_v h ON h.df = f.df AND h.turn = 80)"""
+
+
+def fit_sql(body: str) -> str:
+    return qsql(body, FIT_SQL).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def tidy_columns():
+    return ["term", *[r(c) for c in ("estimate", "std_error", "t_value", "p_value", "ci_low", "ci_high")], "n_obs", "n_clusters", "df"]
+
+
+@query("coefficient_table", "Q3 Q7", fit_sql("SELECT * EXCLUDE (spec) FROM tidy_v WHERE spec = 'asinh, full window' AND term = 'exposure_post'"))
 def coefficient_table(spark, d):
-    return Q.did(Q.with_outcome(cohort_v(spark, d)))
+    return Q.did(Q.with_outcome(cohort_v(spark, d))).select(*tidy_columns())
 
 
-@query("robustness_menu", "Q3 Q4 Q8")
+@query("robustness_menu", "Q3 Q4 Q8", fit_sql("SELECT * FROM tidy_v"))
 def robustness_menu(spark, d):
-    return Q.robustness_menu(Q.with_outcome(cohort_v(spark, d)))
+    return Q.robustness_menu(Q.with_outcome(cohort_v(spark, d))).select("spec", *tidy_columns())

@@ -1,8 +1,7 @@
 """Fixed-effects regressions on panels, with cluster-robust errors.
 
-Effects are removed by alternating group demeaning, each step a grouped mean
-joined back on its key; what reaches the driver is k x k, k the number of
-slopes.
+Effects are removed by conjugate gradients on tables of one row per level; what
+reaches the driver is k x k, k the number of slopes.
 """
 
 from __future__ import annotations
@@ -12,12 +11,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftspan.functions.numeric import asinh, ratio
 from weftspan.functions.student import quantile, two_sided_p
-from weftspan.plans.sizing import SMALL_ROWS, small_side
+from weftspan.plans.sizing import SMALL_ROWS, bounded_map, small_side
 from weftspan.plans.storage import materialise
 from weftspan.sources import fixed_values as V
 
@@ -95,66 +94,97 @@ class Effects:
         return total - sum(self.levels[e] - 1 for e in self.nested)
 
 
-def effect_facts(df: DataFrame, effects: Sequence[str], cluster: str) -> Effects:
-    levels, nested = {}, set()
-    for e in effects:
-        per_level = df.groupBy(e).agg(
-            F.min(cluster).alias("a"), F.max(cluster).alias("b")
-        )
-        row = per_level.agg(
-            F.count(F.lit(1)).alias("n"), F.bool_and(F.col("a") == F.col("b")).alias("within")
-        ).first()
-        levels[e] = row["n"]
-        if row["within"]:
-            nested.add(e)
-    return Effects(levels, frozenset(nested))
+def _dot(x: str, y: str, columns: Sequence[str], per: bool = False) -> list[Column]:
+    product = {c: F.col(f"{x}_{c}") * F.col(f"{y}_{c}") for c in columns}
+    return [F.sum(v / F.col("n") if per else v).alias(f"{x}{y}_{c}") for c, v in product.items()]
 
 
-def demean(
-    sample: DataFrame,
-    columns: Sequence[str],
-    effects: Sequence[str],
-    levels: dict[str, int],
-    tolerance: float = 1e-10,
-    max_rounds: int = 500,
-) -> DataFrame:
-    """Columns with the effects taken out, by alternating over the effects.
-
-    What changes from step to step is one small table per effect: the mean, by
-    level, of what the other effects leave over. Rows are read, never
-    rewritten. Tables are written to the shared folder, so plans stay short, and
-    broadcast when the level count, which does not change, is small. A round
-    that leaves the first table as it was ends the work; with one effect, or a
-    balanced panel, that is the second round.
+class Absorber:
+    """Takes effects out of columns of a sample, all columns in each pass.
+
+    The normal equations of the effects are solved by conjugate gradients with the level
+    counts as preconditioner. What is iterated are tables with one row per level
+    (of all effects, and of all samples where ``by`` tells several): coefficients,
+    residuals and directions. A step reads the sample once, adds up the direction's
+    levels along each row, and sums that by level; two numbers per column reach the
+    driver. Rows are never rewritten. On balanced panels a few steps end it, and on
+    unbalanced ones their number grows with the root of what alternating means need.
     """
-    spread = sample.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
-    scale = {c: (spread[c] or 1.0) for c in columns}
-    tables: dict[str, DataFrame] = {}
-
-    def without(rows: DataFrame, skip: str | None) -> DataFrame:
-        taken = {c: F.col(c) for c in columns}
-        for i, (e, table) in enumerate(tables.items()):
-            if e != skip:
-                named = table.select(e, *[F.col(c).alias(f"_{i}_{c}") for c in columns])
-                rows = rows.join(F.broadcast(named) if levels[e] <= SMALL_ROWS else named, e)
-                taken = {c: taken[c] - F.col(f"_{i}_{c}") for c in columns}
-        rest = [c for c in sample.columns if c not in columns]
-        return rows.select(*rest, *[taken[c].alias(c) for c in columns])
-
-    first = effects[0]
-    for _ in range(max_rounds):
-        for e in effects:
-            before = tables.get(e)
-            means = without(sample, e).groupBy(e).agg(*[F.avg(c).alias(c) for c in columns])
-            tables[e] = materialise(means, "effect")
-            if e == first and before is not None:
-                old = before.select(e, *[F.col(c).alias(f"_o_{c}") for c in columns])
-                moved = tables[e].join(old, e).agg(
-                    *[F.max(F.abs(F.col(c) - F.col(f"_o_{c}"))).alias(c) for c in columns]
-                ).first()
-                if max(abs(moved[c] or 0.0) / scale[c] for c in columns) < tolerance:
-                    return without(sample, None)
-    raise RuntimeError(f"demeaning did not settle in {max_rounds} rounds")
+
+    def __init__(self, sample: DataFrame, columns: Sequence[str], effects: Sequence[str], by: str, cluster: str):
+        self.columns, self.effects, self.by = list(columns), list(effects), by
+        spread = sample.agg(
+            *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.sum(F.col(c) * F.col(c)).alias(f"s_{c}") for c in columns], F.count(F.lit(1)).alias("n")
+        ).first()
+        self.mean = {c: spread[f"m_{c}"] or 0.0 for c in columns}
+        self.scale = {c: max((spread[f"s_{c}"] or 0.0) - spread["n"] * self.mean[c] ** 2, 1e-300) for c in columns}
+        self.sample = sample.select(
+            *[x for x in sample.columns if x not in columns], *[(F.col(c) - F.lit(self.mean[c])).alias(c) for c in columns]
+        )
+        begun = self._by_level(self.sample.withColumn("_k", F.col(cluster)), F.min("_k").alias("low"), F.max("_k").alias("high"))
+        self.levels = materialise(begun, "levels")
+        facts = self.levels.groupBy("by", "effect").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("low") == F.col("high")).alias("within")).collect()
+        self.small = sum(f["n"] for f in facts) <= SMALL_ROWS
+        self.facts = {}
+        for f in facts:
+            known = self.facts.setdefault(f["by"], ({}, set()))
+            known[0][self.effects[f["effect"]]] = f["n"]
+            if f["within"]:
+                known[1].add(self.effects[f["effect"]])
+
+    def absorbed(self, by: str) -> int:
+        levels, nested = self.facts[by]
+        return Effects(levels, frozenset(nested)).absorbed()
+
+    def _by_level(self, rows: DataFrame, *more: Column) -> DataFrame:
+        """Counts and sums of the columns by level of each effect."""
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("effect"), F.col(e).cast("string").alias("level")) for i, e in enumerate(self.effects)]))
+        kept = [c for c in ("_k",) if c in rows.columns]
+        long = rows.select(F.col(self.by).alias("by"), *kept, *self.columns, each.alias("_l")).select("by", "_l.effect", "_l.level", *kept, *self.columns)
+        return long.groupBy("by", "effect", "level").agg(F.count(F.lit(1)).alias("n"), *more, *[F.sum(c).alias(f"q_{c}") for c in self.columns])
+
+    def _met(self, table: DataFrame, name: str) -> tuple[DataFrame, dict[str, Column]]:
+        """The sample beside its levels' values ``name``, and their sums by column."""
+        rows, total = self.sample, dict.fromkeys(self.columns, F.lit(0.0))
+        for i, e in enumerate(self.effects):
+            part = table.filter(F.col("effect") == i).select(
+                F.col("by").alias(self.by), F.col("level").alias(f"_level{i}"), *[F.col(f"{name}_{c}").alias(f"_{i}_{c}") for c in self.columns]
+            )
+            rows = rows.withColumn(f"_level{i}", F.col(e).cast("string")).join(F.broadcast(part) if self.small else part, [self.by, f"_level{i}"])
+            total = {c: total[c] + F.col(f"_{i}_{c}") for c in self.columns}
+        return rows, total
+
+    def within(self, tolerance: float = 1e-11, most: int = 300) -> DataFrame:
+        """The sample with the effects taken out of its columns."""
+        table = self.levels.select(
+            "by", "effect", "level", "n", *[F.lit(0.0).alias(f"a_{c}") for c in self.columns], *[F.col(f"q_{c}").alias(f"r_{c}") for c in self.columns],
+            *[(F.col(f"q_{c}") / F.col("n")).alias(f"p_{c}") for c in self.columns],
+        )
+        for _ in range(most):
+            rows, total = self._met(table, "p")
+            sums = self._by_level(rows.select(*[x for x in self.sample.columns if x not in self.columns], *[total[c].alias(c) for c in self.columns])).drop("n")
+            step = materialise(table.join(F.broadcast(sums) if self.small else sums, ["by", "effect", "level"]), "step")
+            dots = step.agg(
+                *_dot("r", "r", self.columns, True), *_dot("p", "q", self.columns), *_dot("r", "q", self.columns, True), *_dot("q", "q", self.columns, True)
+            ).first()
+            alpha, beta, rest = {}, {}, 0.0
+            for c in self.columns:
+                rr, pq = dots[f"rr_{c}"], dots[f"pq_{c}"]
+                alpha[c] = rr / pq if pq and rr > 1e-32 * self.scale[c] else 0.0
+                left = max(rr - 2 * alpha[c] * dots[f"rq_{c}"] + alpha[c] ** 2 * dots[f"qq_{c}"], 0.0) if alpha[c] else 0.0
+                beta[c] = left / rr if rr else 0.0
+                rest = max(rest, left / self.scale[c])
+            residual = {c: F.col(f"r_{c}") - F.lit(alpha[c]) * F.col(f"q_{c}") for c in self.columns}
+            table = step.select(
+                "by", "effect", "level", "n",
+                *[(F.col(f"a_{c}") + F.lit(alpha[c]) * F.col(f"p_{c}")).alias(f"a_{c}") for c in self.columns],
+                *[residual[c].alias(f"r_{c}") for c in self.columns],
+                *[(residual[c] / F.col("n") + F.lit(beta[c]) * F.col(f"p_{c}")).alias(f"p_{c}") for c in self.columns],
+            )
+            if rest <= tolerance**2:
+                rows, total = self._met(table, "a")
+                return rows.select(*[x for x in self.sample.columns if x not in self.columns], *[(F.col(c) - total[c]).alias(c) for c in self.columns])
+        raise RuntimeError(f"effects did not settle in {most} steps")
 
 
 def within_ols(
@@ -163,63 +193,76 @@ def within_ols(
     terms: Sequence[str],
     effects: Sequence[str],
     cluster: str,
-    tolerance: float = 1e-10,
+    by: str | None = None,
 ) -> DataFrame:
-    """Least squares with absorbed effects; one row per term.
+    """Least squares with absorbed effects; one row per term, and per sample if ``by``
+    tells several samples: these share every pass.
 
     Errors are clustered (CRV1): G/(G-1) · (N-1)/(N-K) times the sandwich, K
     counting slopes and absorbed parameters; intervals use G - 1 degrees of
     freedom, G being the clusters of the estimation sample.
     """
-    needed = list(dict.fromkeys([y, *terms, *effects, cluster]))
+    needed = list(dict.fromkeys([y, *terms, *effects, cluster, *([by] if by else [])]))
     numeric = [y, *terms]
     sample = df.select(
         *[F.col(c).cast("double").alias(c) if c in numeric else F.col(c) for c in needed]
     ).dropna()
-    sample = materialise(sample, "panel")
-    facts = effect_facts(sample, effects, cluster)
-    within = materialise(demean(sample, numeric, effects, facts.levels, tolerance), "within")
+    group = by or "_sample"
+    sample = materialise(sample.withColumn(group, F.col(by).cast("string") if by else F.lit("")), "panel")
+    absorber = Absorber(sample, numeric, effects, group, cluster)
+    within = materialise(absorber.within(), "within")
 
     k = len(terms)
     x = [F.col(t) for t in terms]
     sums = [F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
     sums += [F.sum(x[i] * F.col(y)).alias(f"b{i}") for i in range(k)]
-    row = within.agg(*sums, F.count(F.lit(1)).alias("n")).first()
-    a = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            a[i, j] = a[j, i] = row[f"a{i}_{j}"]
-    b = np.array([row[f"b{i}"] for i in range(k)])
-    inverse = np.linalg.pinv(a, rcond=1e-12, hermitian=True)
-    slopes = inverse @ b
-
+    rows = {r[group]: r for r in within.groupBy(group).agg(*sums, F.count(F.lit(1)).alias("n")).collect()}
+    inverses, slopes = {}, {}
+    for name, row in rows.items():
+        a = _symmetric(row, "a", k)
+        inverses[name] = np.linalg.pinv(a, rcond=1e-12, hermitian=True)
+        slopes[name] = inverses[name] @ np.array([row[f"b{i}"] for i in range(k)])
+
+    fitted = bounded_map(
+        df.sparkSession, [(name, *map(float, s)) for name, s in slopes.items()], f"`{group}` string, " + ", ".join(f"_s{i} double" for i in range(k))
+    )
     residual = F.col(y)
     for i in range(k):
-        residual = residual - F.lit(float(slopes[i])) * x[i]
-    scores = within.withColumn("_u", residual).groupBy(cluster).agg(
+        residual = residual - F.col(f"_s{i}") * x[i]
+    scores = within.join(fitted, group).withColumn("_u", residual).groupBy(group, cluster).agg(
         *[F.sum(x[i] * F.col("_u")).alias(f"s{i}") for i in range(k)]
     )
-    meat_row = scores.agg(
+    meats = scores.groupBy(group).agg(
         *[
             F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}")
             for i in range(k)
             for j in range(i, k)
         ],
         F.count(F.lit(1)).alias("g"),
-    ).first()
-    meat = np.zeros((k, k))
+    ).collect()
+    out = []
+    for meat in sorted(meats, key=lambda r: r[group]):
+        name = meat[group]
+        n, g = rows[name]["n"], meat["g"]
+        parameters = k + absorber.absorbed(name)
+        factor = (g / (g - 1.0)) * ((n - 1.0) / (n - parameters)) if g > 1 and n > parameters else math.nan
+        variance = factor * inverses[name] @ _symmetric(meat, "m", k) @ inverses[name]
+        errors = np.sqrt(np.diag(variance))
+        out += [(*t, name) for t in tidy_rows(terms, slopes[name], errors, n, g)]
+    found = df.sparkSession.createDataFrame(out, f"{TIDY}, `{group}` string")
+    return found if by else found.drop(group)
+
+
+def _symmetric(row, name: str, k: int) -> np.ndarray:
+    a = np.zeros((k, k))
     for i in range(k):
         for j in range(i, k):
-            meat[i, j] = meat[j, i] = meat_row[f"m{i}_{j}"]
-    n, g = row["n"], meat_row["g"]
-    parameters = k + facts.absorbed()
-    factor = (g / (g - 1.0)) * ((n - 1.0) / (n - parameters)) if g > 1 and n > parameters else math.nan
-    variance = factor * inverse @ meat @ inverse
-    return tidy(df.sparkSession, terms, slopes, np.sqrt(np.diag(variance)), n, g)
+            a[i, j] = a[j, i] = row[f"{name}{i}_{j}"]
+    return a
 
 
-def tidy(spark, terms, estimates, errors, n: int, g: int) -> DataFrame:
-    """Coefficient table: t and p values and 95 % intervals with G - 1 df."""
+def tidy_rows(terms, estimates, errors, n: int, g: int) -> list[tuple]:
+    """Rows of a coefficient table: t and p values and 95 % intervals with G - 1 df."""
     df = g - 1
     reach = quantile(0.975, df) if df > 0 else math.nan
     rows = []
@@ -233,18 +276,18 @@ def tidy(spark, terms, estimates, errors, n: int, g: int) -> DataFrame:
                 int(n), int(g), int(df),
             )
         )
-    return spark.createDataFrame(rows, TIDY)
+    return rows
 
 
-def did(panel: DataFrame, y: str = "asinh_net") -> DataFrame:
+def did(panel: DataFrame, y: str = "asinh_net", by: str | None = None) -> DataFrame:
     """Exposure x post within the young cohort; industry and month effects."""
     young = panel.filter(F.col("cohort") == "young").withColumn(
         "exposure_post", F.col("exposure") * F.col("post")
     )
-    return within_ols(young, y, ["exposure_post"], ["industry", "data_month"], "industry")
+    return within_ols(young, y, ["exposure_post"], ["industry", "data_month"], "industry", by)
 
 
-def triple_difference(panel: DataFrame, y: str = "asinh_net") -> DataFrame:
+def triple_difference(panel: DataFrame, y: str = "asinh_net", by: str | None = None) -> DataFrame:
     """Exposure x post x young with industry-month, industry-cohort and
     month-cohort effects."""
     keyed = panel.select(
@@ -258,7 +301,7 @@ def triple_difference(panel: DataFrame, y: str = "asinh_net") -> DataFrame:
     )
     return within_ols(
         keyed, y, ["exposure_post_young"],
-        ["industry_month", "industry_cohort", "month_cohort"], "industry",
+        ["industry_month", "industry_cohort", "month_cohort"], "industry", by,
     )
 
 
@@ -282,7 +325,8 @@ def event_study(
 
 def robustness_menu(panel: DataFrame, window=V.REBOUND_WINDOW, other_post: str = "2023-03") -> DataFrame:
     """The two designs under a scale-free outcome, without a window, and with
-    another post date; one row per specification and design."""
+    another post date; one row per specification and design. All samples of a
+    design are fitted together."""
     panel = materialise(panel, "menu")
     base = normalised_outcome(panel)
     later = panel.withColumn("post", (F.col("data_month") >= other_post).cast("int"))
@@ -293,9 +337,9 @@ def robustness_menu(panel: DataFrame, window=V.REBOUND_WINDOW, other_post: str =
         ("normalised, window dropped", drop_window(base, *window), "normalised_net"),
         ("normalised, later post", normalised_outcome(later, post_start=other_post), "normalised_net"),
     ]
-    out = None
+    stacked = None
     for name, frame, y in menu:
-        both = did(frame, y).unionByName(triple_difference(frame, y))
-        both = both.withColumn("spec", F.lit(name))
-        out = both if out is None else out.unionByName(both)
-    return out
+        rows = frame.select("industry", "data_month", "cohort", "exposure", "post", F.col(y).alias("outcome"), F.lit(name).alias("spec"))
+        stacked = rows if stacked is None else stacked.unionByName(rows)
+    stacked = materialise(stacked, "specs")
+    return did(stacked, "outcome", "spec").unionByName(triple_difference(stacked, "outcome", "spec"))
