@@ -66,7 +66,49 @@ def code_segments(spark, d):
     )
 
 
-@query("parsed_entries", "B5 B6 B7 B13")
+def words_sql(c: str) -> str:
+    return f"list_filter(string_split(trim(regexp_replace({c}, '{WS}+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+def bare_sql(c: str) -> str:
+    return f"regexp_replace({c}, '^[,;]+|[,;]+$', '', 'g')"
+
+
+def opening_sql(line: str) -> str:
+    return f"lower(array_to_string(({words_sql(clean_sql(line))})[1:2], ' '))"
+
+
+def repeats_sql(line: str, so_far: str) -> str:
+    return f"({opening_sql(line)} <> '' AND contains(lower({clean_sql(so_far)}), {opening_sql(line)}))"
+
+
+BODY = "regexp_replace(regexp_replace(body, '(?s)ISCO\\s*08\\s*Unit\\s*Group\\s*Details.*', ''), '(?s)Qualification\\s*Pack\\s*Details.*', '')"
+PHRASES = " ".join(f"WHEN len(w) >= {2 * n} AND plain[1:{n}] = plain[{n + 1}:{2 * n}] THEN {n}" for n in range(6, 0, -1))
+PARSED_SQL = SEGMENT_SQL + f""",
+listed AS (SELECT file, code, list_filter(list_transform(string_split({BODY}, chr(10)), lambda x: {strip_sql('x')}), lambda x: x <> '') AS ls FROM segments),
+opened AS (SELECT *, ls[1] AS l1, ls[2] AS l2, ls[3] AS l3, coalesce(NOT contains(ls[1], '.'), false) AS p1,
+  coalesce(NOT contains(ls[2], '.'), false) AS p2, coalesce(NOT contains(ls[3], '.'), false) AS p3 FROM listed),
+counted AS (SELECT *, CASE WHEN two AND p3 AND NOT {repeats_sql('l3', "concat_ws(' ', l1, l2)")} AND length(l1) + length(l2) <= 90 THEN 3 WHEN two THEN 2 WHEN p1 THEN 1 ELSE 0 END AS k
+  FROM (SELECT *, coalesce(p1 AND p2 AND NOT {repeats_sql('l2', 'l1')} AND length(l1) <= 90, false) AS two FROM opened)),
+cut AS (SELECT file, code, {clean_sql("array_to_string(ls[1:k], ' ')")} AS title, {clean_sql("array_to_string(ls[k + 1:], ' ')")} AS description FROM counted),
+tokened AS (SELECT *, {words_sql('title')} AS w FROM cut),
+bared AS (SELECT *, list_transform(w, lambda t: {bare_sql('t')}) AS bare FROM tokened),
+placed AS (SELECT *, list_position(list_transform(range(1, len(w) + 1), lambda i:
+    regexp_full_match(bare[i], '[a-z]{{3,}}s') OR (regexp_full_match(bare[i], '[a-z]+') AND regexp_full_match(coalesce(bare[i + 1], ''), '[a-z]+')
+      AND regexp_full_match(bare[i] || coalesce(bare[i + 1], ''), '[a-z]{{4,}}s'))), true) AS pos FROM bared),
+returned AS (SELECT file, code,
+  CASE WHEN pos > 0 THEN regexp_replace({clean_sql("array_to_string(w[1:pos - 1], ' ')")}, '[,;]+$', '', 'g') ELSE title END AS title,
+  CASE WHEN pos > 0 THEN trim(concat_ws(' ', CASE WHEN regexp_full_match(bare[pos], '[a-z]{{3,}}s') THEN array_to_string(w[pos:], ' ')
+    ELSE concat_ws(' ', bare[pos] || coalesce(bare[pos + 1], ''), array_to_string(w[pos + 2:], ' ')) END, description)) ELSE description END AS description FROM placed),
+phrased AS (SELECT *, CASE {PHRASES} ELSE 0 END AS again FROM (
+  SELECT *, list_transform(w, lambda x: regexp_replace(regexp_replace(lower(x), '[,;]+$', '', 'g'), 's+$', '', 'g')) AS plain FROM (SELECT *, {words_sql('title')} AS w FROM returned))),
+parsed AS (SELECT code, file, description,
+  regexp_replace(regexp_replace(CASE WHEN again = 0 THEN title ELSE array_to_string(w[again + 1:], ' ') END, '\\s+([;,])', '\\1', 'g'), '^[ ;,]+|[ ;,]+$', '', 'g') AS title FROM phrased)"""
+
+
+@query("parsed_entries", "B5 B6 B7 B13", with_sql(
+    """SELECT code AS nco_code, substr(code, 1, 4) AS family, substr(code, 1, 3) AS group3, substr(code, 1, 1) AS division, title AS occupation_title, description, file AS source
+       FROM parsed WHERE title <> '' AND length(description) >= 40""", PARSED_SQL))
 def parsed_entries(spark, d):
     return B.split_entries(B.segment_by_code(B.drop_furniture(lines_v(spark, d)))).select(
         "nco_code", "family", "group3", "division", "occupation_title", "description", "source"
