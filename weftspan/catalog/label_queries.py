@@ -11,6 +11,7 @@ from weftspan.catalog.surrogates import (
 from weftspan.functions.labels import parse_response
 from weftspan.operators import labels as C
 from weftspan.operators.contracts import gate
+from weftspan.plans.storage import scratch_path
 from weftspan.sources import fixed_values as V
 
 SAMPLES_SQL = RESPONSES_SQL + """,
@@ -196,21 +197,33 @@ def label_distribution(spark, d):
     return C.label_distribution(C.vote(C.sample_labels(responses_v(spark, d))))
 
 
-@query(
-    "upserted_responses", "C10 F15",
-    with_sql(
-        """SELECT key, created_at, response FROM (
+UPSERT_SQL = with_sql(
+    """SELECT key, created_at, response FROM (
              SELECT *, row_number() OVER (PARTITION BY key ORDER BY created_at DESC, fresh DESC, response DESC) AS n
              FROM (SELECT key, created_at, response, 0 AS fresh FROM responses_v
                    UNION ALL
                    SELECT key, '2024-01-01T12', 'SCORE: E0', 1 FROM responses_v WHERE task_id % 2 = 0))
            WHERE n = 1""",
-        RESPONSES_SQL,
-    ),
+    RESPONSES_SQL,
 )
+
+
+@query("upserted_responses", "C10 F15", UPSERT_SQL)
 def upserted_responses(spark, d):
     stored = responses_v(spark, d).select("key", "created_at", "response")
     new = responses_v(spark, d).filter(F.col("task_id") % 2 == 0).select(
         "key", F.lit("2024-01-01T12").alias("created_at"), F.lit("SCORE: E0").alias("response")
     )
     return C.latest_responses(stored, new)
+
+
+@query("stored_upsert", "C10", UPSERT_SQL)
+def stored_upsert(spark, d):
+    """The same upsert into a stored table, of which only touched ranges are rewritten."""
+    columns = ["key", "created_at", "response"]
+    path = scratch_path(spark, "responses")
+    C.upsert_store(spark, path, responses_v(spark, d).select(*columns))
+    new = responses_v(spark, d).filter(F.col("task_id") % 2 == 0).select(
+        "key", F.lit("2024-01-01T12").alias("created_at"), F.lit("SCORE: E0").alias("response")
+    )
+    return C.upsert_store(spark, path, new)

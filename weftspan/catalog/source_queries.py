@@ -60,6 +60,52 @@ def text_csv_table(spark, d):
     return io.read_text_csv(spark, path).select("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
 
 
+@query("titled_csv_tables", "A5", "SELECT c_custkey::VARCHAR AS c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def titled_csv_tables(spark, d):
+    """Two files with titles above headers that differ in columns and their order."""
+    customer = io.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", "c_mktsegment")
+    odd = F.col("c_custkey").cast("long") % 2
+    body = customer.select(
+        odd.alias("part"), F.lit(3).alias("at"),
+        F.when(odd == 0, F.to_csv(F.struct("c_custkey", "c_name", "c_mktsegment"))).otherwise(F.to_csv(F.struct("c_name", "c_custkey"))).alias("value"),
+    )
+    heads = [(p, at, v) for p, h in ((0, "c_custkey,c_name,c_mktsegment"), (1, "c_name, c_custkey")) for at, v in enumerate(("Customers", "", h))]
+    lines = body.unionByName(spark.createDataFrame(heads, "part long, at int, value string"))
+    path = scratch_path(spark, "titled")
+    lines.repartition("part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(path)
+    return io.read_text_csv(spark, path, skip=2).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query("observed_report", "A7", """
+    SELECT count(*) AS n_rows, count(*) FILTER (o_orderstatus = 'F') AS n_filled, round(avg(o_totalprice), 4) AS mean_price,
+           max(o_orderkey) AS last_key FROM orders WHERE o_totalprice > 1000""")
+def observed_report(spark, d):
+    """The run report of a written table, counted while it was written."""
+    orders = io.table(spark, d, "orders").filter(F.col("o_totalprice") > 1000)
+    report = io.write_observed(orders, scratch_path(spark, "observed"), [
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("o_orderstatus") == "F").alias("n_filled"),
+        F.avg("o_totalprice").alias("mean_price"), F.max("o_orderkey").alias("last_key"),
+    ])
+    row = spark.createDataFrame([report], "n_rows long, n_filled long, mean_price double, last_key long")
+    return row.withColumn("mean_price", r("mean_price", digits=4))
+
+
+@query("bucketed_join", "A2", """
+    SELECT o_orderkey, count(*) AS n, round(sum(l_extendedprice), 4) AS price, max(o_totalprice) AS o_totalprice
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def bucketed_join(spark, d):
+    """Two stages stored in buckets of one key; neither moves when they are joined and grouped by it."""
+    stored = {}
+    for name, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        path = scratch_path(spark, name)
+        rows = io.table(spark, d, name).select(key, "o_totalprice" if name == "orders" else "l_extendedprice")
+        stored[name] = io.write_bucketed(rows, f"weftspan_{path.rsplit('-', 1)[-1]}", path, key, 8)
+    joined = stored["lineitem"].join(stored["orders"].hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), r(F.sum("l_extendedprice"), "price", 4), F.max("o_totalprice").alias("o_totalprice")
+    )
+
+
 @query("csv_result_sink", "A4", with_sql("SELECT group3, n_tasks, round(beta, 6) AS beta FROM idx_v", LABELS_SQL, IDX_SQL))
 def csv_result_sink(spark, d):
     result = idx_v(spark, d).select("group3", "n_tasks", r("beta"))

@@ -8,6 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftspan.plans.sizing import small_side
+from weftspan.plans.storage import materialise
+
 VIOLATION_SCHEMA = "rule string, column string, n bigint, sample string"
 
 
@@ -68,11 +71,27 @@ def _shape_faults(df: DataFrame, contract: Contract) -> list[tuple]:
     return faults
 
 
+def _repeated(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows with values that repeat within their column, for all columns in one shuffle.
+
+    Every row gives one (column, value digest) per column; counts are combined before
+    the shuffle. Only digests met twice, none in a sound table, are looked at again by
+    value, so that two values of one digest do not pass for a repetition.
+    """
+    each = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.xxhash64(c).alias("digest"), F.col(c).cast("string").alias("value")) for c in columns
+    ])).alias("_e")
+    cells = df.select(each).select("_e.*").filter(F.col("value").isNotNull())
+    twice = cells.groupBy("column", "digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("column", "digest")
+    met = cells.join(small_side(materialise(twice, "digests")), ["column", "digest"])
+    found = met.groupBy("column", "value").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return found.groupBy("column").agg(F.sum("times").alias("n"), F.min("value").alias("sample")).select(F.lit("unique").alias("rule"), "column", "n", "sample")
+
+
 def violations(df: DataFrame, contract: Contract) -> DataFrame:
     """Every broken rule with the number of rows breaking it and one sample.
 
-    All row rules are counted in one pass; each unique column adds one
-    grouped count, which combines before its shuffle.
+    All row rules are counted in one pass, and all unique columns in another.
     """
     spark = df.sparkSession
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -98,22 +117,8 @@ def violations(df: DataFrame, contract: Contract) -> DataFrame:
         parts.append(
             df.agg(*counts).select(F.inline(F.array(*entries))).filter(F.col("n") > 0)
         )
-    for f in checked:
-        if f.unique:
-            repeated = (
-                df.filter(F.col(f.name).isNotNull())
-                .groupBy(f.name)
-                .count()
-                .filter(F.col("count") > 1)
-            )
-            parts.append(
-                repeated.agg(
-                    F.lit("unique").alias("rule"),
-                    F.lit(f.name).alias("column"),
-                    F.coalesce(F.sum("count"), F.lit(0)).alias("n"),
-                    F.min(F.col(f.name).cast("string")).alias("sample"),
-                ).filter(F.col("n") > 0)
-            )
+    if unique := [f.name for f in checked if f.unique]:
+        parts.append(_repeated(df, unique))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspan.functions.labels import LABELS, TIE, is_label, parse_response
+from weftspan.plans.storage import materialise
+from weftspan.sources.io import exists
 
 STRICT_OFFSET = 100
 RESPONSE_COLUMNS = [
@@ -73,6 +75,33 @@ def latest_responses(stored: DataFrame, new: DataFrame) -> DataFrame:
     return picked.select("key", *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*stored.columns)
 
 
+STORE_RANGES = 64
+
+
+def store_range(key: str = "key", ranges: int = STORE_RANGES) -> Column:
+    """Range of a key in the stored table: keys of one digest fall in one folder."""
+    return F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int").alias("range")
+
+
+def upsert_store(spark: SparkSession, path: str, new: DataFrame, ranges: int = STORE_RANGES) -> DataFrame:
+    """Upsert responses into a table in folders by key range, and return it.
+
+    Only the folders that new keys fall in are read and written again; all others
+    keep their files. What replaces them is written to scratch space first, so a run
+    that is lost on the way can be repeated. A table that does not exist begins empty.
+    """
+    placed = materialise(new.withColumn("range", store_range("key", ranges)), "upsert")
+    if exists(spark, path):
+        touched = [r["range"] for r in placed.select("range").distinct().collect()]  # at most ``ranges``
+        stored = spark.read.parquet(path).filter(F.col("range").isin(touched)).select(*new.columns)
+    else:
+        stored = new.limit(0)
+    merged = latest_responses(stored, placed.select(*new.columns)).withColumn("range", store_range("key", ranges))
+    ready = materialise(merged, "merged")
+    ready.repartition("range").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("range").parquet(path)
+    return spark.read.parquet(path).select(*new.columns)
+
+
 def sample_labels(responses: DataFrame) -> DataFrame:
     """(task_id, sample_idx, label): the first try, else its strict retry.
 

@@ -6,7 +6,7 @@ import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weftspan.sources.fixed_values import SURVEY_COLUMNS
@@ -30,21 +30,34 @@ def read_text_csv(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
 
     ``skip`` leading lines (titles above the header) are dropped by their
     place at the head of each file, and the header line after them; a line
-    further down stays even if it is equal to one of these.
+    further down stays even if it is equal to one of these. With ``skip``, each file
+    has a header of its own: columns go by name, and one that a file lacks is null.
+    A field may not hold a line end then.
     """
     if not skip:
         return spark.read.csv(path, header=True, inferSchema=False)
-    header = spark.read.text(path).limit(skip + 1).collect()[-1][0]
-    names = [n.strip().replace("`", "``") for n in next(csv.reader([header]))]
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
     # Ids rise by one within a file's first split; one row per file is kept of it.
-    begins = lines.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_at").alias("_begin"))
-    body = lines.join(begins, "_file").filter((F.col("_block") > 0) | (F.col("_at") - F.col("_begin") > skip))
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return body.select(F.from_csv("value", schema).alias("_r")).select("_r.*")
+    first = F.col("_block") == 0
+    begins = lines.filter(first).groupBy("_file").agg(F.min("_at").alias("_begin"))
+    placed = lines.join(begins, "_file").withColumn("_line", F.when(first, F.col("_at") - F.col("_begin")))
+    headers = placed.filter(F.col("_line") == skip).select("_file", F.col("value").alias("_header"))
+    kinds = [next(csv.reader([r["_header"]])) for r in headers.select("_header").distinct().collect()]
+    names = list(dict.fromkeys(n.strip() for kind in kinds for n in kind))
+    fields = ", ".join(f"_c{i} string" for i in range(max(map(len, kinds), default=0)))
+    if not fields:
+        return spark.createDataFrame([], ", ".join(f"`{n}` string" for n in names) or "value string")
+
+    def cells(line: Column) -> Column:
+        row = F.from_csv(line, fields)
+        return F.array(*[row[f.split()[0]] for f in fields.split(", ")])
+
+    body = placed.filter(F.col("_line").isNull() | (F.col("_line") > skip)).join(headers, "_file")
+    told = body.select(cells(F.col("value")).alias("_v"), F.transform(cells(F.col("_header")), lambda n: F.trim(n)).alias("_n"))
+    return told.select(*[F.get("_v", F.array_position("_n", n).cast("int") - 1).alias(n) for n in names])
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
@@ -73,6 +86,21 @@ def run_report(df: DataFrame, measures: Sequence[Column]) -> DataFrame:
     return df.agg(*measures)
 
 
+def write_observed(df: DataFrame, path: str, measures: Sequence[Column]) -> dict:
+    """Write an output as Parquet and return its run report, taken by the pass that
+    writes. Measures are named aggregates without DISTINCT."""
+    seen = Observation()
+    df.observe(seen, *measures).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Write a stage as a table of sorted buckets, for joins and groupings by ``key``
+    that then move nothing of it. ``path`` is a folder all executors share."""
+    df.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a reader finds the path."""
     try:
