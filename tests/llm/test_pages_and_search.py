@@ -112,11 +112,37 @@ def test_overlap_cases(spark, block_words):
     assert got[(10, 1)]["n_matched"] == 30 and got[(17, 1)]["doc_word"] == 40_000
     left = decontaminate.remove_overlapping(docs, bench)
     assert left.columns == docs.columns
-    assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 12, 14, 15, 16]
+    # The row without a doc_id holds an item, and goes like any other.
+    assert sorted((r["doc_id"] or 0) for r in left.collect()) == [12, 14, 15, 16]
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.overlaps(docs, none).count() == 0 and decontaminate.overlaps(documents(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", range(5, 25))
+def test_replaced_words_at_all_places(n):
+    """A copy with one or two words replaced, wherever they stand, is found if it keeps
+    four fifths of the item, or has the words that are enough."""
+    rng = random.Random(n)
+    item, around = words(rng, n, 10_000), words(rng, 6, 300)
+    block = decontaminate.Block([7], [" ".join(item)])
+    cases = [(i,) for i in range(n)] + [(i, j) for i in range(n) for j in range(i)]
+    texts = [" ".join([*around, *["zz" if i in case else w for i, w in enumerate(item)], *around]).encode() for case in cases]
+    held = decontaminate.prepared(texts)
+    found = {doc for doc, at, shift in block.alignments(held).tolist() if block.stretch(held, doc, at, shift)}
+    want = {k for k, case in enumerate(cases) if n - len(case) >= 0.8 * n}
+    assert want <= found
+    apart = {k for k in found - want if max(map(len, "".join("0" if i in cases[k] else "1" for i in range(n)).split("0"))) < 5}
+    assert not apart or n > 15
+
+
+def test_unlike_texts_are_left_alone():
+    rng = random.Random(1)
+    block = decontaminate.Block([1, 2, 3], [" ".join(words(rng, n, 15)) for n in (6, 12, 20)])
+    held = decontaminate.prepared([" ".join(words(rng, 400, 15)).encode() for _ in range(40)])
+    tried = block.alignments(held).tolist()
+    assert len(tried) > 10 and sum(block.stretch(held, *t) is not None for t in tried) == 0
+
+
 def plain_nearest(ids, x, k):
     scores = x @ x.T
     out = {}

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspan.llm.batches import pieces
+from weftspan.llm.batches import fresh, pieces
 from weftspan.llm.hashing import Words, byte_table, mix
 
 #: Positions that count are 1. Six words each, spans of 7, 8 and 9.
@@ -25,15 +25,28 @@ MASKS = ("1110111", "11011011", "101101011")
 #: Fewest words of an item that can be evidence, and enough matched words.
 LEAST_WORDS, ENOUGH_WORDS = 5, 13
 SIMILARITY, MISMATCH_COST = 0.8, 3
+#: Items up to so many words are found whatever words are replaced, and longer ones with
+#: any two replaced: a third of the others is longer than a mask.
+SHORT_WORDS = 20
 #: Words of the benchmark that are held by a task at once.
 BLOCK_WORDS = 400_000
 SIEVE = 1 << 21
 
 
+def allowed(n: int) -> int:
+    """Most words of an item of n that may be replaced."""
+    return n - math.ceil(SIMILARITY * n)
+
+
+def run_of(n: int) -> int:
+    """Words that surely stand in a row, if ``allowed`` of n are replaced anywhere."""
+    return -(-(n - allowed(n)) // (allowed(n) + 1))
+
+
 def masks_for(lengths: set[int]) -> list[str]:
-    """The fixed masks, and a full one for each item length below their spans."""
-    longest = max(map(len, MASKS))
-    return [*MASKS, *("1" * n for n in sorted(lengths) if LEAST_WORDS <= n < longest)]
+    """The fixed masks, and for short items, by length, a full one of the run that must
+    be left: a few replaced words can spoil all placings of the fixed ones there."""
+    return [*MASKS, *sorted({"1" * run_of(n) for n in lengths if LEAST_WORDS <= n <= SHORT_WORDS})]
 
 
 def seeds(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
@@ -64,9 +77,11 @@ class Block:
         found = []
         for mask in self.masks:
             at, hashes = seeds(words, mask)
-            if mask not in MASKS:  # a full mask serves items of its own length
-                own = lengths[words.doc[at]] == len(mask)
-                at, hashes = at[own], hashes[own]
+            if mask in MASKS:
+                own = lengths[words.doc[at]] >= LEAST_WORDS
+            else:  # a full mask serves the short items whose run it is
+                own = np.isin(lengths[words.doc[at]], [n for n in range(LEAST_WORDS, SHORT_WORDS + 1) if run_of(n) == len(mask)])
+            at, hashes = at[own], hashes[own]
             found.append((at, hashes))
         at = np.concatenate([f[0] for f in found])
         hashes = np.concatenate([f[1] for f in found])
@@ -94,8 +109,10 @@ class Block:
         return np.unique(np.concatenate(rows), axis=0) if rows else np.zeros((0, 3), np.int64)
 
     def stretch(self, words: Words, doc: int, item: int, shift: int) -> tuple[int, int, int, int] | None:
-        """Best stretch on one alignment: first word in the document and in the
-        item, words, matched words; None if it isn't enough."""
+        """What matches on one alignment: first word in the document and in the
+        item, words, matched words; None if it isn't enough. That is the best local
+        stretch, or, if this is too little, all from the first to the last equal word,
+        where these are four fifths of the whole item."""
         a, b = self.first[item], self.first[item + 1]
         begin = max(shift, words.first[doc])
         end = min(shift + b - a, words.first[doc + 1])
@@ -106,7 +123,11 @@ class Block:
         first = int(np.argmax(total[: last + 1] == lowest[last]))
         matched = int(same[first:last].sum())
         if matched < min(ENOUGH_WORDS, math.ceil(SIMILARITY * (b - a))):
-            return None
+            matched = int(same.sum())
+            if matched < math.ceil(SIMILARITY * (b - a)):
+                return None
+            equal = np.flatnonzero(same)
+            first, last = int(equal[0]), int(equal[-1]) + 1
         return int(begin + first - words.first[doc]), int(begin + first - shift), last - first, matched
 
 
@@ -119,7 +140,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WOR
     benchmark. Words are lower-cased runs of letters and digits. Items of fewer
     than ``LEAST_WORDS`` words, and null or empty texts, match nothing. A
     null doc_id or item_id is kept as null; rows that repeat both ids are merged,
-    the stretch with most matches first, then the earliest.
+    the stretch with most matches first, then the earliest. Texts of any length are
+    read whole; empty tables give no row; only the four named columns are read, so no
+    other clashes.
     """
     size = benchmark.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("words")).first()["words"] or 0
     blocks = max(1, -(-size // block_words))
@@ -156,7 +179,11 @@ def _scan(docs: DataFrame, block: Block) -> DataFrame:
 
 
 def remove_overlapping(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without overlap with any item. Rows with a null doc_id cannot be
-    named by an overlap and stay."""
-    hit = overlaps(docs, benchmark).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")
+    """Documents without overlap with any item; all columns stay, whatever their names.
+
+    Rows are told apart by a digest of their text, so equal texts go together and a
+    null or repeated doc_id changes nothing; a null or empty text stays.
+    """
+    (key,) = fresh(docs.columns, "_text_hash")
+    hit = overlaps(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(key)).distinct()
+    return docs.withColumn(key, F.xxhash64("text")).join(hit, key, "left_anti").select(*docs.columns)
