@@ -197,7 +197,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     that are similar to the row's. A null text, or one without words, has no set: it
     is a class of its own and links to nothing. Equal texts share a class, however
     often a row repeats. A null doc_id counts as smaller than any other and is
-    given back as null. An empty table gives no rows.
+    given back as null. An empty table gives no rows. Texts of any length are read
+    whole; of equal candidates for an id the smallest counts. Only doc_id and text are
+    read, so no other column clashes.
     """
     rows = materialise(signatures(docs, threshold, recall), "signatures")
     sets_of = rows.filter(F.col("id").isNotNull())
@@ -227,7 +229,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class: that with the smallest doc_id.
 
     Rows that repeat a doc_id with an equal text count as copies and one stays.
-    Columns are those of ``docs``.
+    Columns are those of ``docs``, whatever their names; nulls, empty and long texts,
+    ties and empty tables are as in ``near_duplicates``: a text without words stays.
     """
     _id, _hash, _copy = fresh(docs.columns, "_id", "_hash", "_copy")
     found = near_duplicates(docs, threshold)

@@ -180,7 +180,10 @@ def predict(docs: DataFrame, profiles: Profiles, keys: list[str], text: str = "t
     """``keys``, ``lang_pred`` and ``score`` (cosine, at least 0) of each row.
 
     A null text, or one without a letter, gets ``und`` and 0, as does every text
-    if nothing was learned. Ties go to the language first in order.
+    if nothing was learned. Ties go to the language first in order. A text of any length
+    is read whole; rows that repeat each get a row; an empty table gives none. Of the
+    columns only ``keys`` and ``text`` are read; a key may have any name but those of the
+    result.
     """
     rows = docs.select(*keys, F.col(text).alias("_text"))
 

@@ -149,7 +149,9 @@ def nearest(
     on at most about ``sample`` vectors, whose scores also bound each list from
     below; all vectors are dealt to its leaves, and
     leaves beyond ``BLOCK_VECTORS`` members are ranked in blocks. Rows that repeat
-    a vec_id count once. Empty inputs give no rows.
+    a vec_id count once. Equal scores are ranked by vec_id. Empty inputs give no rows.
+    Nulls, in a vector or in its place, are left out by ``usable``, which also leaves out
+    all other columns, so none clashes. There are no texts here.
     """
     ids = top_per_group(vectors.distinct(), ["embedding"], [F.col("vec_id")], k + 1, spread=["vec_id"])
     copies = materialise(

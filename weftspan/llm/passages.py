@@ -243,7 +243,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PH
     words; a text of fewer words than a window keeps all. A null doc_id is smaller
     than any other. Rows that repeat a doc_id and its text are one document and lose
     the same words; texts that share a doc_id are ordered by a digest. Texts without
-    repeats are not moved.
+    repeats are not moved. Texts of any length are read whole, and an empty table gives
+    no rows. Only doc_id and text are read, so no other column clashes.
     """
     marked = repeated_spans(docs, window, phrase).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
     marked = materialise(marked, "spans")

@@ -69,7 +69,8 @@ def write_records(
     Texts are dealt by doc_id ranges before they are encoded; each task encodes
     its range in order and writes one file. A null text has the end id only. A
     null doc_id sorts first. Rows that repeat a doc_id each get a record, ordered
-    by text. An empty table gives an empty index.
+    by text, so ties don't change the files. An empty table gives an empty index. A text
+    of any length is one record. Only doc_id and text are read, so no other column clashes.
     """
     path = tokenizer or default_tokenizer()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))

@@ -133,7 +133,9 @@ def extract(pages: DataFrame, keys: list[str], broadcast_nodes: int = BROADCAST_
     host without a name. Pages are read twice and never moved, as long as the
     template nodes of all hosts are at most ``broadcast_nodes`` (counted first);
     beyond that, each page meets its host's nodes in a join. Rows that repeat are
-    each extracted; an empty table gives no rows.
+    each extracted; an empty table gives no rows. Nodes that tie with the limit of
+    importance stay. A page of any length is read whole. Of the columns only ``keys``,
+    url and html are read; a key may have any name but ``text``.
     """
     low = style_tree(pages).filter(F.col("importance") < LEAST_IMPORTANCE).select("host", "node")
     some = low.limit(broadcast_nodes + 1).toPandas()

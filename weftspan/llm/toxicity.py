@@ -161,7 +161,9 @@ def without_toxic(docs: DataFrame, model: Model, least: float = 0.5) -> DataFram
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
     """``keys`` and ``score`` of each row. A null or empty text has the constant's
-    score; a text of any length is read whole."""
+    score; a text of any length is read whole; rows that repeat, or tie, each get a row of
+    equal score, and an empty table gives none. Of the columns only ``keys`` and ``text``
+    are read; a key may have any name but ``score``."""
     rows = docs.select(*keys, F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
