@@ -152,10 +152,10 @@ def superfluous(rows: DataFrame, docs: DataFrame, threshold: float = THRESHOLD)
     """
     links, _ = similar_links(rows.select("id", "keys"), lambda wanted: _load(docs, wanted), threshold, expand=_shingle_sets)
     groups = materialise(components(links).withColumnRenamed("node", "id"), "groups")
-    dealt = rows.select("id", "doc_id", "text_hash", "line").repartition("id")
-    times = dealt.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    times = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
     named = times.join(groups, "id", "left").filter(F.col("root").isNotNull() | (F.col("n") > 1)).select("id", F.coalesce("root", "id").alias("root"))
-    met = materialise(dealt.join(named, "id").select("doc_id", "text_hash", "line", "root"), "repeated")
+    # A line in a third of all rows is one key of this join, whose rows adaptive execution splits.
+    met = materialise(rows.select("id", "doc_id", "text_hash", "line").join(named, "id").select("doc_id", "text_hash", "line", "root"), "repeated")
     place = F.struct("doc_id", "text_hash", "line")
     kept = met.groupBy("root").agg(F.min(place).alias("kept"))
     # Sets, since rows may repeat a document.
