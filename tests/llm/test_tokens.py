@@ -101,6 +101,25 @@ def test_packing_cases(spark, library):
     assert sum(r["length"] for r in rows) == sum(len(whole(library, r[1])) for r in odd_documents())
 
 
+def test_one_doc_id_for_all_rows(spark, library, tmp_path, monkeypatch):
+    """Groups and files stay even where every row has the same doc_id, or is the same."""
+    rows = [(7, f"word{i % 50} again", "en", "a", 1) for i in range(400)]
+    packed = packing.pack(documents(spark, rows), capacity=64, group_documents=40).collect()
+    assert sum(r["length"] for r in packed) == sum(len(whole(library, r[1])) for r in rows)
+    groups = defaultdict(int)
+    for r in packed:
+        groups[r["sequence_id"] % 10] += 1
+    assert len(groups) == 10 and max(groups.values()) < 90
+    monkeypatch.setattr(records, "FILE_BYTES", 500)
+    records.write_records(documents(spark, rows), str(tmp_path / "r"))
+    files = defaultdict(int)
+    for r in records.read_index(spark, str(tmp_path / "r")).collect():
+        files[r["file"]] += 1
+    assert len(files) > 6 and max(files.values()) < 200 and sum(files.values()) == 400
+    starts = sorted((r["start"], len(r["ids"]) // 4) for r in records.read_records(spark, str(tmp_path / "r")).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_first_fit_is_the_plain_one():
     rng = random.Random(5)
     for _ in range(60):

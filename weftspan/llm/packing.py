@@ -94,14 +94,16 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_documents: int = GROUP
     ``ids`` are little-endian unsigned 32-bit integers as bytes. A null or empty
     text has the end id only; a null doc_id is kept; rows that repeat a
     doc_id are packed each on its own; an empty table gives no pieces. Equal
-    lengths are taken in (doc_id, start) order, so a run repeats exactly. A text of any
+    lengths are taken in (doc_id, start) order, and pieces are dealt to groups by these
+    and their place in the input, so a run over the same files repeats exactly. A text of any
     length is encoded whole and cut into pieces. Only doc_id and text are read, so no
     other column clashes.
     """
     total = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("held")).first()
     kind_of_ids = id_type(tokenizer or default_tokenizer())
     groups = max(1, -(-total["rows"] // group_documents), -(-(total["held"] or 0) // group_bytes))
-    digest = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("start"))
+    # The row's own number spreads rows that share a doc_id, or are equal altogether.
+    digest = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("start"), F.monotonically_increasing_id())
     dealt = cut(docs, capacity, tokenizer, end_id).withColumn("_group", F.pmod(digest, F.lit(groups)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:

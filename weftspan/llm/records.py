@@ -33,6 +33,7 @@ from weftspan.llm.tokens import END_ID, default_tokenizer, encoder_of, id_type,
 MASK_SHIFT, MASK_ADD = 15, 0xA282EAD8
 HEAD, TAIL, KEY = "<QI", "<I", "<q"
 HEAD_SIZE, TAIL_SIZE, KEY_SIZE = 12, 4, 8
+FILE_BYTES = 128 << 20
 #: Stands for a null doc_id, which sorts first.
 NO_ID = -(1 << 63)
 
@@ -67,14 +68,18 @@ def write_records(
     """Write ``folder/records`` and ``folder/index`` for (doc_id, text).
 
     Texts are dealt by doc_id ranges before they are encoded; each task encodes
-    its range in order and writes one file. A null text has the end id only. A
-    null doc_id sorts first. Rows that repeat a doc_id each get a record, ordered
-    by text, so ties don't change the files. An empty table gives an empty index. A text
+    its range in order and writes one file, of about ``FILE_BYTES`` of text at most. A
+    null text has the end id only. A null doc_id sorts first. Rows that repeat a doc_id
+    each get a record, ordered by a digest of the text; they may fill several files. An empty table gives an empty index. A text
     of any length is one record. Only doc_id and text are read, so no other column clashes.
     """
     path = tokenizer or default_tokenizer()
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    ranged = docs.select(key.alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(key.alias("doc_id"), "text", F.xxhash64("text").alias("_digest"), F.monotonically_increasing_id().alias("_row"))
+    held = docs.agg(F.sum(F.octet_length("text")).alias("held")).first()["held"] or 0
+    files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // FILE_BYTES))
+    order = ["doc_id", "_digest", "_row"]
+    ranged = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
