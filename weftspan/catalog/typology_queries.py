@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from weftspan.catalog.registry import query, r
 from weftspan.catalog.surrogates import MERGED_SQL, idx_v, merged_v, with_sql
 from weftspan.operators import typology as T
+from weftspan.plans.storage import materialise
 from weftspan.sources import fixed_values as V
 from weftspan.sources.io import table
 
@@ -129,7 +130,7 @@ chosen AS (SELECT k FROM scores ORDER BY round(silhouette, 9) DESC, k LIMIT 1)""
     MERGED_SQL, STANDARD_SQL + ", std_raw AS (SELECT s.*, f.workers_m FROM std s JOIN feat f ON f.group3 = s.group3)", CHOSEN_SQL)))
 def chosen_typology(spark, d):
     """Profiles of the groups at the number of clusters of highest silhouette."""
-    points = T.standardise(features_v(spark, d).persist(), NAMES)
+    points = T.standardise(materialise(features_v(spark, d), "features"), NAMES)
     clustered, _ = T.choose_clusters(points, "group3", NAMES, starts="drawn")
     return T.cluster_profiles(clustered, NAMES).withColumn("workers_m", r("workers_m", digits=7))
 
