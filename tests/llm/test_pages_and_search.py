@@ -1,8 +1,10 @@
 """Page extraction, benchmark overlaps and nearest vectors against plain versions."""
 
 import html
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -14,24 +16,109 @@ FOLDER = "/root/testdata/sf0.01"
 PAGES = "page_id long, url string, html string"
 
 
+def path_of(elements, place):
+    return path_of(elements, elements[place].parent) + ">" + elements[place].presentation if place else ""
+
+
 def test_blocks_follow_the_page():
     page = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>";</script></head><body>
     <!-- <p>no</p> --><div class="wrap12"><p>One <b>bo</b>ld &amp;amp; &eacute;&nbsp;&#x41;<p>Two<br>three<ul><li>a<li>b</ul></div>
     <form>no</form><p title="a > b">Four</p><span class="ad">no</span>tail</body>"""
-    found = [text for chain, text in markup.blocks(page) if not chain[-1].apart]
+    elements, blocks = markup.read(page)
+    found = [text for place, text in blocks if not elements[place].apart]
     assert found == ["One bold &amp; é A", "Two", "three", "a", "b", "Four", "tail"]
-    assert [c[-1].path for c, t in markup.blocks(page) if t == "a"] == [">html>body>div.wrap#>ul>li"]
-    assert markup.blocks("") == [] and [t for _, t in markup.blocks("a < b <")] == ["a < b <"]
-    assert [t for _, t in markup.blocks("<p>x</div></b>y<script>never closed <p>z")] == ["xy"]
+    assert [path_of(elements, place) for place, t in blocks if t == "a"] == [">html>body>div.wrap#>ul>li"]
+    assert markup.read("")[1] == [] and [t for _, t in markup.read("a < b <")[1]] == ["a < b <"]
+    assert [t for _, t in markup.read("<p>x</div></b>y<script>never closed <p>z")[1]] == ["xy"]
 
 
 @pytest.mark.parametrize("opening", ['<body class="home no-sidebar">', '<div class="content with-sidebar">', '<article class="post comments-open comments">', '<div id="search-result-page">', '<main class="search">'])
 def test_parts_of_names_declare_nothing(opening):
     page = f'{opening}<p>kept</p><div class="wide sidebar">no</div><div id="comments">no</div><div role="navigation">no</div>'
-    assert site_style.main_text(page, set()) == "kept"
+    assert site_style.main_text(page, {}) == "kept"
     part = f'{opening}<p>kept</p><div class="share-bar">shared</div>'
-    low = {site_style.node_key(e.path) for chain, _ in markup.blocks(part) for e in chain if "share-bar" in e.path}
-    assert site_style.main_text(part, set()) == "kept shared" and (site_style.main_text(part, low) == "kept") == ("<article" not in part and "<main" not in part)
+    low = {e.key: (0.0, 1.0, 0.0) for e in markup.read(part)[0] if "share-bar" in e.presentation}
+    assert site_style.main_text(part, {}) == "kept shared"
+    long = part.replace("kept", "kept much longer text")
+    assert site_style.main_text(long, low) == "kept much longer text"
+
+
+def test_parts_of_names_are_hints():
+    page = """<main><p>a</p><section class="comments-area">reader says</section><div class="related-posts">rel</div><div class="ad-slot">buy</div></main>"""
+    assert site_style.main_text(page, {}) == "a"
+    page = '<div class="content with-sidebar"><h1>Title</h1><p>body of it</p></div><div class="site-footer">end</div>'
+    assert site_style.main_text(page, {}) == "Title body of it"
+
+
+def plain_tree(rows):
+    """Values of each (host, node) by entropies over lists of what pages show."""
+    seen = {}
+    for _, url, page in rows:
+        for node, kind, value in site_style.features(page or ""):
+            for host in (markup.host_of(url), None):
+                seen.setdefault((host, node), ([], [], []))[kind].append(value)
+
+    def entropy(values, pages):
+        chances = [values.count(v) / len(values) for v in values] if values else []
+        return 1 - sum(math.log(p * len(values)) for p in chances) / len(values) / math.log(pages) if values and pages > 1 else 1.0
+
+    def of(key):
+        content, styles, pages = seen[key]
+        return entropy(styles, len(pages)), 0.9 ** (len(set(styles)) - 1), entropy(content, len(pages)), len(pages)
+
+    def blend(own, pages, prior):
+        return [(pages * a + 8 * b) / (pages + 8) for a, b in zip(own, prior, strict=True)]
+
+    found = {}
+    for host, node in seen:
+        if host is not None:
+            *every, n = of((None, node))
+            *own, m = of((host, node))
+            found[host, node] = blend(own, m, blend(every, n, [1.0] * 3))
+    return found
+
+
+def test_tree_against_plain_entropies(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in range(60):
+        story = "".join(f"<p>{' '.join(words(rng, 6, 9))}</p><ul><li>{rng.choice('ab')}</ul>"[: rng.choice([60, 200])] for _ in range(n % 4))
+        rows.append((n, f"http://{'abc'[n % 7 % 3]}.example/", f"<nav>x</nav><div class=top>Our site</div><article>{story}</article><div class=e{n % 2}a>end {n % 5}</div>"))
+    rows += [(90, None, None), (91, "http://one.example", "<p>x</p>")]
+    got = {(r["host"], r["node"]): [r["style"], r["below"], r["content"]] for r in site_style.style_tree(spark.createDataFrame(rows, PAGES)).collect()}
+    want = plain_tree(rows)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert got[key] == pytest.approx(values, abs=1e-9)
+
+
+def test_repeated_branch_in_an_article_goes(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in range(60):
+        story = "".join(f"<p>{' '.join(words(rng, 12, 10_000))}</p>" for _ in range(1 + n % 3))
+        rows.append((n, "http://a.example/", f"<article>{story}<div class=box>Read our weekly letter</div></article>"))
+    rows += [(100 + n, "http://b.example/", "<article><p>one text that all pages of a host have</p></article>") for n in range(60)]
+    got = {r["page_id"]: r["text"] for r in site_style.extract(spark.createDataFrame(rows, PAGES), ["page_id"]).collect()}
+    for n, _, page in rows:
+        assert got[n] == " ".join(re.findall(r"<p>(.*?)</p>", page))
+
+
+def test_body_beside_a_teaser_stays():
+    assert site_style.main_text("<article>teaser</article><div><p>long main body</p></div>", {}) == "teaser long main body"
+    assert site_style.main_text("<article>a long main body of text</article><div><p>bit</p></div>", {}) == "a long main body of text"
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 100_000 + "deep", "<div><p>t" * 50_000, '<a href="x ' * 50_000, '<a href="x ' * 50_000 + ">", "<b>" * 100_000 + "</i>" * 100_000 + "x",
+    "<i>" * 50_000 + "<b>" * 50_000 + "</i>" * 50_000, "<!x" * 100_000, "<!--" * 100_000, "<a" * 200_000, "<ul><li>" * 50_000 + "</div>" * 50_000,
+    "<script>" * 50_000, "<p>" * 100_000, "<a '" * 50_000 + "<p>x", "</script" * 50_000 + "<script>",
+])
+def test_odd_pages_take_linear_time(page):
+    begin = time.process_time()
+    site_style.features(page)
+    site_style.main_text(page, {})
+    assert time.process_time() - begin < 10
 
 
 def test_site_template_is_removed_without_declarations(spark):
