@@ -1,5 +1,6 @@
 """Near copies, fuzzy lines, repeated passages and the pipeline against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -252,12 +253,48 @@ def test_passage_cases(spark):
     assert passages.remove_repeats(documents(spark, [])).count() == 0
 
 
+def hot_phrase_rows(rng, n=240):
+    """A phrase that a third of the documents hold, each among words of its own, with
+    passages around it that some share."""
+    vocabulary = [f"v{i}" for i in range(3_000)]
+    drawn = [rng.sample(vocabulary, 8) for _ in range(3_000)]
+    least = min(drawn, key=lambda w: passages.Anchors([" ".join(w + ["x"] * 12).encode()], 20, 8).words.grams(8)[1][0])
+    ends = [words(rng, 15, 10_000) for _ in range(6)]
+    rows = []
+    for i in range(n):
+        own = [words(rng, rng.randrange(12, 30), 10_000) for _ in range(2)]
+        if i % 3 == 0:
+            own = [own[0], rng.choice(ends) if i % 2 else [], least, rng.choice(ends) if i % 4 else own[1][:20], own[1]]
+        rows.append((i, " ".join(w for part in own for w in part), "en", "s", 1))
+    return rows
+
+
+def test_hot_anchor_is_cut_to_windows(spark, monkeypatch):
+    rows = hot_phrase_rows(random.Random(5))
+    monkeypatch.setattr(passages, "SHARD_SEGMENTS", 20)
+    docs = documents(spark, rows)
+    plan = passages.plan_of(docs)
+    assert plan.hot is not None
+    found = passages.segments(docs, plan, True).collect()
+    kinds = {}
+    for r in found:
+        kinds.setdefault(r["anchor"], set()).add(bytes(r["words"]))
+    assert max(map(len, kinds.values())) <= 20 and any(r["windows"] == 1 for r in found)
+    want = plain_passages(rows)
+    assert sum(gone for _, gone, _ in want.values()) > 500
+    got = passages.remove_repeats(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_words"], r["n_removed"], r["kept"]) == want[r["doc_id"]], r["doc_id"]
+
+
 def test_registered_queries(spark):
     rows = [(r["doc_id"], r["text"]) for r in queries.table(spark, FOLDER, "documents").collect()]
     check_classes(rows, queries.op8_jaccard_join(spark, FOLDER).collect())
     want = plain_passages(rows)
     for r in queries.op9_passages(spark, FOLDER).collect():
         assert (r["n_words"], r["n_removed"]) == want[r["doc_id"]][:2]
+        assert r["kept_sha256"] == hashlib.sha256(want[r["doc_id"]][2].encode()).hexdigest()
     lines = plain_lines(rows)
     for r in queries.op10_line_dedup(spark, FOLDER).collect():
         assert (r["n_lines"], r["removed_lines"]) == tuple(lines.get((True, r["doc_id"]), [0, []]))

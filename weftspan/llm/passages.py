@@ -8,12 +8,15 @@ bounded size. In a shard, windows that recur word for word are confirmed and
 compiled to an Aho-Corasick automaton over word numbers, and every segment is
 streamed through it. That locates each occurrence, and all but the first in the order
 of (doc_id, place) are marked. Equal segments are streamed once, however many
-documents hold them.
+documents hold them. An anchor with more different segments than a shard may hold (a
+phrase that a third of the documents have, each among words of its own) gathers none:
+its windows are dealt each by its own hash, and only those whose hash recurs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -63,6 +66,11 @@ class Anchors:
         self.windows = np.diff(np.append(begin, len(start)))
         self.anchor = least[self.first]
 
+    def windows_of(self, segments: np.ndarray) -> np.ndarray:
+        """First words of all windows of these segments."""
+        n = self.windows[segments]
+        return np.repeat(self.first[segments] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(
@@ -70,34 +78,99 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def recurring_anchors(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PHRASE_WORDS) -> Sieve:
-    """Sieve of the anchors that occur at least twice in all documents."""
+@dataclass
+class Plan:
+    """Which segments are looked at: ``often`` passes anchors that occur at least
+    twice, ``hot`` those of them cut to windows, ``again`` the hashes of such windows
+    that occur at least twice. Each may pass more by chance, which costs time only."""
+
+    often: Sieve
+    hot: Sieve | None = None
+    again: Sieve | None = None
+
+
+def _counted(docs: DataFrame, keys: str, find) -> DataFrame:
+    """(keys, n): how often ``find(texts)``, a list of arrays, gives each row of keys,
+    summed in each piece before it is dealt."""
+    names = keys.split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in pieces(batches, "text"):
-            found, n = np.unique(Anchors(texts, window, phrase).anchor, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
+            values = np.stack(find(texts))
+            if not values.shape[1]:
+                continue
+            found, n = np.unique(values, axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(signed(row)) for row in found), pa.array(n.astype(np.int64))], names=[*names, "n"])
+
+    kind = ", ".join(f"{name} long" for name in [*names, "n"])
+    return docs.select("text").mapInArrow(run, kind).groupBy(*names).agg(F.sum("n").alias("n"))
+
+
+def plan_of(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PHRASE_WORDS, most: int | None = None) -> Plan:
+    """Counts anchors, then the different segments of those that occur more than
+    ``most`` times, then the windows of those with more than ``most`` such segments.
+    Each count is one pass over the documents and only made if there is anything to
+    count."""
+    most = SHARD_SEGMENTS if most is None else most
+
+    def anchors(texts: list[bytes]) -> list[np.ndarray]:
+        return [Anchors(texts, window, phrase).anchor]
+
+    recurring = materialise(_counted(docs, "anchor", anchors).filter("n > 1"), "anchors")
+    plan = Plan(sieve(recurring, F.col("anchor")))
+    many = recurring.filter(F.col("n") > most)
+    if many.isEmpty():
+        return plan
+    candidates = sieve(many, F.col("anchor"))
+
+    def digests(texts: list[bytes]) -> list[np.ndarray]:
+        found = Anchors(texts, window, phrase)
+        hit = np.flatnonzero(candidates.passes(signed(found.anchor)))
+        first = found.first[hit]
+        return [found.anchor[hit], run_hashes(found.words.hash, first, first + found.windows[hit] + window - 1, GRAM_BASE)]
+
+    kinds = _counted(docs, "anchor digest", digests).groupBy("anchor").agg(F.count(F.lit(1)).alias("segments"))
+    hot = materialise(kinds.filter(F.col("segments") > most), "hot_anchors")
+    if hot.isEmpty():
+        return plan
+    plan.hot = sieve(hot, F.col("anchor"))
+
+    def windows(texts: list[bytes]) -> list[np.ndarray]:
+        found = Anchors(texts, window, phrase)
+        first = found.windows_of(np.flatnonzero(plan.hot.passes(signed(found.anchor))))
+        return [run_hashes(found.words.hash, first, first + window, GRAM_BASE)]
 
-    counts = docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    return sieve(materialise(counts.filter("n > 1").select("anchor"), "anchors"), F.col("anchor"))
+    again = _counted(docs, "hash", windows).filter("n > 1").select("hash")
+    plan.again = sieve(materialise(again, "hot_windows"), F.col("hash"))
+    return plan
 
 
-def segments(docs: DataFrame, often: Sieve, with_words: bool, window: int = WINDOW_WORDS, phrase: int = PHRASE_WORDS) -> DataFrame:
+def segments(docs: DataFrame, plan: Plan, with_words: bool, window: int = WINDOW_WORDS, phrase: int = PHRASE_WORDS) -> DataFrame:
     """(anchor, digest, doc_id, text_hash, start, windows[, words]) of the segments
-    whose anchor passes; ``digest`` stands for the words, ``start`` counts words."""
+    whose anchor passes; ``digest`` stands for the words, ``start`` counts words. Of a
+    hot anchor, each window that passes is a segment of its own, with its hash as anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in pieces(batches, "text"):
             found = Anchors(texts, window, phrase)
-            words, hit = found.words, np.flatnonzero(often.passes(signed(found.anchor)))
-            if not len(hit):
+            words, anchor = found.words, signed(found.anchor)
+            passed = plan.often.passes(anchor)
+            first, n, key = found.first[passed], found.windows[passed], anchor[passed]
+            if plan.hot is not None:
+                cut = passed & plan.hot.passes(anchor)
+                own = found.windows_of(np.flatnonzero(cut))
+                hashes = signed(run_hashes(words.hash, own, own + window, GRAM_BASE))
+                own, hashes = own[plan.again.passes(hashes)], hashes[plan.again.passes(hashes)]
+                whole = passed & ~cut
+                first, key = np.concatenate([found.first[whole], own]), np.concatenate([anchor[whole], hashes])
+                n = np.concatenate([found.windows[whole], np.ones(len(own), np.int64)])
+            if not len(first):
                 continue
-            first, n = found.first[hit], found.windows[hit]
             last = first + n + window - 1
             digest = signed(run_hashes(words.hash, first, last, GRAM_BASE))
             doc = pa.array(words.doc[first])
             columns = [
-                pa.array(signed(found.anchor)[hit]), pa.array(digest), part.column(0).take(doc), part.column(1).take(doc),
+                pa.array(key), pa.array(digest), part.column(0).take(doc), part.column(1).take(doc),
                 pa.array(first - words.first[words.doc[first]]), pa.array(n.astype(np.int64)),
             ]
             names = ["anchor", "digest", "doc_id", "text_hash", "start", "windows"]
@@ -189,9 +262,9 @@ def _follows(run: tuple, place: tuple) -> bool:
 def repeated_spans(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PHRASE_WORDS) -> DataFrame:
     """(doc_id, text_hash, spans): stretches of words, from ``a`` to before ``b``, that
     windows whose words also start earlier cover; documents without any are absent."""
-    often = recurring_anchors(docs, window, phrase)
+    plan = plan_of(docs, window, phrase)
     place = F.struct("doc_id", "text_hash", "start")
-    distinct = segments(docs, often, True, window, phrase).groupBy("anchor", "digest", "words").agg(
+    distinct = segments(docs, plan, True, window, phrase).groupBy("anchor", "digest", "words").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n")
     )
     fields = ["at", "to", "doc_id", "text_hash", "start"]
@@ -221,7 +294,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PH
     flat = distinct.select("anchor", "digest", "words", "first.doc_id", "first.text_hash", "first.start", "n")
     kind = f"anchor long, digest long, runs array<struct<{', '.join(f'{f}: long' for f in fields)}>>"
     located = flat.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, kind)
-    own = segments(docs, often, False, window, phrase).join(located, ["anchor", "digest"])
+    own = segments(docs, plan, False, window, phrase).join(located, ["anchor", "digest"])
     here = F.col("start")
 
     def later(x):
