@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, odd_documents
 from pyspark.sql import functions as F
@@ -150,3 +151,47 @@ def test_codes_give_back_words():
 def test_held_out_texts_are_likelier_than_their_base(spark):
     got = queries.op11_scoring(spark, "/root/testdata/sf0.01").filter("held_out").collect()
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_every_window_is_learned_from(monkeypatch, parts):
+    """The rounds together get each window of each row, once if they take parts of them."""
+    monkeypatch.setattr(scoring, "HELD_WINDOWS", 7)
+    rng, s, _ = small_model(3)
+    kind = encoder_of(default_tokenizer()).type
+    ids = [rng.integers(0, 15, n).astype(kind) for n in (1, 40, 700, 5000)]
+    starts = [np.packbits(rng.integers(0, 2, len(i)).astype(bool)).tobytes() for i in ids]
+    rows = pa.RecordBatch.from_arrays([pa.array([5, 6, 8589934592, 8]), pa.array([i.tobytes() for i in ids]), pa.array(starts)], names=["_row", "ids", "starts"])
+    first = int(s.indices(np.array([2 * scoring.END_ID + 1]))[0])
+    want = np.concatenate([A.windows(s.indices(scoring.codes_of(i.tobytes(), b, kind)), s, first) for i, b in zip(ids, starts)])
+    got = [list(scoring.windows_to_learn(iter([rows]), s, kind, turn, parts)) for turn in range(parts)]
+    assert all(len(part) <= 7 for turn in got for part in turn)
+    together = np.concatenate([part for turn in got for part in turn])
+    assert sorted(map(bytes, together)) == sorted(map(bytes, np.ascontiguousarray(want)))
+
+
+def test_training_reads_all_of_a_large_corpus(spark, monkeypatch):
+    """Windows gone through by all tasks of all rounds, of a corpus beyond the least size."""
+    monkeypatch.setattr(scoring, "LEAST_WINDOWS", 20)
+    monkeypatch.setattr(scoring, "SHARD_WINDOWS", 60)
+    docs = documents(spark, [(i, f"w{i} and w{i % 7} " * 60, "en", "x", 0) for i in range(40)])
+    rows = docs.select(F.col("doc_id").alias("_key"), F.lit(True).alias("_train"), F.lit(False).alias("_held_out"), F.col("text").alias("_text"))
+    path = default_tokenizer()
+    base, _ = scoring.base_counts(rows, scoring.word_counts(rows))
+    encoded = scoring.encode(rows, base, path)
+    s = scoring.symbol_counts(encoded, path)
+    kind = encoder_of(path).type
+    many = sum(-(-(len(r["ids"]) // np.dtype(kind).itemsize) // A.SCORED) for r in encoded.select("ids").collect())
+    gone = 0
+    own = scoring._trainer
+
+    def counted(p, *rest):
+        run = own(p, *rest)
+        nonlocal gone
+        found = encoded.select("_row", "ids", "starts").mapInArrow(run, "shard long, chunk int, n double, total binary")
+        gone += found.filter("chunk = 0").agg(F.sum("n")).first()[0]
+        return run
+
+    monkeypatch.setattr(scoring, "_trainer", counted)
+    scoring.train(encoded, s, path)
+    assert many > 60 and gone == many

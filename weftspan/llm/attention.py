@@ -31,9 +31,17 @@ CAUSAL = DISTANCE >= 0
 THREAD_SETTERS = ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads")
 
 
+#: Numbers of settings of the C library's allocator, and their values.
+KEPT_MEMORY = {-3: 1 << 25, -1: 1 << 28, -2: 1 << 26}
+
+
 def one_thread() -> None:
     """Keep this process's matrix products on one core: a task has one, and for
-    matrices as small as these, waiting threads cost as much again."""
+    matrices as small as these, waiting threads cost as much again. Freed arrays are
+    kept for the next ones, where the C library can be told so."""
+    keep = getattr(ctypes.CDLL(None), "mallopt", None)
+    for setting, value in KEPT_MEMORY.items() if keep else ():
+        keep(setting, value)
     maps = Path("/proc/self/maps")
     for path in {line.split()[-1] for line in maps.read_text().splitlines() if "openblas" in line} if maps.exists() else ():
         library = ctypes.CDLL(path)
@@ -246,89 +254,120 @@ def _log_share(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return own - np.log(logits @ np.ones(logits.shape[1], np.float32))
 
 
+def _softmax(logits: np.ndarray, at: np.ndarray, n) -> np.ndarray:
+    """Turns ``logits`` in place into the gradient, over ``n``, of the negative log of
+    the softmax share at one place of each row, and gives these logs."""
+    rows = np.arange(len(at))
+    own = logits[rows, at]
+    if logits.max() > SAFE or own.min() < -SAFE:
+        top = logits.max(1)
+        logits -= top[:, None]
+        own = own - top
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    logits *= (1 / (total * n))[:, None]
+    logits[rows, at] -= 1 / n
+    return own - np.log(total)
+
+
 def loss_and_gradients(p: Parameters, s: Symbols, batch: np.ndarray) -> tuple[float, Parameters]:
     """Mean negative log likelihood of the known targets of a batch, and its gradients."""
-    g = {n: np.zeros_like(v) for n, v in p.items()}
-    looked, targets = batch[:, :-1], batch[:, CONTEXT + 1 :].ravel()
+    g = {n: np.zeros_like(p[n]) for n in ("embedding", "member", "member_bias")}
+    looked, targets = np.ascontiguousarray(batch[:, :-1]), batch[:, CONTEXT + 1 :].ravel()
     at = np.flatnonzero(targets < s.other)
     if not len(at):
-        return 0.0, g
-    targets, n = targets[at], np.float32(len(at))
-    x = p["embedding"][looked]
-    xq = x[:, CONTEXT:]
-    scale = np.float32(WIDTH**-0.5)
-    q, k, v = xq @ p["query"], x @ p["key"], x @ p["value"]
-    a = attend(q * scale, k, mask(p["bias"]), looked, s.pad)
-    a /= a.sum(2, keepdims=True)
-    r = (xq + np.matmul(a, v)).reshape(-1, WIDTH)[at]
-    before = r @ p["up"] + p["up_bias"]
+        return 0.0, {n: np.zeros_like(v) for n, v in p.items()}
+    # Targets in the order of their classes.
+    order, groups = _by_class(targets[at], s)
+    at = at[order]
+    targets, kind = targets[at], p["embedding"].dtype.type
+    n, scale, many = kind(len(at)), kind(WIDTH**-0.5), len(batch)
+    flat = np.take(p["embedding"], looked.ravel(), 0)
+    flat_q = flat.reshape(many, -1, WIDTH)[:, CONTEXT:].reshape(-1, WIDTH)
+    both = np.hstack([p["key"], p["value"]])
+    kv = (flat @ both).reshape(many, -1, 2 * WIDTH)
+    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+    q = (flat_q @ (p["query"] * scale)).reshape(many, SCORED, WIDTH)
+    a = attend(q, k, mask(p["bias"]).astype(kind), looked, s.pad)
+    a /= (a @ np.ones(a.shape[2], kind))[:, :, None]
+    r = np.matmul(a, v).reshape(-1, WIDTH)
+    r += flat_q
+    r = np.take(r, at, 0)
+    before = r @ p["up"]
+    before += p["up_bias"]
     hidden = np.maximum(before, 0)
-    h = r + hidden @ p["down"]
-
-    logits = h @ p["class"] + p["class_bias"]
-    share = np.exp(logits - logits.max(1, keepdims=True))
-    share /= share.sum(1, keepdims=True)
-    rows, c = np.arange(len(at)), s.class_of[targets]
-    loss = -np.log(np.maximum(share[rows, c], 1e-30)).sum()
-    share[rows, c] -= 1
-    share /= n
-    g["class"], g["class_bias"] = h.T @ share, share.sum(0)
+    h = hidden @ p["down"]
+    h += r
+
+    share = h @ p["class"]
+    share += p["class_bias"]
+    loss = -_softmax(share, s.class_of[targets], n).sum()
+    g["class"], g["class_bias"] = h.T @ share, np.ones(len(at), kind) @ share
     dh = share @ p["class"].T
-    order, groups = _by_class(targets, s)
-    for kind, part in groups:
-        begin, end = s.bounds[kind], s.bounds[kind + 1]
+    for c, part in groups:
+        begin, end = s.bounds[c], s.bounds[c + 1]
         if end - begin == 1:
             continue
-        own = order[part]
-        logits = h[own] @ p["member"][begin:end].T + p["member_bias"][begin:end]
-        share = np.exp(logits - logits.max(1, keepdims=True))
-        share /= share.sum(1, keepdims=True)
-        mine = np.arange(len(own)), targets[own] - begin
-        loss -= np.log(np.maximum(share[mine], 1e-30)).sum()
-        share[mine] -= 1
-        share /= n
-        g["member"][begin:end], g["member_bias"][begin:end] = share.T @ h[own], share.sum(0)
-        dh[own] += share @ p["member"][begin:end]
+        share = h[part] @ p["member"][begin:end].T
+        share += p["member_bias"][begin:end]
+        loss -= _softmax(share, targets[part] - begin, n).sum()
+        g["member"][begin:end], g["member_bias"][begin:end] = share.T @ h[part], share.sum(0)
+        dh[part] += share @ p["member"][begin:end]
 
     g["down"] = hidden.T @ dh
-    dhidden = (dh @ p["down"].T) * (before > 0)
+    dhidden = dh @ p["down"].T
+    dhidden *= before > 0
     g["up"], g["up_bias"] = r.T @ dhidden, dhidden.sum(0)
-    dr = np.zeros((len(batch) * SCORED, WIDTH), np.float32)
-    dr[at] = dh + dhidden @ p["up"].T
-    dr = dr.reshape(len(batch), SCORED, WIDTH)
-
-    da = np.matmul(dr, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dr)
-    da -= (da * a).sum(2, keepdims=True)
+    dh += dhidden @ p["up"].T
+    dr = np.zeros((many * SCORED, WIDTH), kind)
+    dr[at] = dh
+    by_place = dr.reshape(many, SCORED, WIDTH)
+
+    da = np.matmul(by_place, v.transpose(0, 2, 1))
+    dkv = np.empty_like(kv)
+    np.matmul(a.transpose(0, 2, 1), by_place, out=dkv[:, :, WIDTH:])
+    # What the softmax takes off: at each place, the product of its gradient and output.
     da *= a
-    g["bias"] = np.bincount(np.abs(DISTANCE).ravel(), np.where(CAUSAL, da.sum(0), 0).ravel(), CONTEXT + SCORED).astype(np.float32)
-    da *= scale
-    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-    flat, flat_q = x.reshape(-1, WIDTH), xq.reshape(-1, WIDTH)
-    g["key"], g["value"] = flat.T @ dk.reshape(-1, WIDTH), flat.T @ dv.reshape(-1, WIDTH)
-    g["query"] = flat_q.T @ dq.reshape(-1, WIDTH)
-    dx = dk @ p["key"].T + dv @ p["value"].T
-    dx[:, CONTEXT:] += dr + dq @ p["query"].T
+    a *= (da @ np.ones(a.shape[2], kind))[:, :, None]
+    da -= a
+    g["bias"] = np.bincount(np.abs(DISTANCE).ravel(), np.where(CAUSAL, da.sum(0), 0).ravel(), CONTEXT + SCORED).astype(kind)
+    dq = np.matmul(da, k).reshape(-1, WIDTH)
+    dq *= scale
+    np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+    dkv = dkv.reshape(-1, 2 * WIDTH)
+    of_both = flat.T @ dkv
+    g["key"], g["value"], g["query"] = of_both[:, :WIDTH], of_both[:, WIDTH:], flat_q.T @ dq
+    dx = dkv @ both.T
+    dr += dq @ p["query"].T
+    dx.reshape(many, -1, WIDTH)[:, CONTEXT:] += by_place
     by = np.argsort(looked.ravel(), kind="stable")
     met, begin = np.unique(looked.ravel()[by], return_index=True)
-    g["embedding"][met] = np.add.reduceat(dx.reshape(-1, WIDTH)[by], begin, axis=0)
+    g["embedding"][met] = np.add.reduceat(np.take(dx, by, 0), begin, axis=0)
     g["embedding"][-2:] = 0  # unknown symbols and pads stay at nought
-    return float(loss / n), g
+    return float(loss / n), {name: g[name] for name in p}
 
 
-def fit(p: Parameters, s: Symbols, rows: np.ndarray, rate: float, batch: int, seed: int, passes: int = 1) -> Parameters:
-    """Passes of Adam over windows in seeded orders, with a rate that falls to a third."""
-    p = {n: v.copy() for n, v in p.items()}
-    first, second = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
-    rng = np.random.default_rng(seed)
-    order = np.concatenate([rng.permutation(len(rows)) for _ in range(passes)])
-    steps = -(-len(order) // batch)
-    for step in range(steps):
-        _, g = loss_and_gradients(p, s, rows[order[step * batch : (step + 1) * batch]])
-        pace = np.float32(rate * (1 - 2 / 3 * step / steps) * np.sqrt(1 - 0.99 ** (step + 1)) / (1 - 0.9 ** (step + 1)))
+class Fit:
+    """Adam from parameters ``p``, with a rate that falls to a third within ``steps`` steps."""
+
+    def __init__(self, p: Parameters, s: Symbols, rate: float, steps: float):
+        self.p, self.s, self.rate, self.steps, self.done = {n: v.copy() for n, v in p.items()}, s, rate, max(1.0, steps), 0
+        self.first, self.second = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
+
+    def step(self, rows: np.ndarray) -> None:
+        _, g = loss_and_gradients(self.p, self.s, rows)
+        left = 1 - 2 / 3 * min(1.0, self.done / self.steps)
+        self.done += 1
+        pace = np.float32(self.rate * left * np.sqrt(1 - 0.99**self.done) / (1 - 0.9**self.done))
         for n, grad in g.items():
-            m, w = first[n], second[n]
+            m, w = self.first[n], self.second[n]
             m += np.float32(0.1) * (grad - m)
-            w += np.float32(0.01) * (grad * grad - w)
-            p[n] -= pace * m / (np.sqrt(w) + np.float32(1e-8))
-    return p
+            grad *= grad
+            grad -= w
+            grad *= np.float32(0.01)
+            w += grad
+            moved = np.sqrt(w)
+            moved += np.float32(1e-8)
+            np.divide(m, moved, out=moved)
+            moved *= pace
+            self.p[n] -= moved

@@ -2,11 +2,10 @@
 
 What is predicted are the ids of a text's pieces, each with a mark if it begins a
 word, and one end: together they give back the words. Counts of words and of pieces
-come from all training texts. The model (``attention.py``) is trained on windows drawn
-at a fixed rate from every training text, so what it learns from grows with the
-corpus: shards of windows are each trained for one pass, then the parameters are
-averaged, and the next round starts from there. All texts are then cut into
-overlapping windows in which every symbol is scored once.
+come from all training texts. The model (``attention.py``) is trained on every window
+of every training text: each shard of texts is gone through as it is read, then the
+parameters are averaged, and the next round starts from there with other windows. All
+texts are then cut into overlapping windows in which every symbol is scored once.
 
 The base score needs the count of every word of every text. Words that make up at
 least one in ``COMMON`` of all words go to the tasks as one bounded table; the others
@@ -21,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +33,12 @@ from weftspan.plans.storage import materialise
 COMMON = 1_000_000
 COUNT_BYTES = 1 << 20
 KEPT_WORDS = 600_000
-#: Windows to train on: this share of all, or so many (or all) where that is more.
-WINDOW_RATE, LEAST_WINDOWS = 1 / 96, 48_000
-SHARD_WINDOWS, ROUNDS, BATCH, RATE = 16_000, 3, 96, 0.012
+#: Each round takes its part of the windows; of a corpus of fewer than that, all of them.
+ROUNDS, LEAST_WINDOWS, RATE = 3, 48_000, 0.012
 #: A small corpus is gone through again in each round, up to so often.
 MOST_PASSES = 4
+#: Windows of a shard (at least), held at once and put in a random order, of a step.
+SHARD_WINDOWS, HELD_WINDOWS, BATCH, LARGE_BATCH = 64_000, 16_384, 96, 256
 FAN_IN, CHUNK = 64, 8_192
 SCORED_WINDOWS = 512
 
@@ -177,63 +178,79 @@ def _vocabulary(path: str) -> int:
     return _library(path).get_vocab_size(with_added_tokens=True)
 
 
-def draw_windows(encoded: DataFrame, s: attention.Symbols, path: str, share: float, shards: int) -> DataFrame:
-    """(shard, window as bytes): windows of all rows to learn from, each drawn with
-    the chance ``share`` by a hash of its row and place."""
-    kind = id_type(path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = int(s.indices(np.array([2 * END_ID + 1]))[0])
-        limit = np.uint64(min(1.0, share) * float(2**63))
-        for batch in batches:
-            shard, found = [], []
-            for row, ids, starts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                cut = attention.windows(s.indices(codes_of(ids, starts, kind)), s, first)
-                chance = mix(mix(np.array([row], np.int64).view(np.uint64) + np.uint64(1)) + np.arange(len(cut), dtype=np.uint64))
-                drawn = np.flatnonzero(chance >> np.uint64(1) <= limit)
-                shard.append((mix(chance[drawn]) % np.uint64(shards)).astype(np.int64))
-                found += [w.tobytes() for w in cut[drawn].astype("<i4")]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), pa.array(found, pa.binary())], names=["shard", "window"])
-
-    drawn = encoded.filter("_train").select("_row", "ids", "starts").mapInArrow(run, "shard long, window binary")
-    return materialise(drawn, "windows")
+def windows_to_learn(batches: Iterator[pa.RecordBatch], s: attention.Symbols, kind: np.dtype, turn: int, parts: int) -> Iterator[np.ndarray]:
+    """Windows of rows (_row, ids, starts) that round ``turn`` learns from: of ``parts``
+    parts, told apart by a hash of row and place, that of the round. At most
+    ``HELD_WINDOWS`` are given at once, whatever the length of a text."""
+    first = int(s.indices(np.array([2 * END_ID + 1]))[0])
+    held: list[np.ndarray] = []
+    count = 0
+    for batch in batches:
+        for row, ids, starts in zip(*batch.columns, strict=True):
+            cut = attention.windows(s.indices(codes_of(ids.as_py(), starts.as_py(), kind)), s, first)
+            own = np.arange(len(cut))
+            if parts > 1:
+                seed = mix(np.array([row.as_py()], np.int64).view(np.uint64) + np.uint64(1))
+                own = np.flatnonzero(mix(seed + own.astype(np.uint64)) % np.uint64(parts) == turn)
+            while len(own):
+                room = HELD_WINDOWS - count
+                held.append(cut[own[:room]])
+                count += len(held[-1])
+                own = own[room:]
+                if count == HELD_WINDOWS:
+                    yield np.concatenate(held)
+                    held, count = [], 0
+    if held:
+        yield np.concatenate(held)
 
 
 def train(encoded: DataFrame, s: attention.Symbols, path: str) -> attention.Parameters:
-    """Parameters after ``ROUNDS`` rounds of training in shards and averaging."""
+    """Parameters after ``ROUNDS`` rounds of training in shards and averaging.
+
+    Every window of every row to learn from is learned from: in one of the rounds, or in
+    all where the corpus is small. A shard is what a task reads.
+    """
     p = attention.start(s)
+    learned = encoded.filter("_train").select("_row", "ids", "starts")
     blocks = F.ceil(F.octet_length("ids") / (id_type(path).itemsize * attention.SCORED))
-    many = encoded.filter("_train").agg(F.sum(blocks).alias("n")).first()["n"] or 0
+    many = learned.agg(F.sum(blocks).alias("n")).first()["n"] or 0
     if not many:
         return p
-    share = min(1.0, max(WINDOW_RATE, LEAST_WINDOWS / many))
-    shards = max(1, round(many * share / SHARD_WINDOWS))
-    drawn = draw_windows(encoded, s, path, share, shards)
-    known, classes = len(s.counts), len(s.bounds) - 1
-    passes = max(1, min(MOST_PASSES, int(LEAST_WINDOWS // (many * share))))
+    most = max(1, many // SHARD_WINDOWS)
     for turn in range(ROUNDS):
-        parts = drawn.groupBy("shard").applyInPandas(_trainer(p, s, turn, passes), "shard long, chunk int, n double, total binary")
+        parts = learned.coalesce(most).mapInArrow(_trainer(p, s, id_type(path), turn, many, most), "shard long, chunk int, n double, total binary")
+        shards = most
         while shards > 1:
-            shards_left = -(-shards // FAN_IN)
             parts = parts.withColumn("shard", F.expr(f"shard div {FAN_IN}")).groupBy("shard", "chunk").applyInPandas(_sum_parts, "shard long, chunk int, n double, total binary")
-            shards = shards_left
-        shards = max(1, round(many * share / SHARD_WINDOWS))
+            shards = -(-shards // FAN_IN)
         got = parts.toPandas().sort_values("chunk")
         flat = np.concatenate([np.frombuffer(t, np.float64) / n for t, n in zip(got["total"], got["n"], strict=True)])
-        p = attention.unpack(flat, known, classes)
+        p = attention.unpack(flat, len(s.counts), len(s.bounds) - 1)
     return p
 
 
-def _trainer(p: attention.Parameters, s: attention.Symbols, turn: int, passes: int):
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+def _trainer(p: attention.Parameters, s: attention.Symbols, kind: np.dtype, turn: int, many: int, shards: int):
+    parts = ROUNDS if many > ROUNDS * LEAST_WINDOWS else 1
+    passes = max(1, min(MOST_PASSES, LEAST_WINDOWS // many))
+    batch = LARGE_BATCH if parts > 1 else BATCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attention.one_thread()
-        # A set order, whatever order the shuffle gave.
-        rows = np.frombuffer(b"".join(sorted(group["window"])), "<i4").reshape(-1, attention.WINDOW)
-        fitted = attention.fit(p, s, rows, RATE / (turn + 1), BATCH, 1 + turn, passes)
-        flat = attention.pack(fitted).astype(np.float64) * len(rows)
-        cut = [flat[b : b + CHUNK].tobytes() for b in range(0, len(flat), CHUNK)]
-        return pd.DataFrame({"shard": key[0], "chunk": range(len(cut)), "n": float(len(rows)), "total": cut})
+        fit = attention.Fit(p, s, RATE / (turn + 1), many * passes / (shards * parts * batch))
+        rng, count = np.random.default_rng(1 + turn), 0
+        for rows in windows_to_learn(batches, s, kind, turn, parts):
+            count += len(rows)
+            order = np.concatenate([rng.permutation(len(rows)) for _ in range(passes)])
+            for begin in range(0, len(order), batch):
+                fit.step(rows[order[begin : begin + batch]])
+        if count:
+            flat = attention.pack(fit.p).astype(np.float64) * count
+            cut = [flat[b : b + CHUNK].tobytes() for b in range(0, len(flat), CHUNK)]
+            shard = np.full(len(cut), TaskContext.get().partitionId())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(shard), pa.array(np.arange(len(cut), dtype=np.int32)), pa.array(np.full(len(cut), float(count))), pa.array(cut, pa.binary())],
+                names=["shard", "chunk", "n", "total"],
+            )
 
     return run
 
