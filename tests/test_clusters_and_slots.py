@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftspan.operators import sampling as L
@@ -104,3 +105,41 @@ def test_slots_of_huge_caps(spark):
     got = {r["division"]: r["slots"] for r in L.allocate_slots(frame_, 2_000_000_000).collect()}
     assert sum(got.values()) == 2_000_000_000 and got["e"] == 1
     assert max(got.values()) - min(v for d, v in got.items() if d != "e") <= 1
+
+
+def test_starts_are_drawn_from_few_keys(spark, monkeypatch):
+    """Keys of low digest give the starts of all keys, also where too few of them are
+    low, keys repeat or are null; a point may lie on two centres."""
+    x = np.random.default_rng(2).normal(size=(90, 3))
+    x[5] = x[6]
+    points = frame(spark, x).selectExpr("CASE WHEN id < 'p0004' THEN NULL WHEN id < 'p0010' THEN 'p0009' ELSE id END AS id", "x", "y", "z")
+    monkeypatch.setattr(T, "DRAWN", 90)
+    want = T._drawn(points, "id", NAMES, 3, 6, 5)
+    for drawn in (1, 4):
+        monkeypatch.setattr(T, "DRAWN", drawn)
+        got = T._drawn(points, "id", NAMES, 3, 6, 5)
+        assert sorted(got) == sorted(want) == list(range(6))
+        assert all(got[r].shape == (3, 3) for r in got)
+
+
+@pytest.mark.parametrize("piece", [7, 1_024])
+def test_sums_of_restarts_of_several_sizes(monkeypatch, piece):
+    """One pass gives counts, sums and costs of restarts of different k; equal centres
+    leave a point to the first."""
+    monkeypatch.setattr(T, "PIECE_ROWS", piece)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(50, 3))
+    centres = [(n, rng.normal(size=(k, 3))) for n, k in enumerate((4, 2, 4, 1))]
+    centres[2][1][3] = centres[2][1][0]
+    packed = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([r.tobytes() for r in x], pa.binary())], names=["_key", "x"])
+    batches = [packed.slice(0, 20), packed.slice(20, 0), packed.slice(20)]
+    got = next(T._partial_sums(iter(batches), NAMES, centres)).to_pylist()
+    want = []
+    for n, c in centres:
+        d2 = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        near = d2.argmin(axis=1)
+        assert sum(r["cost"] for r in got if r["run"] == n) == pytest.approx(d2.min(axis=1).sum())
+        want += [(n, j, int((near == j).sum()), x[near == j].sum(axis=0)) for j in range(len(c)) if (near == j).any()]
+    found = {(r["run"], r["cluster"]): r for r in got}
+    assert len(found) == len(want)
+    assert all(found[n, j]["n"] == m and np.allclose([found[n, j][f] for f in NAMES], s) for n, j, m, s in want)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ FEATURES = [
 RESTARTS, SEED_PASSES = 50, 4
 #: Rows of a matrix in k-means; of a block of the silhouette, and of a step in it.
 PIECE_ROWS, BLOCK_ROWS, STEP_ROWS = 1_024, 5_000, 200
+#: Digests looked at for each start drawn from a large table.
+DRAWN = 64
 STRIP_BLOCKS = 16
 
 
@@ -83,15 +86,45 @@ class Run:
     settled: bool = False
 
 
+def _packed(points: DataFrame, key: str, features: Sequence[str]) -> DataFrame:
+    """(key, x): each row's features as the bytes of its doubles, stored once, so that
+    a pass gets them as matrices and not column by column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]).astype(float)
+            at = np.arange(len(x) + 1, dtype=np.int32) * np.int32(8 * x.shape[1])
+            packed = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(x))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["_key", "x"])
+
+    rows = points.select(F.col(key).alias("_key"), *[F.col(f).cast("double").alias(f"_{i}") for i, f in enumerate(features)])
+    return materialise(rows.mapInArrow(run, f"_key {rows.schema['_key'].dataType.simpleString()}, x binary"), "points")
+
+
 def _drawn(points: DataFrame, key: str, features: Sequence[str], most: int, restarts: int, seed: int) -> dict[int, np.ndarray]:
     """For each restart the ``most`` points of lowest seeded digest, in one pass;
     only these rows reach the driver."""
-    draws = [F.struct(F.lit(r).alias("run"), F.md5(F.concat_ws("|", F.lit(f"{seed}-{r}"), F.col(key).cast("string"))).alias("draw")) for r in range(restarts)]
-    drawn = top_per_group(
-        points.select(key, *features, F.inline(F.array(*draws))),
-        ["run"], [F.asc("draw"), F.asc(key)], most, spread=[key],
-    ).orderBy("run", "draw").toPandas()
-    return {int(r): rows[list(features)].to_numpy(dtype=float) for r, rows in drawn.groupby("run")}
+    return _drawn_packed(_packed(points, key, features), most, restarts, seed)
+
+
+def _drawn_packed(data: DataFrame, most: int, restarts: int, seed: int) -> dict[int, np.ndarray]:
+    """Only keys are drawn among, and of these, where there are many, only such whose
+    digest is low enough for some ``DRAWN`` times as many as asked for."""
+    draws = [F.struct(F.lit(r).alias("run"), F.md5(F.concat_ws("|", F.lit(f"{seed}-{r}"), F.col("_key").cast("string"))).alias("draw")) for r in range(restarts)]
+    every = data.select("_key", F.inline(F.array(*draws)))
+    share = DRAWN * most / max(1, data.count())
+    low = every.filter(F.col("draw") < f"{int(share * 16**12):012x}") if share < 1 else every
+
+    def lowest(rows: DataFrame) -> pd.DataFrame:
+        found = top_per_group(rows, ["run"], [F.asc("draw"), F.asc("_key")], most, spread=["_key"])
+        keys = found.select("run", "draw", F.col("_key").alias("_own")).distinct()
+        met = data.join(F.broadcast(keys), F.col("_key").eqNullSafe(F.col("_own"))).select("run", "draw", "_own", "x")
+        return met.orderBy("run", "draw", "_own").toPandas().groupby("run").head(most)
+
+    found = lowest(low)
+    if share < 1 and len(found) < restarts * most:
+        found = lowest(every)
+    return {int(r): np.stack([np.frombuffer(x) for x in rows["x"]]) for r, rows in found.groupby("run")}
 
 
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -102,11 +135,15 @@ def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum(d2, 0.0, out=d2)
 
 
-def _pieces(batches: Iterator[pd.DataFrame], features: list[str], extra: str | None = None):
-    """Rows of a task's batches as matrices of at most ``PIECE_ROWS`` rows."""
+def _pieces(batches: Iterator[pa.RecordBatch], extra: bool = False):
+    """Rows of a task's batches (key, x) as matrices of at most ``PIECE_ROWS`` rows."""
     for batch in batches:
-        x = batch[features].to_numpy(dtype=float)
-        held = batch[extra].to_numpy() if extra else x
+        if not batch.num_rows:
+            continue
+        column = batch.column(1)
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        x = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(float).reshape(len(column), -1)
+        held = batch.column(0).to_numpy() if extra else x
         for at in range(0, len(x), PIECE_ROWS):
             yield x[at : at + PIECE_ROWS], held[at : at + PIECE_ROWS]
 
@@ -120,9 +157,7 @@ def _chances(ids: np.ndarray, salt: int) -> np.ndarray:
     return ((v ^ (v >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
-def _oversampled(
-    data: DataFrame, key: str, features: list[str], ks: Sequence[int], restarts: int, seed: int, passes: int = SEED_PASSES
-) -> list[Run]:
+def _oversampled(data: DataFrame, ks: Sequence[int], restarts: int, seed: int, passes: int = SEED_PASSES) -> list[Run]:
     """Starting centres by oversampling (k-means||).
 
     Each restart begins with one drawn point. In each pass a point joins the
@@ -132,25 +167,26 @@ def _oversampled(
     2 k (passes + 1) of them for each restart, whatever the size of the table.
     """
     most = max(ks)
-    drawn = _drawn(data, key, features, most, restarts, seed)
+    drawn = _drawn_packed(data, most, restarts, seed)
     held = {r: rows[:1] for r, rows in drawn.items()}
-    keyed = data.select(F.xxhash64(key).alias("_id"), *features)
+    keyed = data.select(F.xxhash64("_key").alias("_id"), "x")
     cost: dict[int, float] = {}
+    kind = pa.schema([("run", pa.int32()), ("cost", pa.float64()), ("point", pa.list_(pa.float64()))])
     for turn in range(passes + 1):
 
         def look(batches, held=dict(held), cost=dict(cost), turn=turn):
             totals = dict.fromkeys(held, 0.0)
-            for x, ids in _pieces(batches, features, "_id"):
+            for x, ids in _pieces(batches, extra=True):
                 for r, candidates in held.items():
                     d2 = _squares(x, candidates).min(axis=1)
                     totals[r] += float(d2.sum())
                     if cost.get(r):
                         joins = _chances(ids, seed + 1000 * turn + r) * cost[r] < 2 * most * d2
                         if joins.any():
-                            yield pd.DataFrame({"run": r, "cost": None, "point": list(x[joins])})
-            yield pd.DataFrame({"run": list(totals), "cost": list(totals.values()), "point": None})
+                            yield pa.RecordBatch.from_pylist([{"run": r, "cost": None, "point": point} for point in x[joins].tolist()], kind)
+            yield pa.RecordBatch.from_pylist([{"run": r, "cost": n, "point": None} for r, n in totals.items()], kind)
 
-        found = materialise(keyed.mapInPandas(look, "run int, cost double, point array<double>"), "seeding")
+        found = materialise(keyed.mapInArrow(look, "run int, cost double, point array<double>"), "seeding")
         rows = found.filter("point is not null").orderBy("run", "point").toPandas()
         for r, more in rows.groupby("run"):
             held[int(r)] = np.vstack([held[int(r)], *more["point"]])
@@ -159,12 +195,13 @@ def _oversampled(
 
     def weigh(batches):
         counts = {r: np.zeros(len(c), int) for r, c in held.items()}
-        for x, _ in _pieces(batches, features):
+        for x, _ in _pieces(batches):
             for r, c in held.items():
                 counts[r] += np.bincount(_squares(x, c).argmin(axis=1), minlength=len(c))
-        yield pd.DataFrame([(r, at, int(n)) for r, c in counts.items() for at, n in enumerate(c) if n], columns=["run", "at", "n"])
+        rows = [{"run": r, "at": at, "n": int(n)} for r, c in counts.items() for at, n in enumerate(c) if n]
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("run", pa.int32()), ("at", pa.int32()), ("n", pa.int64())]))
 
-    weights = keyed.mapInPandas(weigh, "run int, at int, n long").groupBy("run", "at").agg(F.sum("n").alias("n")).toPandas()
+    weights = keyed.mapInArrow(weigh, "run int, at int, n long").groupBy("run", "at").agg(F.sum("n").alias("n")).toPandas()
     runs = []
     for r, rows in weights.groupby("run"):
         w = np.zeros(len(held[int(r)]))
@@ -205,20 +242,21 @@ def kmeans(
 ) -> dict[int, Run]:
     """Best of many restarts for each number of clusters.
 
-    All restarts advance together: a round is one pass over the points, in which a
-    task takes the distances to all centres of all live restarts by one matrix product
-    and adds up counts and sums per (restart, cluster), once a task. A round shuffles
+    All restarts advance together: a round is one pass over the points, stored as the
+    bytes of their features, in which a task takes the distances to all centres of all
+    live restarts by one matrix product, their sums per (restart, cluster) by another, and
+    gives counts and sums once. A round shuffles
     centres and never points. ``starts``: ``oversampled`` (k-means||, few rounds) or
     ``drawn`` (the points of lowest digest). A cluster that loses all points keeps its
     centre. A restart still moving after ``max_rounds`` is not ``settled``.
     """
     features = list(features)
-    data = materialise(points.select(key, *[F.col(f).cast("double").alias(f) for f in features]), "points")
+    data = _packed(points, key, features)
     if starts == "drawn":
-        drawn = _drawn(data, key, features, max(ks), restarts, seed)
+        drawn = _drawn_packed(data, max(ks), restarts, seed)
         runs = [Run(k, r, rows[:k].copy()) for r, rows in drawn.items() for k in ks]
     elif starts == "oversampled":
-        runs = _oversampled(data, key, features, ks, restarts, seed)
+        runs = _oversampled(data, ks, restarts, seed)
     else:
         raise ValueError(f"unknown starts {starts!r}")
     names = [f"s{i}" for i in range(len(features))]
@@ -229,7 +267,7 @@ def kmeans(
             break
         active = [(i, runs[i].centres) for i in live]
         totals = (
-            data.mapInPandas(lambda batches, active=active: _partial_sums(batches, features, names, active), schema)
+            data.mapInArrow(lambda batches, active=active: _partial_sums(batches, names, active), schema)
             .groupBy("run", "cluster")
             .agg(*[F.sum(c).alias(c) for c in ("n", "cost", *names)])
             .toPandas()
@@ -250,27 +288,47 @@ def kmeans(
     return best
 
 
-def _partial_sums(batches: Iterator[pd.DataFrame], features: list[str], names: list[str], active: list) -> Iterator[pd.DataFrame]:
-    """Counts, costs and sums of a task's points by (restart, cluster)."""
-    centres = np.concatenate([c for _, c in active])
-    begins = np.cumsum([0, *[len(c) for _, c in active]])
-    counts, costs, sums = np.zeros(len(centres)), np.zeros(len(centres)), np.zeros_like(centres)
-    for x, _ in _pieces(batches, features):
-        d2 = _squares(x, centres)
-        for begin, end in zip(begins[:-1], begins[1:], strict=True):
-            own = d2[:, begin:end]
-            best = own.argmin(axis=1)
-            mark = best[:, None] == np.arange(end - begin)
-            counts[begin:end] += mark.sum(axis=0)
-            costs[begin:end] += (own * mark).sum(axis=0)
-            sums[begin:end] += mark.T.astype(float) @ x
-    out = [
-        (i, at - begin, int(counts[at]), costs[at], *sums[at])
-        for (i, _), begin, end in zip(active, begins[:-1], begins[1:], strict=True)
-        for at in range(begin, end)
-        if counts[at]
-    ]
-    yield pd.DataFrame(out, columns=["run", "cluster", "n", "cost", *names])
+def _partial_sums(batches: Iterator[pa.RecordBatch], names: list[str], active: list) -> Iterator[pa.RecordBatch]:
+    """Counts and sums of a task's points by (restart, cluster), and the cost of each
+    restart with the first of its clusters that has points."""
+    groups = []
+    for k in sorted({len(c) for _, c in active}):
+        ids = [i for i, c in active if len(c) == k]
+        # By cluster, then by restart: least distances are taken along whole rows.
+        centres = np.stack([c for _, c in active if len(c) == k], axis=1)
+        flat = centres.reshape(-1, centres.shape[2])
+        groups.append((k, ids, -2.0 * flat.T, (flat * flat).sum(axis=1), np.zeros(len(flat)), np.zeros_like(flat), np.zeros(len(ids))))
+    for x, _ in _pieces(batches):
+        own, ones = (x * x).sum(axis=1)[:, None], np.ones(len(x))
+        for k, ids, turned, squares, counts, sums, costs in groups:
+            d2 = x @ turned
+            d2 += squares
+            by = d2.reshape(len(x), k, len(ids))
+            best = by[:, 0].copy()
+            for c in range(1, k):
+                np.minimum(best, by[:, c], out=best)
+            # A point is of the first of its nearest clusters.
+            free = np.ones(best.shape, bool)
+            for c in range(k):
+                mark = by[:, c] == best
+                mark &= free
+                free ^= mark
+                by[:, c] = mark
+            best += own
+            costs += np.maximum(best, 0.0, out=best).sum(axis=0)
+            counts += ones @ d2
+            sums += d2.T @ x
+    out = []
+    for k, ids, _, _, counts, sums, costs in groups:
+        at = np.arange(k * len(ids)).reshape(k, len(ids))
+        for n, i in enumerate(ids):
+            cost = float(costs[n])
+            for c in range(k):
+                if counts[at[c, n]]:
+                    out.append({"run": i, "cluster": c, "n": int(counts[at[c, n]]), "cost": cost, **dict(zip(names, sums[at[c, n]].tolist(), strict=True))})
+                    cost = 0.0
+    kind = [("run", pa.int32()), ("cluster", pa.int32()), ("n", pa.int64()), ("cost", pa.float64()), *[(s, pa.float64()) for s in names]]
+    yield pa.RecordBatch.from_pylist(out, pa.schema(kind))
 
 
 def renumbered(clustered: DataFrame, key: str, cluster: str = "cluster") -> DataFrame:
