@@ -5,11 +5,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import documents, groups, jaccard, odd_documents, plain_shingles, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftspan.llm import jaccard_join, line_dedup, passages, queries, similar
+from weftspan.llm import batches, jaccard_join, line_dedup, passages, queries, similar
 from weftspan.llm.components import components
 
 FOLDER = "/root/testdata/sf0.001"
@@ -341,3 +343,24 @@ def test_stages_on_odd_rows(spark):
     none = documents(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, FOLDER).count() == 0
+
+
+def test_passes_over_texts_take_small_batches(spark, monkeypatch):
+    """Spans are found with bounded batches; the session keeps its own bound, also on error."""
+    seen, own, before = [], passages.materialise, spark.conf.get(batches.BATCH_ROWS)
+
+    def noted(df, name):
+        sizes = df.sparkSession.range(3000).coalesce(1).mapInArrow(lambda parts: (pa.record_batch({"n": [b.num_rows]}) for b in parts), "n long")
+        seen.append((name, sizes.agg(F.max("n")).first()[0]))
+        return own(df, name)
+
+    monkeypatch.setattr(passages, "materialise", noted)
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "a b")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in passages.remove_repeats(docs).collect()}
+    assert got == {1: 0, 2: 30, 3: 0}
+    assert {"anchors", "spans"} <= {n for n, _ in seen} and all(size <= batches.TEXT_ROWS for _, size in seen)
+    with pytest.raises(ValueError), batches.text_batches(spark, 5):
+        assert spark.conf.get(batches.BATCH_ROWS) == "5"
+        raise ValueError
+    assert spark.conf.get(batches.BATCH_ROWS) == before

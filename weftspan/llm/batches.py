@@ -3,10 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 PIECE_BYTES = 1 << 18
+#: Rows that are handed to Python at once where whole texts are read.
+TEXT_ROWS = 1_000
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """For jobs that run within: at most ``rows`` rows in an Arrow batch, which Spark and
+    the Python worker both hold whole. The session's own value is set again after."""
+    before, rows = int(spark.conf.get(BATCH_ROWS)), rows or TEXT_ROWS
+    spark.conf.set(BATCH_ROWS, min(before, rows) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
 
 
 def pieces(

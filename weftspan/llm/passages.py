@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftspan.llm.batches import pieces
+from weftspan.llm.batches import pieces, text_batches
 from weftspan.llm.hashing import GRAM_BASE, Words, byte_table, run_hashes, signed
 from weftspan.llm.sieve import Sieve, sieve
 from weftspan.plans.storage import materialise
@@ -319,8 +319,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, phrase: int = PH
     repeats are not moved. Texts of any length are read whole, and an empty table gives
     no rows. Only doc_id and text are read, so no other column clashes.
     """
-    marked = repeated_spans(docs, window, phrase).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
-    marked = materialise(marked, "spans")
+    with text_batches(docs.sparkSession):
+        marked = repeated_spans(docs, window, phrase).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash")
+        marked = materialise(marked, "spans")
     held = sieve(marked, F.col("_hash"))
     named = docs.select(
         "doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_hash")
