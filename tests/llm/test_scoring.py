@@ -195,3 +195,49 @@ def test_training_reads_all_of_a_large_corpus(spark, monkeypatch):
     monkeypatch.setattr(scoring, "_trainer", counted)
     scoring.train(encoded, s, path)
     assert many > 60 and gone == many
+
+
+def test_small_classes_are_worked_on_together(monkeypatch):
+    """Fewer products than classes, and the same scores and gradients as class by class."""
+    rng, together, p = small_model(4, kinds=400, unseen=2000)
+    monkeypatch.setattr(A, "RUN_MEMBERS", 0)
+    apart = A.symbols(together.codes, together.counts, 2000)
+    assert len(apart.runs) > 10 and len(together.runs) < len(apart.runs) / 2
+    assert together.bounds.tolist() == apart.bounds.tolist()
+    batch = np.concatenate([A.windows(rng.integers(0, 401, n), together, 0) for n in (700, 20, 33)])
+    one, two = (A.loss_and_gradients(p, s, batch) for s in (together, apart))
+    assert one[0] == pytest.approx(two[0]) and all(np.allclose(one[1][n], two[1][n], atol=1e-9) for n in p)
+    assert np.allclose(A.Scorer(p, together).places(batch), A.Scorer(p, apart).places(batch), atol=1e-5)
+
+
+@pytest.mark.parametrize("many", [5, 5000])
+def test_sums_by_symbol_and_tall_products(many):
+    rng = np.random.default_rng(5)
+    x, y, at = rng.normal(size=(700, 3)), rng.normal(size=(700, 4)), rng.integers(0, many, 700)
+    want = np.zeros((many, 3))
+    np.add.at(want, at, x)
+    assert np.allclose(A._by_symbol(at, x, many), want) and np.allclose(A._tall(x, y), x.T @ y) and np.allclose(A._tall(x[:9], y[:9]), x[:9].T @ y[:9])
+
+
+def test_each_word_of_a_piece_is_looked_up_once():
+    encoder, asked = encoder_of(default_tokenizer()), Counter()
+
+    class Counting:
+        type = encoder.type
+
+        def __len__(self):
+            return len(encoder)
+
+        def __getitem__(self, word):
+            asked[word] += 1
+            return encoder[word]
+
+    texts = [t.encode() for t in ("The cat, the hat and THE cat", "", " \t", "the\x0bcat's Ärger", "a <|endoftext|> The the")]
+    words = scoring.words_of(texts)
+    kinds, kind = np.unique(words.hash, return_inverse=True)
+    got = scoring._all_pieces(Counting(), texts, words, kind, len(kinds))
+    assert got == [scoring._pieces(encoder, t) for t in texts]
+    assert asked[b"the"] == 1 + 1 and asked[b"cat"] == 1  # the last text keeps its case, and is encoded alone
+    doc, own, times = scoring._counted(words.doc, kind, len(kinds))
+    want = Counter((at, w) for at, t in enumerate(texts) for w in t.lower().split())
+    assert sorted(want.values()) == sorted(times.tolist()) and np.bincount(doc, times, 5).tolist() == [7, 0, 0, 3, 4]

@@ -21,6 +21,9 @@ WINDOW = CONTEXT + SCORED + 1
 WIDTH, HIDDEN = 32, 32
 FAR = np.float32(-1e9)
 SAFE = 40.0  # exponentials up to it add up within 32 bits
+#: Members up to which classes that follow each other are worked on at once, rows of a
+#: product that a core's cache holds, and windows whose places are looked at at once.
+RUN_MEMBERS, TALL_ROWS, LOOKED_WINDOWS = 64, 256, 64
 
 #: distance of each looked-at place from each scored one, and which may be looked at
 DISTANCE = np.arange(SCORED)[:, None] + CONTEXT - np.arange(CONTEXT + SCORED)[None, :]
@@ -50,6 +53,43 @@ def one_thread() -> None:
                 getattr(library, name)(1)
 
 
+@dataclass
+class Run:
+    """Classes that follow each other, from ``first`` to before ``last``, whose members
+    run from ``begin`` to before ``end``. ``apart`` has a row for each class, which puts
+    the members of others out of reach; a class alone needs none."""
+
+    first: int
+    last: int
+    begin: int
+    end: int
+    apart: np.ndarray | None
+
+    def bias(self, member_bias: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """What is added to the members' products, for rows of these ``classes``."""
+        own = member_bias[self.begin : self.end]
+        return own if self.apart is None else np.take(own + self.apart.astype(own.dtype), classes - self.first, 0)
+
+
+def runs_of(bounds: np.ndarray) -> list[Run]:
+    """All classes of more than one member, small neighbours together."""
+    found: list[tuple[int, int]] = []
+    for c, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+        if end - begin == 1:
+            continue
+        if found and found[-1][1] == c and end - bounds[found[-1][0]] <= RUN_MEMBERS:
+            found[-1] = (found[-1][0], c + 1)
+        else:
+            found.append((c, c + 1))
+    made = []
+    for first, last in found:
+        begin, end = int(bounds[first]), int(bounds[last])
+        own = np.repeat(np.arange(first, last), np.diff(bounds[first : last + 1]))
+        apart = np.where(own == np.arange(first, last)[:, None], np.float32(0), FAR) if last - first > 1 else None
+        made.append(Run(first, last, begin, end, apart))
+    return made
+
+
 @dataclass
 class Symbols:
     """The known symbols by falling count, and their classes.
@@ -58,7 +98,7 @@ class Symbols:
     class is a run of them, from one of ``bounds`` to the next. ``table``: the index of
     each possible code. ``other`` stands for all unknown
     symbols, ``pad`` for no symbol. ``novel``: probability of the unknown together,
-    of which there are ``unknown``.
+    of which there are ``unknown``. ``runs``: the classes of more than one member.
     """
 
     codes: np.ndarray
@@ -68,6 +108,7 @@ class Symbols:
     table: np.ndarray
     novel: float
     unknown: int
+    runs: list[Run]
 
     @property
     def other(self) -> int:
@@ -101,7 +142,8 @@ def symbols(codes: np.ndarray, counts: np.ndarray, possible: int) -> Symbols:
     table[codes] = np.arange(known)
     novel = known / (total + known) if known else 1.0
     unknown = max(0, possible - known)
-    return Symbols(codes, counts, class_of, bounds, table, novel if unknown else 0.0, unknown)
+    class_of = class_of.astype(np.uint16 if len(bounds) <= 1 << 16 else np.int64)  # short ones sort by digits
+    return Symbols(codes, counts, class_of, bounds, table, novel if unknown else 0.0, unknown, runs_of(bounds))
 
 
 Parameters = dict[str, np.ndarray]
@@ -173,12 +215,33 @@ def attend(q: np.ndarray, k: np.ndarray, added: np.ndarray, looked: np.ndarray,
     return np.exp(a, out=a)
 
 
-def _by_class(targets: np.ndarray, s: Symbols) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """Order of targets by class, and each class met with its slice of that order."""
+def _by_class(targets: np.ndarray, s: Symbols) -> tuple[np.ndarray, np.ndarray, list[tuple[Run, slice]]]:
+    """Order of targets by class, the classes in it, and each run met with its slice."""
     c = s.class_of[targets]
     order = np.argsort(c, kind="stable")
-    met, begin = np.unique(c[order], return_index=True)
-    return order, [(k, slice(a, b)) for k, a, b in zip(met.tolist(), begin.tolist(), [*begin.tolist()[1:], len(c)], strict=True)]
+    c = c[order].astype(np.int64)
+    begin, end = (np.searchsorted(c, np.array([getattr(r, n) for r in s.runs], np.int64)).tolist() for n in ("first", "last"))
+    return order, c, [(r, slice(a, b)) for r, a, b in zip(s.runs, begin, end, strict=True) if b > a]
+
+
+def _tall(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``x.T @ y`` of few columns and many rows, a part of the rows at a time."""
+    whole = len(x) // TALL_ROWS * TALL_ROWS
+    parts = np.matmul(x[:whole].reshape(-1, TALL_ROWS, x.shape[1]).transpose(0, 2, 1), y[:whole].reshape(-1, TALL_ROWS, y.shape[1]))
+    return parts.sum(0) + x[whole:].T @ y[whole:]
+
+
+def _by_symbol(indices: np.ndarray, rows: np.ndarray, many: int) -> np.ndarray:
+    """Sums of ``rows`` by their index, of which there are ``many``."""
+    wide = rows.shape[1]
+    if many > 4 * len(rows):
+        found = np.zeros((many, wide), rows.dtype)
+        by = np.argsort(indices, kind="stable")
+        met, begin = np.unique(indices[by], return_index=True)
+        found[met] = np.add.reduceat(np.take(rows, by, 0), begin, axis=0)
+        return found
+    at = (indices.astype(np.int64) * wide)[:, None] + np.arange(wide)
+    return np.bincount(at.ravel(), rows.ravel(), many * wide).reshape(many, wide).astype(rows.dtype)
 
 
 class Scorer:
@@ -213,16 +276,20 @@ class Scorer:
         if not known.any():
             return out.reshape(len(batch), SCORED)
         asking = np.ascontiguousarray(looked[:, CONTEXT:])
-        n = len(batch)
-        q, k = self._taken("q", self.queries, asking), self._taken("k", self.keys, looked)
-        a = attend(q, k, self.added, looked, s.pad, self._room("a", n, SCORED, CONTEXT + SCORED))
-        met = np.matmul(a, self._taken("v", self.values, looked), out=self._room("met", n, SCORED, WIDTH + 1)).reshape(-1, WIDTH + 1)
-        every = np.divide(met[:, :-1], met[:, -1:], out=self._room("r", n * SCORED, WIDTH))
-        every += self._taken("own", self.own, asking.ravel())
+        every = self._room("r", len(batch) * SCORED, WIDTH)
+        for begin in range(0, len(batch), LOOKED_WINDOWS):
+            part, own = looked[begin : begin + LOOKED_WINDOWS], asking[begin : begin + LOOKED_WINDOWS]
+            n = len(part)
+            q, k = self._taken("q", self.queries, own), self._taken("k", self.keys, part)
+            a = attend(q, k, self.added, part, s.pad, self._room("a", n, SCORED, CONTEXT + SCORED))
+            met = np.matmul(a, self._taken("v", self.values, part), out=self._room("met", n, SCORED, WIDTH + 1)).reshape(-1, WIDTH + 1)
+            r = every[begin * SCORED : (begin + n) * SCORED]
+            np.divide(met[:, :-1], met[:, -1:], out=r)
+            r += self._taken("own", self.own, own.ravel())
         # Places in the order of their targets' classes, from here on; unknown ones fall away.
         at = np.flatnonzero(known)
         targets = targets[at]
-        order, groups = _by_class(targets, s)
+        order, kind, groups = _by_class(targets, s)
         at, targets = at[order], targets[order]
         r = self._taken("rows", every, at)
         hidden = np.matmul(r, p["up"], out=self._room("hidden", len(at), HIDDEN))
@@ -231,13 +298,12 @@ class Scorer:
         r += np.matmul(hidden, p["down"], out=self._room("down", len(at), WIDTH))
         logits = np.matmul(r, p["class"], out=self._room("logits", len(at), p["class"].shape[1]))
         logits += p["class_bias"]
-        found = _log_share(logits, s.class_of[targets])
-        for k, part in groups:
-            begin, end = s.bounds[k], s.bounds[k + 1]
-            if end - begin > 1:
-                logits = np.matmul(r[part], p["member"][begin:end].T, out=self._room("logits", part.stop - part.start, end - begin))
-                logits += p["member_bias"][begin:end]
-                found[part] += _log_share(logits, targets[part] - begin)
+        found = _log_share(logits, kind)
+        for run, part in groups:
+            begin, end = run.begin, run.end
+            logits = np.matmul(r[part], p["member"][begin:end].T, out=self._room("logits", part.stop - part.start, end - begin))
+            logits += run.bias(p["member_bias"], kind[part])
+            found[part] += _log_share(logits, targets[part] - begin)
         out[at] = found + np.log1p(-s.novel)
         return out.reshape(len(batch), SCORED)
 
@@ -272,13 +338,13 @@ def _softmax(logits: np.ndarray, at: np.ndarray, n) -> np.ndarray:
 
 def loss_and_gradients(p: Parameters, s: Symbols, batch: np.ndarray) -> tuple[float, Parameters]:
     """Mean negative log likelihood of the known targets of a batch, and its gradients."""
-    g = {n: np.zeros_like(p[n]) for n in ("embedding", "member", "member_bias")}
+    g = {n: np.zeros_like(p[n]) for n in ("member", "member_bias")}
     looked, targets = np.ascontiguousarray(batch[:, :-1]), batch[:, CONTEXT + 1 :].ravel()
     at = np.flatnonzero(targets < s.other)
     if not len(at):
         return 0.0, {n: np.zeros_like(v) for n, v in p.items()}
     # Targets in the order of their classes.
-    order, groups = _by_class(targets[at], s)
+    order, classes, groups = _by_class(targets[at], s)
     at = at[order]
     targets, kind = targets[at], p["embedding"].dtype.type
     n, scale, many = kind(len(at)), kind(WIDTH**-0.5), len(batch)
@@ -301,23 +367,21 @@ def loss_and_gradients(p: Parameters, s: Symbols, batch: np.ndarray) -> tuple[fl
 
     share = h @ p["class"]
     share += p["class_bias"]
-    loss = -_softmax(share, s.class_of[targets], n).sum()
-    g["class"], g["class_bias"] = h.T @ share, np.ones(len(at), kind) @ share
+    loss = -_softmax(share, classes, n).sum()
+    g["class"], g["class_bias"] = _tall(h, share), np.ones(len(at), kind) @ share
     dh = share @ p["class"].T
-    for c, part in groups:
-        begin, end = s.bounds[c], s.bounds[c + 1]
-        if end - begin == 1:
-            continue
+    for run, part in groups:
+        begin, end = run.begin, run.end
         share = h[part] @ p["member"][begin:end].T
-        share += p["member_bias"][begin:end]
+        share += run.bias(p["member_bias"], classes[part])
         loss -= _softmax(share, targets[part] - begin, n).sum()
-        g["member"][begin:end], g["member_bias"][begin:end] = share.T @ h[part], share.sum(0)
+        g["member"][begin:end], g["member_bias"][begin:end] = share.T @ h[part], np.ones(len(share), kind) @ share
         dh[part] += share @ p["member"][begin:end]
 
-    g["down"] = hidden.T @ dh
+    g["down"] = _tall(hidden, dh)
     dhidden = dh @ p["down"].T
     dhidden *= before > 0
-    g["up"], g["up_bias"] = r.T @ dhidden, dhidden.sum(0)
+    g["up"], g["up_bias"] = _tall(r, dhidden), np.ones(len(at), kind) @ dhidden
     dh += dhidden @ p["up"].T
     dr = np.zeros((many * SCORED, WIDTH), kind)
     dr[at] = dh
@@ -335,14 +399,12 @@ def loss_and_gradients(p: Parameters, s: Symbols, batch: np.ndarray) -> tuple[fl
     dq *= scale
     np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
     dkv = dkv.reshape(-1, 2 * WIDTH)
-    of_both = flat.T @ dkv
-    g["key"], g["value"], g["query"] = of_both[:, :WIDTH], of_both[:, WIDTH:], flat_q.T @ dq
+    of_both = _tall(flat, dkv)
+    g["key"], g["value"], g["query"] = of_both[:, :WIDTH], of_both[:, WIDTH:], _tall(flat_q, dq)
     dx = dkv @ both.T
     dr += dq @ p["query"].T
     dx.reshape(many, -1, WIDTH)[:, CONTEXT:] += by_place
-    by = np.argsort(looked.ravel(), kind="stable")
-    met, begin = np.unique(looked.ravel()[by], return_index=True)
-    g["embedding"][met] = np.add.reduceat(np.take(dx, by, 0), begin, axis=0)
+    g["embedding"] = _by_symbol(looked.ravel(), dx, len(p["embedding"]))
     g["embedding"][-2:] = 0  # unknown symbols and pads stay at nought
     return float(loss / n), {name: g[name] for name in p}
 

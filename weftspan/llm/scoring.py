@@ -103,9 +103,11 @@ def encode(docs: DataFrame, base: Base, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         logs, end = base.log(base.counts), float(base.log(np.array([base.ends]))[0])
-        for part, texts in pieces(batches, "_text"):
+        for part, texts in pieces(batches, "_text", COUNT_BYTES):
             words = words_of(texts)
-            doc, hashes, times = _counted(words)
+            kinds, kind = np.unique(words.hash, return_inverse=True)
+            doc, own, times = _counted(words.doc, kind, len(kinds))
+            hashes = signed(kinds)[own]
             at = np.minimum(np.searchsorted(base.hashes, hashes), max(0, len(base.hashes) - 1))
             common = base.hashes[at] == hashes if len(base.hashes) else np.zeros(len(hashes), bool)
             total = np.bincount(doc[common], times[common] * logs[at[common]], len(texts)) + end
@@ -113,7 +115,7 @@ def encode(docs: DataFrame, base: Base, path: str) -> DataFrame:
             cuts = pa.array(np.searchsorted(doc[~common], np.arange(len(texts) + 1)).astype(np.int32))
             rare = pa.ListArray.from_arrays(cuts, pa.array(hashes[~common]))
             rare_n = pa.ListArray.from_arrays(cuts, pa.array(times[~common].astype(np.int32)))
-            encoded = [_pieces(encoder, t) for t in texts]
+            encoded = _all_pieces(encoder, texts, words, kind, len(kinds))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array(np.diff(words.first) + 1), pa.array(known), pa.array(total), rare, rare_n,
                  pa.array([e[0] for e in encoded], pa.binary()), pa.array([e[1] for e in encoded], pa.binary())],
@@ -125,15 +127,33 @@ def encode(docs: DataFrame, base: Base, path: str) -> DataFrame:
     return materialise(out.withColumn("_row", F.monotonically_increasing_id()), "encoded")
 
 
-def _counted(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text, hash and number of each distinct word of each text."""
-    hashes = signed(words.hash)
-    order = np.lexsort((hashes, words.doc))
-    doc, hashes = words.doc[order], hashes[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-    at = np.flatnonzero(new)
-    return doc[at], hashes[at], np.diff(np.append(at, len(doc)))
+def _counted(doc: np.ndarray, kind: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, kind (of ``many``) and number of each distinct word of each text."""
+    met, times = np.unique(doc * max(1, many) + kind, return_counts=True)
+    return met // max(1, many), met % max(1, many), times
+
+
+def _all_pieces(encoder, texts: list[bytes], words: Words, kind: np.ndarray, many: int) -> list[tuple[bytes, bytes]]:
+    """``_pieces`` of each text, by one look at each of ``many`` kinds of words. A text
+    with a special token's opening keeps its case, and is encoded alone."""
+    if len(encoder) > KEPT_WORDS:
+        encoder.clear()
+    at = np.empty(many, np.int64)
+    at[kind] = np.arange(len(kind))
+    found = [encoder[words.data[a:b]] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
+    table = np.frombuffer(b"".join(found), encoder.type)
+    sizes = np.fromiter(map(len, found), np.int64, many) // encoder.type.itemsize
+    held = sizes[kind]
+    ends = np.concatenate([[0], np.cumsum(held)])
+    ids = table[np.repeat((np.cumsum(sizes) - sizes)[kind] - ends[:-1], held) + np.arange(ends[-1])]
+    starts = np.zeros(len(ids), bool)
+    starts[ends[:-1][held > 0]] = True
+    cuts = ends[words.first].tolist()
+    end = np.array([END_ID], encoder.type).tobytes()
+    return [
+        _pieces(encoder, t) if b"<|" in t else (ids[a:b].tobytes() + end, np.packbits(np.append(starts[a:b], True)).tobytes())
+        for t, a, b in zip(texts, cuts, cuts[1:], strict=False)
+    ]
 
 
 def _pieces(encoder, text: bytes) -> tuple[bytes, bytes]:
