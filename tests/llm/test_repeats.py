@@ -364,3 +364,38 @@ def test_passes_over_texts_take_small_batches(spark, monkeypatch):
         assert spark.conf.get(batches.BATCH_ROWS) == "5"
         raise ValueError
     assert spark.conf.get(batches.BATCH_ROWS) == before
+
+
+@pytest.mark.parametrize("most", [1, 60, 1 << 17])
+def test_buckets_are_made_sets_of_together(monkeypatch, most):
+    """Many small buckets take one call, a large limit or none gives the same ties."""
+    monkeypatch.setattr(similar, "BUCKETS_AT_ONCE", most)
+    monkeypatch.setattr(similar, "_spread", lambda rows, *keys: rows)
+    rng = random.Random(3)
+    rows = [(b, bytes([b, n]), " ".join(rng.choice(("one line", "of", "words")) for _ in range(3 + b % 4))) for b in range(30) for n in range(1 + b % 4)]
+    calls, got = [], []
+
+    class Rows:
+        """Stands for the rows of a task, which are at hand."""
+
+        def __getattr__(self, name):
+            return lambda *args: self
+
+        def mapInArrow(self, run, schema):
+            cut = [rows[a : a + 7] for a in range(0, len(rows), 7)]
+            made = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), (pa.int64(), pa.binary(), pa.string()))], names=["bucket", "id", "items"]) for part in cut]
+            got.extend(tuple(r.values()) for b in run(iter(made)) for r in b.to_pylist())
+
+    def expand(items):
+        calls.append(len(items))
+        return line_dedup._shingle_sets(items)
+
+    similar._compared(Rows(), Rows(), 0.8, expand)
+    want = []
+    for b in range(30):
+        ids, texts = zip(*[(i, t) for own, i, t in rows if own == b])
+        sets = [np.unique(line_dedup.Lines([t.encode()]).shingles) for t in texts]
+        if len(ids) > 1:
+            want += [(ids[x], ids[y]) for x, y in similar.stars(similar.similar(sets, 0.8), list(ids))]
+    assert sorted(got) == sorted(want) and want
+    assert len(calls) == 1 if most > 10_000 else len(calls) > 3

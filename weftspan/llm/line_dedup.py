@@ -140,7 +140,14 @@ def line_id(line: str) -> bytes:
 
 def _shingle_sets(items: list[pa.Scalar]) -> list[np.ndarray]:
     lines = Lines(["\n".join(i.as_py() for i in items).encode()], named=False)
-    return [np.unique(lines.shingles[a : a + n]) for a, n in zip(lines.first, lines.counts, strict=True)]
+    values = lines.shingles
+    for begin, n in zip(lines.first.tolist(), lines.counts.tolist(), strict=True):
+        values[begin : begin + n].sort()
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    new[lines.first] = True
+    ends = np.cumsum(np.add.reduceat(new, lines.first, dtype=np.int64))
+    return np.split(values[new], ends[:-1])
 
 
 def superfluous(rows: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

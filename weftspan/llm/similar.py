@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ PART, PIVOTS = 1_024, 64
 #: Blocks beyond which a split, which makes some nine rows of one, moves less than all pairs of blocks.
 SPLIT_BLOCKS = 16
 ITEMS_AT_ONCE = 1 << 12
+#: Characters or items of buckets that are made sets of at once, or one larger bucket.
+BUCKETS_AT_ONCE = 1 << 17
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -58,10 +61,17 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two sets of distinct values share."""
+    both = np.concatenate((x, y))
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
     """Which pairs reach the threshold; no set with itself."""
     if len(sets) == 2:
-        n = float(len(np.intersect1d(*sets, assume_unique=True)))
+        n = float(common(*sets))
         both = np.array([[0.0, n], [n, 0.0]])
     else:
         both = overlaps(sets).astype(np.float64)
@@ -89,23 +99,35 @@ def stars(linked: np.ndarray, names: list) -> list[tuple[int, int]]:
     return found
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], rows_out: Callable[[int, list, list], list[tuple]], kinds: list, names: list) -> Iterator[pa.RecordBatch]:
-    """Runs ``rows_out`` on (bucket, ids, values) of each bucket, ids once each, from
-    rows (bucket, id, value) that are sorted by bucket."""
-    bucket, held, out = None, {}, []
+Buckets = list[tuple[int, list, list]]
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], rows_out: Callable[[Buckets], list[tuple]], kinds: list, names: list) -> Iterator[pa.RecordBatch]:
+    """Runs ``rows_out`` on lists of (bucket, ids, values), ids of a bucket once each, from
+    rows (bucket, id, value) that are sorted by bucket. A list holds values of
+    ``BUCKETS_AT_ONCE`` in all, but for its last bucket."""
+    bucket, held, ready, weight = None, {}, [], 0
+
+    def rows(buckets: Buckets) -> Iterator[pa.RecordBatch]:
+        if buckets and (out := rows_out(buckets)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
     for batch in batches:
         keys, ids, values = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)
+        lengths = (pc.list_value_length if pa.types.is_nested(values.type) else pc.binary_length)(values).to_pylist()
         for at, key in enumerate(keys):
             if key != bucket:
                 if len(held) > 1:
-                    out += rows_out(bucket, list(held), list(held.values()))
+                    ready.append((bucket, list(held), list(held.values())))
+                    if weight >= BUCKETS_AT_ONCE:
+                        yield from rows(ready)
+                        ready, weight = [], 0
                 bucket, held = key, {}
             held[ids[at]] = values[at]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
-            out = []
-    if len(held) > 1 and (out := rows_out(bucket, list(held), list(held.values()))):
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+            weight += lengths[at]
+    if len(held) > 1:
+        ready.append((bucket, list(held), list(held.values())))
+    yield from rows(ready)
 
 
 def as_sets(values: list[pa.Scalar]) -> list[np.ndarray]:
@@ -216,7 +238,7 @@ def _promising(buckets: DataFrame, sketches: DataFrame, threshold: float) -> Dat
         return [(bucket, ids[at]) for at in np.flatnonzero(same.max(axis=1) >= least)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _by_bucket(batches, near, [pa.int64(), pa.binary()], ["bucket", "id"])
+        return _by_bucket(batches, lambda buckets: [row for b in buckets for row in near(*b)], [pa.int64(), pa.binary()], ["bucket", "id"])
 
     rows = buckets.join(sketches, "id").select("bucket", "id", "sketch")
     return _spread(rows, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, id binary")
@@ -281,8 +303,15 @@ def _spread(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _compared(buckets: DataFrame, sets: DataFrame, threshold: float, expand: Callable) -> DataFrame:
-    def ties(bucket: int, ids: list, items: list) -> list[tuple]:
-        return [(ids[a], ids[b]) for a, b in stars(similar(expand(items), threshold), ids)]
+    def ties(buckets: Buckets) -> list[tuple]:
+        sets, found = iter(expand([i for _, _, items in buckets for i in items])), []
+        for _, ids, _ in buckets:
+            own = [next(sets) for _ in ids]
+            if len(ids) > 2:
+                found += [(ids[a], ids[b]) for a, b in stars(similar(own, threshold), ids)]
+            elif (n := common(*own)) and n >= threshold * (len(own[0]) + len(own[1]) - n) - 1e-9:
+                found.append((min(ids), max(ids)))
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _by_bucket(batches, ties, [pa.binary(), pa.binary()], ["u", "v"])
