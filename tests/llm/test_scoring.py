@@ -241,3 +241,47 @@ def test_each_word_of_a_piece_is_looked_up_once():
     doc, own, times = scoring._counted(words.doc, kind, len(kinds))
     want = Counter((at, w) for at, t in enumerate(texts) for w in t.lower().split())
     assert sorted(want.values()) == sorted(times.tolist()) and np.bincount(doc, times, 5).tolist() == [7, 0, 0, 3, 4]
+
+
+@pytest.mark.parametrize("group", [1, 300, 1 << 18])
+def test_windows_of_many_texts_are_cut_at_once(monkeypatch, group):
+    """The same codes, and the same windows in the same round, as text by text."""
+    monkeypatch.setattr(scoring, "GROUP_SYMBOLS", group)
+    rng, s, _ = small_model(6)
+    kind = encoder_of(default_tokenizer()).type
+    ids = [rng.integers(0, 15, n).astype(kind) for n in (1, 7, 8, 32, 33, 900, 64)]
+    starts = [np.packbits(rng.integers(0, 2, len(i)).astype(bool)).tobytes() for i in ids]
+    numbers = [3, 8589934592, 5, 6, 7, 8, 9]
+    rows = pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([i.tobytes() for i in ids]), pa.array(starts)], names=["_row", "ids", "starts"])
+    groups = list(scoring.codes_in_groups(rows.column(1), rows.column(2), kind))
+    codes = [scoring.codes_of(i.tobytes(), b, kind) for i, b in zip(ids, starts)]
+    assert len(groups) == {1: 7, 300: 3, 1 << 18: 1}[group]
+    assert np.concatenate([g[1] for g in groups]).tolist() == np.concatenate(codes).tolist()
+    first = int(s.indices(np.array([2 * scoring.END_ID + 1]))[0])
+    for turn in range(3):
+        want = []
+        for number, c in zip(numbers, codes):
+            cut = A.windows(s.indices(c), s, first)
+            seed = scoring.mix(np.array([number], np.int64).view(np.uint64) + np.uint64(1))
+            want.append(cut[scoring.mix(seed + np.arange(len(cut)).astype(np.uint64)) % np.uint64(3) == turn])
+        got = np.concatenate([np.zeros((0, A.WINDOW), np.int32), *scoring.windows_to_learn(iter([rows]), s, kind, turn, 3)])
+        assert got.tolist() == np.concatenate(want).tolist()
+
+
+def test_keys_are_narrower_than_values():
+    _, _, p = small_model()
+    assert p["query"].shape == p["key"].shape and 2 * p["key"].shape[1] <= p["value"].shape[1]
+
+
+def test_a_step_goes_through_parameters_in_parts(monkeypatch):
+    rng, s, p = small_model(7)
+    batch = A.windows(rng.integers(0, 31, 400), s, 0)
+    moved = []
+    for most in (5, 1 << 20):
+        monkeypatch.setattr(A, "MOVED_AT_ONCE", most)
+        fit = A.Fit({n: v.astype(np.float32) for n, v in p.items()}, s, 0.01, 3)
+        for _ in range(3):
+            fit.step(batch)
+        moved.append(A.pack(fit.p))
+    assert np.array_equal(*moved) and np.array_equal(fit.flat, moved[1])
+    assert A.loss_and_gradients(fit.p, s, batch)[0] < A.loss_and_gradients(p, s, batch)[0]

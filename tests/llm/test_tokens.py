@@ -10,7 +10,7 @@ from cases import documents, odd_documents
 from tokenizers import Tokenizer
 
 from weftspan.llm import packing, queries, records
-from weftspan.llm.tokens import END_ID, default_tokenizer, encoder_of, widened
+from weftspan.llm.tokens import END_ID, WordEncoder, default_tokenizer, encoder_of, widened
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -145,3 +145,19 @@ def test_registered_queries(spark, library):
         r = got[doc_id]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(docs[doc_id]), crc(docs[doc_id]))
         start += len(docs[doc_id])
+
+
+def test_plain_ascii_words_are_not_translated():
+    """They stand for themselves; what is translated are letters beyond them."""
+    encoder, asked = WordEncoder(default_tokenizer()), []
+
+    class Shown(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return dict.__getitem__(self, key)
+
+    encoder.shown = Shown(encoder.shown)
+    words = ["house", "houses.", "été", "i", "x1"]
+    got = [np.frombuffer(encoder[w.encode()], encoder.type).tolist() for w in words]
+    assert got == [encoder.library.encode(w, add_special_tokens=False).ids for w in words]
+    assert set(asked) == set("été".encode())

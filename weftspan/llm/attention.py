@@ -2,8 +2,8 @@
 
 A window holds ``CONTEXT`` places that are only looked at, ``SCORED`` places whose
 following symbol is predicted, and one symbol more. Every scored place looks at all
-places up to itself, by dot products of queries and keys plus a bias for each
-distance; a masked softmax weighs the values. A residual, a layer of rectified units
+places up to itself, by dot products of queries and keys, which are narrower than the
+values, plus a bias for each distance; a masked softmax weighs the values. A residual, a layer of rectified units
 and another residual follow. The next symbol is predicted in two steps: its class,
 then the symbol within its class, so no step meets the whole vocabulary.
 """
@@ -18,12 +18,14 @@ import numpy as np
 
 CONTEXT, SCORED = 16, 32
 WINDOW = CONTEXT + SCORED + 1
-WIDTH, HIDDEN = 32, 32
+WIDTH, KEYS, HIDDEN = 32, 8, 32
 FAR = np.float32(-1e9)
 SAFE = 40.0  # exponentials up to it add up within 32 bits
-#: Members up to which classes that follow each other are worked on at once, rows of a
-#: product that a core's cache holds, and windows whose places are looked at at once.
-RUN_MEMBERS, TALL_ROWS, LOOKED_WINDOWS = 64, 256, 64
+#: Members up to which classes that follow each other are worked on at once, in steps and
+#: in scoring, where more rows are at hand; rows of a product that a core's cache holds, and windows whose places are looked at at once.
+RUN_MEMBERS, SCORED_RUN_MEMBERS, TALL_ROWS, LOOKED_WINDOWS = 64, 32, 256, 64
+#: Parameters that a step goes through at once.
+MOVED_AT_ONCE = 16_384
 
 #: distance of each looked-at place from each scored one, and which may be looked at
 DISTANCE = np.arange(SCORED)[:, None] + CONTEXT - np.arange(CONTEXT + SCORED)[None, :]
@@ -71,13 +73,13 @@ class Run:
         return own if self.apart is None else np.take(own + self.apart.astype(own.dtype), classes - self.first, 0)
 
 
-def runs_of(bounds: np.ndarray) -> list[Run]:
-    """All classes of more than one member, small neighbours together."""
+def runs_of(bounds: np.ndarray, most: int) -> list[Run]:
+    """All classes of more than one member, small neighbours of up to ``most`` together."""
     found: list[tuple[int, int]] = []
     for c, (begin, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
         if end - begin == 1:
             continue
-        if found and found[-1][1] == c and end - bounds[found[-1][0]] <= RUN_MEMBERS:
+        if found and found[-1][1] == c and end - bounds[found[-1][0]] <= most:
             found[-1] = (found[-1][0], c + 1)
         else:
             found.append((c, c + 1))
@@ -143,7 +145,7 @@ def symbols(codes: np.ndarray, counts: np.ndarray, possible: int) -> Symbols:
     novel = known / (total + known) if known else 1.0
     unknown = max(0, possible - known)
     class_of = class_of.astype(np.uint16 if len(bounds) <= 1 << 16 else np.int64)  # short ones sort by digits
-    return Symbols(codes, counts, class_of, bounds, table, novel if unknown else 0.0, unknown, runs_of(bounds))
+    return Symbols(codes, counts, class_of, bounds, table, novel if unknown else 0.0, unknown, runs_of(bounds, RUN_MEMBERS))
 
 
 Parameters = dict[str, np.ndarray]
@@ -151,7 +153,7 @@ Parameters = dict[str, np.ndarray]
 
 def shapes(known: int, classes: int) -> dict[str, tuple[int, ...]]:
     return {
-        "embedding": (known + 2, WIDTH), "bias": (CONTEXT + SCORED,), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH),
+        "embedding": (known + 2, WIDTH), "bias": (CONTEXT + SCORED,), "query": (WIDTH, KEYS), "key": (WIDTH, KEYS), "value": (WIDTH, WIDTH),
         "up": (WIDTH, HIDDEN), "up_bias": (HIDDEN,), "down": (HIDDEN, WIDTH), "class": (WIDTH, classes), "class_bias": (classes,),
         "member": (known, WIDTH), "member_bias": (known,),
     }
@@ -177,10 +179,11 @@ def pack(p: Parameters) -> np.ndarray:
 
 
 def unpack(flat: np.ndarray, known: int, classes: int) -> Parameters:
+    """Parameters by name; views, if ``flat`` is of 32 bits."""
     found, at = {}, 0
     for name, shape in shapes(known, classes).items():
         size = int(np.prod(shape))
-        found[name] = flat[at : at + size].reshape(shape).astype(np.float32)
+        found[name] = flat[at : at + size].reshape(shape).astype(np.float32, copy=False)
         at += size
     return found
 
@@ -195,6 +198,21 @@ def windows(indices: np.ndarray, s: Symbols, first: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(row, WINDOW)[::SCORED]
 
 
+def laid_out(indices: np.ndarray, sizes: np.ndarray, s: Symbols, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Many texts at once, of these ``sizes`` and one after the other in ``indices``:
+    a row that holds all their windows, where these begin, the text of each and its
+    number there."""
+    blocks = -(-sizes // SCORED)
+    held = CONTEXT + blocks * SCORED + 1
+    begin = np.cumsum(held) - held
+    row = np.full(held.sum(), s.pad, np.int32)
+    row[begin + CONTEXT] = first
+    row[np.repeat(begin + CONTEXT + 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(indices))] = indices
+    of = np.repeat(np.arange(len(sizes)), blocks)
+    own = np.arange(len(of)) - (np.cumsum(blocks) - blocks)[of]
+    return row, begin[of] + own * SCORED, of, own
+
+
 def mask(bias: np.ndarray) -> np.ndarray:
     """What is added to the products of each scored place with each looked-at one."""
     return np.where(CAUSAL, bias[np.abs(DISTANCE)], FAR)
@@ -210,18 +228,18 @@ def attend(q: np.ndarray, k: np.ndarray, added: np.ndarray, looked: np.ndarray,
     if len(fronts):
         a[fronts] += np.where(looked[fronts] == pad, FAR, np.float32(0))[:, None, :]
     # Every place may look at itself.
-    if a.max() > SAFE or a[:, np.arange(SCORED), np.arange(SCORED) + CONTEXT].min() < -SAFE:
+    if a.max() > SAFE or a.diagonal(CONTEXT, 1, 2).min() < -SAFE:
         a -= a.max(2, keepdims=True)
     return np.exp(a, out=a)
 
 
-def _by_class(targets: np.ndarray, s: Symbols) -> tuple[np.ndarray, np.ndarray, list[tuple[Run, slice]]]:
+def _by_class(targets: np.ndarray, s: Symbols, runs: list[Run]) -> tuple[np.ndarray, np.ndarray, list[tuple[Run, slice]]]:
     """Order of targets by class, the classes in it, and each run met with its slice."""
     c = s.class_of[targets]
     order = np.argsort(c, kind="stable")
     c = c[order].astype(np.int64)
-    begin, end = (np.searchsorted(c, np.array([getattr(r, n) for r in s.runs], np.int64)).tolist() for n in ("first", "last"))
-    return order, c, [(r, slice(a, b)) for r, a, b in zip(s.runs, begin, end, strict=True) if b > a]
+    begin, end = (np.searchsorted(c, np.array([getattr(r, n) for r in runs], np.int64)).tolist() for n in ("first", "last"))
+    return order, c, [(r, slice(a, b)) for r, a, b in zip(runs, begin, end, strict=True) if b > a]
 
 
 def _tall(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -240,8 +258,9 @@ def _by_symbol(indices: np.ndarray, rows: np.ndarray, many: int) -> np.ndarray:
         met, begin = np.unique(indices[by], return_index=True)
         found[met] = np.add.reduceat(np.take(rows, by, 0), begin, axis=0)
         return found
-    at = (indices.astype(np.int64) * wide)[:, None] + np.arange(wide)
-    return np.bincount(at.ravel(), rows.ravel(), many * wide).reshape(many, wide).astype(rows.dtype)
+    found = np.zeros(many * wide, rows.dtype)
+    np.add.at(found, ((indices.astype(np.int64) * wide)[:, None] + np.arange(wide)).ravel(), rows.ravel())
+    return found.reshape(many, wide)
 
 
 class Scorer:
@@ -252,6 +271,7 @@ class Scorer:
     def __init__(self, p: Parameters, s: Symbols):
         p = {n: v.astype(np.float32) for n, v in p.items()}
         self.p, self.s, e = p, s, p["embedding"]
+        self.runs = runs_of(s.bounds, SCORED_RUN_MEMBERS)
         ones = np.ones((len(e), 1), np.float32)
         self.keys, self.values = e @ p["key"], np.hstack([e @ p["value"], ones])
         self.queries, self.added = e @ p["query"] * np.float32(WIDTH**-0.5), mask(p["bias"])
@@ -289,7 +309,7 @@ class Scorer:
         # Places in the order of their targets' classes, from here on; unknown ones fall away.
         at = np.flatnonzero(known)
         targets = targets[at]
-        order, kind, groups = _by_class(targets, s)
+        order, kind, groups = _by_class(targets, s, self.runs)
         at, targets = at[order], targets[order]
         r = self._taken("rows", every, at)
         hidden = np.matmul(r, p["up"], out=self._room("hidden", len(at), HIDDEN))
@@ -344,16 +364,16 @@ def loss_and_gradients(p: Parameters, s: Symbols, batch: np.ndarray) -> tuple[fl
     if not len(at):
         return 0.0, {n: np.zeros_like(v) for n, v in p.items()}
     # Targets in the order of their classes.
-    order, classes, groups = _by_class(targets[at], s)
+    order, classes, groups = _by_class(targets[at], s, s.runs)
     at = at[order]
     targets, kind = targets[at], p["embedding"].dtype.type
     n, scale, many = kind(len(at)), kind(WIDTH**-0.5), len(batch)
     flat = np.take(p["embedding"], looked.ravel(), 0)
     flat_q = flat.reshape(many, -1, WIDTH)[:, CONTEXT:].reshape(-1, WIDTH)
     both = np.hstack([p["key"], p["value"]])
-    kv = (flat @ both).reshape(many, -1, 2 * WIDTH)
-    k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-    q = (flat_q @ (p["query"] * scale)).reshape(many, SCORED, WIDTH)
+    kv = (flat @ both).reshape(many, -1, KEYS + WIDTH)
+    k, v = kv[:, :, :KEYS], kv[:, :, KEYS:]
+    q = (flat_q @ (p["query"] * scale)).reshape(many, SCORED, KEYS)
     a = attend(q, k, mask(p["bias"]).astype(kind), looked, s.pad)
     a /= (a @ np.ones(a.shape[2], kind))[:, :, None]
     r = np.matmul(a, v).reshape(-1, WIDTH)
@@ -389,18 +409,18 @@ def loss_and_gradients(p: Parameters, s: Symbols, batch: np.ndarray) -> tuple[fl
 
     da = np.matmul(by_place, v.transpose(0, 2, 1))
     dkv = np.empty_like(kv)
-    np.matmul(a.transpose(0, 2, 1), by_place, out=dkv[:, :, WIDTH:])
+    np.matmul(a.transpose(0, 2, 1), by_place, out=dkv[:, :, KEYS:])
     # What the softmax takes off: at each place, the product of its gradient and output.
     da *= a
     a *= (da @ np.ones(a.shape[2], kind))[:, :, None]
     da -= a
     g["bias"] = np.bincount(np.abs(DISTANCE).ravel(), np.where(CAUSAL, da.sum(0), 0).ravel(), CONTEXT + SCORED).astype(kind)
-    dq = np.matmul(da, k).reshape(-1, WIDTH)
+    dq = np.matmul(da, k).reshape(-1, KEYS)
     dq *= scale
-    np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
-    dkv = dkv.reshape(-1, 2 * WIDTH)
+    np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :KEYS])
+    dkv = dkv.reshape(-1, KEYS + WIDTH)
     of_both = _tall(flat, dkv)
-    g["key"], g["value"], g["query"] = of_both[:, :WIDTH], of_both[:, WIDTH:], _tall(flat_q, dq)
+    g["key"], g["value"], g["query"] = of_both[:, :KEYS], of_both[:, KEYS:], _tall(flat_q, dq)
     dx = dkv @ both.T
     dr += dq @ p["query"].T
     dx.reshape(many, -1, WIDTH)[:, CONTEXT:] += by_place
@@ -410,26 +430,33 @@ def loss_and_gradients(p: Parameters, s: Symbols, batch: np.ndarray) -> tuple[fl
 
 
 class Fit:
-    """Adam from parameters ``p``, with a rate that falls to a third within ``steps`` steps."""
+    """Adam from parameters ``p``, with a rate that falls to a third within ``steps`` steps.
+
+    All parameters lie in one array, which a step goes through a part at a time, so
+    that the core's cache holds what the passes over a part share."""
 
     def __init__(self, p: Parameters, s: Symbols, rate: float, steps: float):
-        self.p, self.s, self.rate, self.steps, self.done = {n: v.copy() for n, v in p.items()}, s, rate, max(1.0, steps), 0
-        self.first, self.second = ({n: np.zeros_like(v) for n, v in p.items()} for _ in range(2))
+        self.flat = pack(p)
+        self.p, self.s, self.rate, self.steps, self.done = unpack(self.flat, len(s.counts), len(s.bounds) - 1), s, rate, max(1.0, steps), 0
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, rows: np.ndarray) -> None:
         _, g = loss_and_gradients(self.p, self.s, rows)
         left = 1 - 2 / 3 * min(1.0, self.done / self.steps)
         self.done += 1
         pace = np.float32(self.rate * left * np.sqrt(1 - 0.99**self.done) / (1 - 0.9**self.done))
-        for n, grad in g.items():
-            m, w = self.first[n], self.second[n]
-            m += np.float32(0.1) * (grad - m)
+        every = pack(g)
+        for begin in range(0, len(every), MOVED_AT_ONCE):
+            grad, m, w, own = (x[begin : begin + MOVED_AT_ONCE] for x in (every, self.first, self.second, self.flat))
+            moved = grad - m
+            moved *= np.float32(0.1)
+            m += moved
             grad *= grad
             grad -= w
             grad *= np.float32(0.01)
             w += grad
-            moved = np.sqrt(w)
+            np.sqrt(w, out=moved)
             moved += np.float32(1e-8)
             np.divide(m, moved, out=moved)
             moved *= pace
-            self.p[n] -= moved
+            own -= moved

@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ MOST_PASSES = 4
 SHARD_WINDOWS, HELD_WINDOWS, BATCH, LARGE_BATCH = 64_000, 16_384, 96, 256
 FAN_IN, CHUNK = 64, 8_192
 SCORED_WINDOWS = 512
+#: Symbols whose codes are made at once where texts need not be told apart.
+GROUP_SYMBOLS = 1 << 18
 
 
 def words_of(texts: list[bytes]) -> Words:
@@ -175,6 +178,26 @@ def codes_of(ids: bytes, starts: bytes, kind: np.dtype) -> np.ndarray:
     return own * 2 + np.unpackbits(np.frombuffer(starts, np.uint8), count=len(own))
 
 
+def codes_in_groups(ids: pa.Array, starts: pa.Array, kind: np.dtype) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Slices of rows with the codes of their texts, one text after the other, and the
+    sizes of these; up to ``GROUP_SYMBOLS`` symbols, or one text that has more."""
+    many = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+    ends, begin = np.cumsum(many), 0
+    while begin < len(many):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - many[begin] + GROUP_SYMBOLS, side="right")))
+        rows, sizes = slice(begin, end), many[begin:end]
+        own = np.frombuffer(b"".join(ids[rows].to_pylist()), kind).astype(np.int64)
+        bits = np.unpackbits(np.frombuffer(b"".join(starts[rows].to_pylist()), np.uint8))
+        held = -(-sizes // 8) * 8  # bits of each text, in whole bytes
+        yield rows, own * 2 + bits[_places(np.cumsum(held) - held, sizes)], sizes
+        begin = end
+
+
+def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs of these ``sizes`` that begin at ``begins``."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def symbol_counts(encoded: DataFrame, path: str) -> attention.Symbols:
     """Counts over all rows to learn from. One row per symbol reaches the driver, at
     most two for each id of the vocabulary."""
@@ -183,8 +206,8 @@ def symbol_counts(encoded: DataFrame, path: str) -> attention.Symbols:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(possible, np.int64)
         for batch in batches:
-            for ids, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total += np.bincount(codes_of(ids, starts, kind), minlength=possible)
+            for _, codes, _ in codes_in_groups(batch.column(0), batch.column(1), kind):
+                total += np.bincount(codes, minlength=possible)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["code", "n"])
 
@@ -206,17 +229,18 @@ def windows_to_learn(batches: Iterator[pa.RecordBatch], s: attention.Symbols, ki
     held: list[np.ndarray] = []
     count = 0
     for batch in batches:
-        for row, ids, starts in zip(*batch.columns, strict=True):
-            cut = attention.windows(s.indices(codes_of(ids.as_py(), starts.as_py(), kind)), s, first)
-            own = np.arange(len(cut))
+        numbers = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for rows, codes, sizes in codes_in_groups(batch.column(1), batch.column(2), kind):
+            row, begins, of, own = attention.laid_out(s.indices(codes), sizes, s, first)
             if parts > 1:
-                seed = mix(np.array([row.as_py()], np.int64).view(np.uint64) + np.uint64(1))
-                own = np.flatnonzero(mix(seed + own.astype(np.uint64)) % np.uint64(parts) == turn)
-            while len(own):
+                seeds = mix(numbers[rows].view(np.uint64) + np.uint64(1))
+                begins = begins[mix(seeds[of] + own.astype(np.uint64)) % np.uint64(parts) == turn]
+            cut = np.lib.stride_tricks.sliding_window_view(row, attention.WINDOW)
+            while len(begins):
                 room = HELD_WINDOWS - count
-                held.append(cut[own[:room]])
+                held.append(cut[begins[:room]])
                 count += len(held[-1])
-                own = own[room:]
+                begins = begins[room:]
                 if count == HELD_WINDOWS:
                     yield np.concatenate(held)
                     held, count = [], 0

@@ -53,6 +53,11 @@ def _plain(text: str) -> bool:
     return text.isalpha() and text == text.lower() and is_normalized("NFC", text)
 
 
+def _plain_ascii(word: bytes) -> bool:
+    """Letters from a to z alone."""
+    return word.isalpha() and word.islower()
+
+
 class WordEncoder(dict):
     """Word -> ids as bytes, encoded on first use; keeps ``CACHED_WORDS`` words.
 
@@ -71,11 +76,14 @@ class WordEncoder(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(MARKS)
-        if stem and stem != word and _plain(stem.decode()):
+        if stem and stem != word and (_plain_ascii(stem) or _plain(stem.decode())):
             self[word] = found = self[stem] + self[word[len(stem) :]]
             return found
         text = word.decode()
-        if _plain(text):
+        if _plain_ascii(word):
+            # One run of letters that stand for themselves.
+            ids = [t.id for t in self.model.tokenize(text)]
+        elif _plain(text):
             # One run of letters: nothing to normalise or split before merging.
             ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.shown))]
         else:
