@@ -315,39 +315,27 @@ def _scored(encoded: DataFrame, p: attention.Parameters, s: attention.Symbols, p
         scorer = attention.Scorer(p, s)
         first = int(s.indices(np.array([2 * END_ID + 1]))[0])
         for batch in batches:
-            texts = (codes_of(i.as_py(), b.as_py(), kind) for i, b in zip(batch.column(1), batch.column(2), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text_scores(scorer, texts, batch.num_rows, first))], names=["_row", "score"])
+            found = [code_scores(scorer, codes, sizes, first) for _, codes, sizes in codes_in_groups(batch.column(1), batch.column(2), kind)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([np.zeros(0), *found]))], names=["_row", "score"])
 
     return encoded.select("_row", "ids", "starts").mapInArrow(run, "_row long, score double")
 
 
 def text_scores(scorer: attention.Scorer, texts: Iterator[np.ndarray], many: int, first: int) -> np.ndarray:
-    """Log10 probability of each of ``many`` texts, given as codes, in even batches
-    of windows that may hold parts of several texts or a part of a long one."""
-    s, totals = scorer.s, np.zeros(many)
-    held: list[np.ndarray] = []
-    owners: list[tuple[int, int]] = []
-
-    def flush() -> None:
-        if held:
-            sums = scorer.places(np.concatenate(held)).sum(1)
-            np.add.at(totals, np.repeat([o[0] for o in owners], [o[1] for o in owners]), sums)
-            held.clear()
-            owners.clear()
-
-    count = 0
-    for at, codes in enumerate(texts):
-        cut = attention.windows(s.indices(codes), s, first)
-        for begin in range(0, len(cut), SCORED_WINDOWS):
-            part = cut[begin : begin + SCORED_WINDOWS]
-            if count + len(part) > SCORED_WINDOWS:
-                flush()
-                count = 0
-            held.append(part)
-            owners.append((at, len(part)))
-            count += len(part)
-    flush()
-    return totals / np.log(10)
+    """Log10 probability of each of ``many`` texts, given as codes."""
+    held = list(texts)
+    return code_scores(scorer, np.concatenate([np.zeros(0, np.int64), *held]), np.fromiter(map(len, held), np.int64, many), first)
+
+
+def code_scores(scorer: attention.Scorer, codes: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    """Log10 probability of texts of these ``sizes``, one after the other in ``codes``, in
+    even batches of windows that may hold parts of several texts or a part of a long one."""
+    if not len(sizes):
+        return np.zeros(0)
+    row, begins, of, _ = attention.laid_out(scorer.s.indices(codes), sizes, scorer.s, first)
+    cut = np.lib.stride_tricks.sliding_window_view(row, attention.WINDOW)
+    sums = [scorer.places(cut[begins[b : b + SCORED_WINDOWS]]).sum(1) for b in range(0, len(begins), SCORED_WINDOWS)]
+    return np.bincount(of, np.concatenate(sums), len(sizes)) / np.log(10)
 
 
 def score(docs: DataFrame, train_on: str, held_out: str, tokenizer: str | None = None) -> DataFrame:
